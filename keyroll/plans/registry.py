@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyroll.plans import oracle_sql, relational_queries
+from keyroll.plans import log_oracles, log_queries, oracle_sql, relational_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,19 +24,11 @@ def _wrap(fn: Query) -> Query:
 def all_queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(relational_queries.QUERIES)
-    try:
-        from keyroll.plans import log_queries
-        out.update(log_queries.QUERIES)
-    except ImportError:
-        pass
+    out.update(log_queries.QUERIES)
     return {k: _wrap(v) for k, v in out.items()}
 
 
 def all_oracles() -> dict[str, str]:
     out = dict(oracle_sql.RELATIONAL)
-    try:
-        from keyroll.plans import log_oracles
-        out.update(log_oracles.ORACLES)
-    except ImportError:
-        pass
+    out.update(log_oracles.ORACLES)
     return out

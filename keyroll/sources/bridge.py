@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyroll.functions import scoring as S
+from keyroll.session import ensure_checkpoint_dir
 
 # Dungeon names, used only to label bridge runs (same ids as the timer table).
 DUNGEON_NAMES = {
@@ -128,7 +128,7 @@ def _join(parts: list[Column]) -> Column:
 def render_body(e: Column, kind: Column, amount: Column) -> Column:
     """Combat-log body text for one B3 event (the B4 rendering rules).
 
-    view   -> e%50=7: COMBAT_LOG_VERSION (patch 9.0.2 / 9.0.5 by e%2)
+    view   -> e%25=7: COMBAT_LOG_VERSION (patch 9.0.2 / 9.0.5 by e%2)
               e%50=17: COMBATANT_INFO
               else a player damage line (swing when e%4=1, else spell
               damage; caster flag 0xa48 when e%9=4, 0x511 when e%5=0,
@@ -136,7 +136,8 @@ def render_body(e: Column, kind: Column, amount: Column) -> Column:
               amount text 'bad' when e%1000=999)
     click  -> pet damage by Pet-0-<e%7> (swing when e%2=0, else spell 54049)
     error  -> SPELL_SUMMON of Pet-0-<e%7> by Player-<e%5> (flag 0xa48 when e%6=5)
-    signup -> CHALLENGE_MODE_START, 9 tokens when e%19>=8 else 8
+    signup -> CHALLENGE_MODE_START, 9 tokens when e%19>=8 else 8; the
+              challenge-mode token (3) carries the event id
     purchase -> CHALLENGE_MODE_END, unfinished when e%10=0
     """
     p5 = (e % 5).cast("string")
@@ -165,7 +166,7 @@ def render_body(e: Column, kind: Column, amount: Column) -> Column:
                      F.lit("BUILD_VERSION"), F.when(e % 2 == 0, F.lit("9.0.2")).otherwise(F.lit("9.0.5")),
                      F.lit("PROJECT_ID"), F.lit("1")])
     info = _join([F.lit("COMBATANT_INFO"), player, e.cast("string"), F.lit("0"), F.lit("[(1,2),(3,4)]")])
-    view = F.when(e % 50 == 7, version).when(e % 50 == 17, info).otherwise(hit)
+    view = F.when(e % 25 == 7, version).when(e % 50 == 17, info).otherwise(hit)
 
     guid = F.concat(F.lit("Pet-0-"), (e % 7).cast("string"))
     pet_name = F.concat(F.lit('"Pet'), (e % 7).cast("string"), F.lit('"'))
@@ -184,7 +185,7 @@ def render_body(e: Column, kind: Column, amount: Column) -> Column:
                        _cycle(e, FOUR_CYCLE).cast("string"), F.lit(","), _cycle(e, SEVEN_CYCLE).cast("string"),
                        F.when(e % 19 >= 8, F.lit(",121")).otherwise(F.lit("")), F.lit("]"))
     start = _join([F.lit("CHALLENGE_MODE_START"), F.concat(F.lit('"'), dungeon_name(dungeon), F.lit('"')),
-                   dungeon.cast("string"), F.lit("377"), level, affixes])
+                   dungeon.cast("string"), e.cast("string"), level, affixes])
     fin = e % 10 != 0
     end = _join([F.lit("CHALLENGE_MODE_END"), dungeon.cast("string"),
                  F.when(fin, F.lit("1")).otherwise(F.lit("0")), level,
@@ -196,13 +197,18 @@ def render_body(e: Column, kind: Column, amount: Column) -> Column:
 
 def log_lines(spark: SparkSession, sf_dir: str, with_copies: bool = False) -> DataFrame:
     """``(upload_id, pos, event_id, value)`` — one rendered log line per
-    event; with ``with_copies`` the B5 duplicate uploads are added."""
+    event; with ``with_copies`` the B5 duplicate uploads are added.
+
+    The rendered lines are checkpointed (shared checkpoint folder): they play
+    the part of stored input text, and the long rendering expression must
+    not be inlined into the parser's expressions."""
+    ensure_checkpoint_dir(spark)
     b3 = lines_b(spark, sf_dir)
     if with_copies:
         b3 = b3.unionByName(copies(b3))
     header = F.date_format(F.col("ts").cast("timestamp"), "M/d HH:mm:ss.SSS")
     value = F.concat(header, F.lit("  "), render_body(F.col("event_id"), F.col("kind"), F.col("amount")))
-    return b3.select("upload_id", "pos", "event_id", value.alias("value"))
+    return b3.select("upload_id", "pos", "event_id", "ts", value.alias("value")).checkpoint(eager=True)
 
 
 def copies(b3: DataFrame) -> DataFrame:
