@@ -34,21 +34,31 @@ def split_header(value: Column | str, parity: bool = False) -> tuple[Column, Col
     return header, body
 
 
+# An opening quote (odd-numbered) followed by a comma before its closing
+# quote. The runs between quotes are matched possessively, so backtracking
+# only steps over whole quote pairs: the match is linear in the line length.
+_COMMA_INSIDE_QUOTES = r'^[^"]*+(?:"[^"]*+"[^"]*+)*"[^",]*+,'
+
+
 def split_tokens(body: Column | str) -> Column:
     """Quote-aware comma split. Commas inside ``"..."`` stay in the token,
     quotes are kept, ``\\"`` does not toggle quoting, empty tokens are kept.
 
-    Linear form: split on quotes, protect commas inside the odd (quoted)
-    pieces, join back and split on commas.
+    Lines without a comma inside quotes (almost all) take a plain ``split``;
+    the rest take the linear quote-aware form: split on quotes, protect the
+    commas inside the odd (quoted) pieces, join back and split on commas.
     """
-    b = F.replace(_c(body), F.lit('\\"'), F.lit(_ESCAPED_QUOTE))
+    b0 = _c(body)
+    b = F.replace(b0, F.lit('\\"'), F.lit(_ESCAPED_QUOTE))
     pieces = F.split(b, '"', -1)
     guarded = F.transform(
         pieces, lambda x, i: F.when(i % 2 == 1, F.translate(x, ",", _COMMA_IN_QUOTES)).otherwise(x))
     rejoined = F.array_join(guarded, '"')
     toks = F.split(rejoined, ",", -1)
-    return F.transform(
+    quoted = F.transform(
         toks, lambda t: F.replace(F.translate(t, _COMMA_IN_QUOTES, ","), F.lit(_ESCAPED_QUOTE), F.lit('\\"')))
+    needs_quotes = F.contains(b0, F.lit('\\"')) | b0.rlike(_COMMA_INSIDE_QUOTES)
+    return F.when(needs_quotes, quoted).otherwise(F.split(b0, ",", -1))
 
 
 def trim_one_quote(col: Column | str) -> Column:

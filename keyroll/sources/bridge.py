@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyroll.session import ensure_checkpoint_dir
+from keyroll.session import scratch_path
 
 # Dungeon names, used only to label bridge runs (same ids as the timer table).
 DUNGEON_NAMES = {
@@ -195,20 +195,29 @@ def render_body(e: Column, kind: Column, amount: Column) -> Column:
              .when(kind == "PET_HIT", pet_hit).otherwise(view))
 
 
+_RENDERED: dict[tuple[str, str, bool], str] = {}
+
+
 def log_lines(spark: SparkSession, sf_dir: str, with_copies: bool = False) -> DataFrame:
-    """``(upload_id, pos, event_id, value)`` — one rendered log line per
-    event; with ``with_copies`` the B5 duplicate uploads are added.
-
-    The rendered lines are checkpointed (shared checkpoint folder): they play
-    the part of stored input text, and the long rendering expression must
-    not be inlined into the parser's expressions."""
-    ensure_checkpoint_dir(spark)
-    b3 = lines_b(spark, sf_dir)
-    if with_copies:
-        b3 = b3.unionByName(copies(b3))
-    header = F.date_format(F.col("ts").cast("timestamp"), "M/d HH:mm:ss.SSS")
-    value = F.concat(header, F.lit("  "), render_body(F.col("event_id"), F.col("kind"), F.col("amount")))
-    return b3.select("upload_id", "pos", "event_id", "ts", value.alias("value")).checkpoint(eager=True)
+    """``(upload_id, pos, event_id, ts, value)`` — one rendered log line
+    per event; with ``with_copies`` the B5 duplicate uploads are added.
+
+    The rendered lines are written once per session as a Parquet table in
+    the shared checkpoint folder and read back: they play the part of stored
+    input text, and the long rendering expression is never inlined into the
+    parser's expressions."""
+    key = (spark.sparkContext.applicationId, sf_dir, with_copies)
+    path = _RENDERED.get(key)
+    if path is None:
+        b3 = lines_b(spark, sf_dir)
+        if with_copies:
+            b3 = b3.unionByName(copies(b3))
+        header = F.date_format(F.col("ts").cast("timestamp"), "M/d HH:mm:ss.SSS")
+        value = F.concat(header, F.lit("  "), render_body(F.col("event_id"), F.col("kind"), F.col("amount")))
+        path = scratch_path(spark, "b4-lines")
+        b3.select("upload_id", "pos", "event_id", "ts", value.alias("value")).write.parquet(path)
+        _RENDERED[key] = path
+    return spark.read.parquet(path)
 
 
 def copies(b3: DataFrame) -> DataFrame:
