@@ -181,3 +181,17 @@ ORACLES = {
     "d5_hash_lists": D5,
     "e2e_keys_result": E2E,
 }
+
+S2 = f"""WITH {_base(False)}
+SELECT upload_id, CAST(row_number() OVER (PARTITION BY upload_id ORDER BY ts) AS BIGINT) AS line_no, event FROM x"""
+
+S7 = """SELECT CAST(user_id AS VARCHAR) AS upload_id, CAST(min(ts) AS DATE) AS upload_date,
+  CAST(hour(min(ts)) AS INTEGER) AS upload_hour,
+  CASE user_id % 5 WHEN 1 THEN 'gz' WHEN 2 THEN 'zip' ELSE 'txt' END AS file_type, true AS accepted
+FROM events GROUP BY user_id"""
+
+ORACLES.update({
+    "s1_file_runs": R1,
+    "s2_line_numbers": S2,
+    "s7_upload_keys": S7,
+})

@@ -115,3 +115,48 @@ QUERIES = {
     "d5_hash_lists": d5_hash_lists,
     "e2e_keys_result": e2e_keys_result,
 }
+
+
+# ------------------------------------------------------------ file sources
+def _file_ingest(spark, sf_dir):
+    from keyroll.sources.fixtures import write_upload_files
+    from keyroll.sources.logfiles import read_uploads
+    root = write_upload_files(spark, sf_dir)
+    return ingest(read_uploads(spark, root), log_year=LOG_YEAR)
+
+
+def s1_file_runs(spark, sf_dir):
+    """S1 + S3 + S4 + S5 + S6: the B4 lines written as .txt / .txt.gz / .zip
+    uploads, read back through the file sources; runs as in r1."""
+    res = _file_ingest(spark, sf_dir)
+    per_run = res.in_run.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum(F.col("event").isin(*E.DAMAGE_EVENTS).cast("bigint")).alias("n_damage_lines"))
+    return (res.runs.join(per_run, "run_id").join(_start_events(res), "run_id")
+            .select("upload_id", "start_event", "closed", "n_lines", "n_damage_lines"))
+
+
+def s2_line_numbers(spark, sf_dir):
+    """Dense line numbers per file equal the event order per upload."""
+    from keyroll.sources.fixtures import write_upload_files
+    from keyroll.sources.logfiles import read_uploads
+    root = write_upload_files(spark, sf_dir)
+    lines = read_uploads(spark, root, dense_line_no=True)
+    _, body = T.split_header(F.col("value"))
+    return lines.select("upload_id", F.col("line_no").cast("bigint").alias("line_no"),
+                        F.substring_index(body, ",", 1).alias("event"))
+
+
+def s7_upload_keys(spark, sf_dir):
+    """S5 + S6 + S7: key parsing and gates of every written upload file."""
+    from keyroll.sources.fixtures import write_upload_files
+    from keyroll.sources.logfiles import list_uploads
+    root = write_upload_files(spark, sf_dir)
+    return list_uploads(spark, root).select("upload_id", "upload_date", "upload_hour", "file_type", "accepted")
+
+
+QUERIES.update({
+    "s1_file_runs": s1_file_runs,
+    "s2_line_numbers": s2_line_numbers,
+    "s7_upload_keys": s7_upload_keys,
+})
