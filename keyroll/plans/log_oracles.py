@@ -195,3 +195,7 @@ ORACLES.update({
     "s2_line_numbers": S2,
     "s7_upload_keys": S7,
 })
+
+T1 = f"""SELECT * EXCLUDE (upload_id) FROM ({E2E})"""
+
+ORACLES["t1_stream_keys_result"] = T1

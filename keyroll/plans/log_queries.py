@@ -160,3 +160,31 @@ QUERIES.update({
     "s2_line_numbers": s2_line_numbers,
     "s7_upload_keys": s7_upload_keys,
 })
+
+
+# ------------------------------------------------------------ streaming
+STREAM_FILES_PER_TRIGGER = 128
+
+
+def t1_stream_keys_result(spark, sf_dir):
+    """S8 + T1 - T5 + D4 + S9 + S10 + S13: the B4 + B5 uploads as files,
+    ingested by the text and zip file streams (``availableNow``, whole files
+    per micro-batch, ledger shared across batches), facts read back and
+    queried. Which copy of a duplicate survives depends on batch order, so
+    the upload id is left out; everything else equals the batch result."""
+    from keyroll.session import scratch_path
+    from keyroll.sources.fixtures import write_upload_files
+    from keyroll.streaming.uploads import gold_table, start_upload_streams
+    landing = write_upload_files(spark, sf_dir, with_copies=True)
+    out_root = scratch_path(spark, "stream-out")
+    start_upload_streams(spark, landing, out_root, scratch_path(spark, "stream-ckpt"),
+                         max_files_per_trigger=STREAM_FILES_PER_TRIGGER, log_year=LOG_YEAR,
+                         patch_fallback="file", sequential=True)
+    meta = gold_table(spark, out_root, "run_meta")
+    damage = gold_table(spark, out_root, "damage")
+    keys = R.keys_result(damage, meta)
+    ident = meta.select(F.col("run_hash").alias("combatlog_hash"), F.col("challenge_mode_id").alias("start_event"))
+    return keys.join(ident, "combatlog_hash").drop("combatlog_hash")
+
+
+QUERIES["t1_stream_keys_result"] = t1_stream_keys_result
