@@ -267,3 +267,48 @@ RELATIONAL = {
     "k9_page_numbers": K9,
     "k9_page_numbers_dungeon": K9_DUNGEON,
 }
+
+_PLAYER_RUNS = _DOCS + """,
+pr AS (SELECT docs.combatlog_hash, docs.sk, docs.dungeon_id, docs.keylevel, docs.date, d.caster_id AS player_id,
+         d.caster_name AS player_name, d.damage
+       FROM docs JOIN d ON d.run_hash = docs.combatlog_hash)"""
+
+O3 = _DOCS + """
+SELECT combatlog_hash, sk, affixes FROM docs WHERE list_contains(string_split(affixes, ', '), 'Prideful')"""
+
+O4 = _PLAYER_RUNS + """
+SELECT player_id, dungeon_id, combatlog_hash, sk, keylevel, runs FROM (
+  SELECT *, row_number() OVER (PARTITION BY player_id, dungeon_id ORDER BY sk DESC) AS rn,
+    CAST(count(*) OVER (PARTITION BY player_id, dungeon_id) AS BIGINT) AS runs FROM pr) WHERE rn = 1"""
+
+O5 = _PLAYER_RUNS + """
+SELECT player_id, recent, combatlog_hash, date FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY player_id ORDER BY date DESC, combatlog_hash) AS INTEGER) AS recent
+  FROM pr) WHERE recent <= 5"""
+
+O6 = f"""WITH {DAMAGE_B},
+s AS (SELECT run_hash, caster_name, caster_id, spell_id, CAST(sum(damage) AS BIGINT) AS damage
+      FROM damage_b WHERE {PLAYER} GROUP BY run_hash, caster_name, caster_id, spell_id, spell_name)
+SELECT run_hash, caster_name, 'spell' || CAST(spell_id % 10 AS VARCHAR) AS spell_name,
+  CAST(sum(damage) AS BIGINT) AS damage, min(spell_id) AS spell_id
+FROM s GROUP BY run_hash, caster_name, 'spell' || CAST(spell_id % 10 AS VARCHAR)"""
+
+O7 = _DOCS + f""",
+t AS (SELECT run_hash, sum(damage) AS total FROM d GROUP BY run_hash),
+dd AS (SELECT docs.*, r.duration, r.dungeon_id AS did, t.total FROM docs JOIN runs_b r ON r.run_hash = docs.combatlog_hash
+       JOIN t ON t.run_hash = docs.combatlog_hash)
+SELECT dungeon_id, CAST(count(*) AS BIGINT) AS runs, CAST(sum(CASE WHEN intime > 0 THEN 1 ELSE 0 END) AS BIGINT) AS intime_runs,
+  round(avg(p), 6) AS avg_percent, round(min(p), 6) AS min_percent, round(max(p), 6) AS max_percent,
+  round(avg(total), 3) AS avg_damage
+FROM (SELECT *, (CASE WHEN duration = 0 THEN 1000.0 ELSE (CAST(CASE did WHEN 2291 THEN 2580000 WHEN 2289 THEN 2280000
+        WHEN 2284 THEN 2460000 WHEN 2287 THEN 1860000 WHEN 2290 THEN 1800000 WHEN 2285 THEN 2340000
+        WHEN 2286 THEN 2160000 WHEN 2293 THEN 2220000 ELSE 0 END AS DOUBLE) / CAST(duration AS DOUBLE)) * 100.0 END) AS p
+      FROM dd) GROUP BY dungeon_id"""
+
+RELATIONAL.update({
+    "o3_affix_filter": O3,
+    "o4_best_run_per_dungeon": O4,
+    "o5_recent_runs": O5,
+    "o6_merge_spells": O6,
+    "o7_dungeon_statistics": O7,
+})

@@ -178,3 +178,44 @@ QUERIES = {
     "k9_page_numbers": k9_page_numbers,
     "k9_page_numbers_dungeon": k9_page_numbers_dungeon,
 }
+
+
+# ------------------------------------------------------------ optional tier
+def _docs(spark, sf_dir):
+    return G.leaderboard_docs(*_inputs(spark, sf_dir))
+
+
+def o3_affix_filter(spark, sf_dir):
+    from keyroll.operators import extras as X
+    d = X.filter_by_player_class(X.filter_by_affix(_docs(spark, sf_dir), "Prideful"), "unsupported")
+    return d.select("combatlog_hash", "sk", "affixes")
+
+
+def o4_best_run_per_dungeon(spark, sf_dir):
+    from keyroll.operators import extras as X
+    return X.best_run_per_dungeon(_docs(spark, sf_dir))
+
+
+def o5_recent_runs(spark, sf_dir):
+    from keyroll.operators import extras as X
+    return X.recent_runs(_docs(spark, sf_dir), 5)
+
+
+def o6_merge_spells(spark, sf_dir):
+    rows = R.damage_per_player_spell(B.damage_b(spark, sf_dir)).withColumn(
+        "spell_name", F.concat(F.lit("spell"), (F.col("spell_id") % 10).cast("string")))
+    return G.merge_spells_by_name(rows)
+
+
+def o7_dungeon_statistics(spark, sf_dir):
+    from keyroll.operators import extras as X
+    return X.dungeon_statistics(_docs(spark, sf_dir))
+
+
+QUERIES.update({
+    "o3_affix_filter": o3_affix_filter,
+    "o4_best_run_per_dungeon": o4_best_run_per_dungeon,
+    "o5_recent_runs": o5_recent_runs,
+    "o6_merge_spells": o6_merge_spells,
+    "o7_dungeon_statistics": o7_dungeon_statistics,
+})
