@@ -29,7 +29,7 @@ READ_EVENTS = (VERSION, START, END, *DAMAGE_EVENTS, SUMMON, COMBATANT_INFO)
 OPTIONAL_EVENTS = (ENCOUNTER_START, ENCOUNTER_END, *HEAL_EVENTS)
 
 # Token counts (arity) and token positions, 0-based.
-VERSION_ARITY, END_ARITY, SUMMON_ARITY = 8, 5, 12
+VERSION_ARITY, END_ARITY, SUMMON_ARITY, ENCOUNTER_ARITY = 8, 5, 12, 6
 SPELL_DAMAGE_ARITY, SWING_DAMAGE_ARITY = 39, 36
 SPELL_AMOUNT_AT, SWING_AMOUNT_AT = 29, 26
 
@@ -169,8 +169,14 @@ def heal_fields(d: DataFrame) -> DataFrame:
 
 
 def encounter_fields(d: DataFrame) -> DataFrame:
-    """O1: encounter id (1), name (2), difficulty (3), group size (4); on
-    ``ENCOUNTER_END`` token 5 is the kill flag."""
-    return d.select("*", T.parse_int64(tok(1)).alias("encounter_id"), T.trim_all(tok(2), '"').alias("encounter_name"),
-                    T.parse_int64(tok(3)).alias("difficulty"), T.parse_int64(tok(4)).alias("group_size"),
-                    F.when(F.col("event") == ENCOUNTER_END, T.parse_int64(tok(5))).alias("kill"))
+    """O1: encounter id (1), name (2), difficulty (3), group size (4);
+    token 5 is the instance id on ``ENCOUNTER_START`` and the kill flag on
+    ``ENCOUNTER_END`` (6 tokens)."""
+    is_end = F.col("event") == ENCOUNTER_END
+    d = d.select("*", T.parse_int64(tok(1)).alias("encounter_id"), T.trim_one_quote(tok(2)).alias("encounter_name"),
+                 T.parse_int64(tok(3)).alias("difficulty"), T.parse_int64(tok(4)).alias("group_size"),
+                 F.when(~is_end, T.parse_int64(tok(5))).alias("instance_id"),
+                 F.when(is_end, T.parse_int64(tok(5))).alias("kill"))
+    bad = _first_error((F.size("p") != ENCOUNTER_ARITY, "arity"),
+                       (F.col("encounter_id").isNull() | F.get(F.col("p"), 5).isNull(), "bad_int"))
+    return d.withColumn("error", F.coalesce(F.col("error"), bad))

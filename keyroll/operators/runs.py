@@ -66,3 +66,19 @@ def attach_pet_owners(damage_lines: DataFrame, summons: DataFrame, upload: str =
     j = asof_lookup(left, right, [upload, "_guid"], pos, pos,
                     ["owner_id", "owner_name", "pet_name", "pet_spell_id"], inclusive=False, out="owner")
     return j.drop("_guid")
+
+
+def encounter_segments(encounters: DataFrame, pos: str = "pos") -> DataFrame:
+    """O1: boss encounters inside a run. An ``ENCOUNTER_START`` is closed by
+    the next encounter marker if that is an ``ENCOUNTER_END`` (its kill flag
+    is kept); otherwise it stays open. ``encounters`` holds the in-run
+    encounter lines with ``run_id``, ``event``, ``kill`` and ``time_ms``; the
+    window runs over these marker lines of one run only."""
+    w = Window.partitionBy("run_id").orderBy(pos)
+    m = (encounters.withColumn("_ne", F.lead("event").over(w)).withColumn("_nkill", F.lead("kill").over(w))
+                   .withColumn("_nt", F.lead("time_ms").over(w)))
+    closed = F.coalesce(F.col("_ne") == E.ENCOUNTER_END, F.lit(False))
+    return (m.filter(F.col("event") == E.ENCOUNTER_START)
+             .select("run_id", "encounter_id", "encounter_name", F.col(pos).alias("start_pos"), closed.alias("closed"),
+                     F.when(closed, F.col("_nkill")).alias("kill"),
+                     F.when(closed, F.col("_nt") - F.col("time_ms")).alias("duration_ms")))

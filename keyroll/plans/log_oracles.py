@@ -27,6 +27,8 @@ x AS (
        WHEN kind = 'SUMMON' THEN 'SPELL_SUMMON'
        WHEN kind = 'PET_HIT' THEN CASE WHEN e % 2 = 0 THEN 'SWING_DAMAGE' ELSE 'SPELL_DAMAGE' END
        WHEN e % 25 = 7 THEN 'COMBAT_LOG_VERSION' WHEN e % 50 = 17 THEN 'COMBATANT_INFO'
+       WHEN e % 25 = 13 THEN 'SPELL_HEAL' WHEN e % 50 = 29 THEN 'ENCOUNTER_START'
+       WHEN e % 50 = 39 THEN 'ENCOUNTER_END'
        WHEN e % 4 = 1 THEN 'SWING_DAMAGE' WHEN e % 3 = 0 THEN 'SPELL_DAMAGE'
        WHEN e % 3 = 1 THEN 'SPELL_PERIODIC_DAMAGE' ELSE 'RANGE_DAMAGE' END AS event
  FROM ev),
@@ -39,8 +41,10 @@ runs AS (
         ELSE TIMESTAMP '9999-12-31 00:00:00' END AS e_ts,
    coalesce(nk = 'END', false) AS closed
  FROM m WHERE kind = 'START'),
-lr AS (
+xr AS (SELECT * FROM x WHERE event NOT IN ('SPELL_HEAL', 'ENCOUNTER_START', 'ENCOUNTER_END')),
+la AS (
  SELECT x.*, r.start_event, r.s_ts FROM x JOIN runs r ON x.upload_id = r.upload_id AND x.ts BETWEEN r.s_ts AND r.e_ts),
+lr AS (SELECT * FROM la WHERE event NOT IN ('SPELL_HEAL', 'ENCOUNTER_START', 'ENCOUNTER_END')),
 dmg AS (
  SELECT *, e % 13 = 6 AS friendly, e % 1000 = 999 AS bad_amount, 'Pet-0-' || CAST(e % 7 AS VARCHAR) AS guid,
    CASE WHEN kind = 'HIT' THEN CASE WHEN e % 9 = 4 THEN '0xa48' WHEN e % 5 = 0 THEN '0x511' ELSE '0x512' END
@@ -120,7 +124,7 @@ SELECT upload_id, event,
      WHEN 'SUMMON' THEN '"Pet' || CAST(e % 7 AS VARCHAR) || '"'
      ELSE CASE event WHEN 'COMBAT_LOG_VERSION' THEN 'PROJECT_ID' WHEN 'COMBATANT_INFO' THEN '(3'
           ELSE '"Enemy, the Big"' END END AS t6
-FROM x"""
+FROM xr"""
 
 R1 = f"""WITH {_base(False)}
 SELECT r.upload_id, r.start_event, r.closed, CAST(count(*) AS BIGINT) AS n_lines,
@@ -199,3 +203,26 @@ ORACLES.update({
 T1 = f"""SELECT * EXCLUDE (upload_id) FROM ({E2E})"""
 
 ORACLES["t1_stream_keys_result"] = T1
+
+O1 = f"""WITH {_base(False)},
+em AS (
+ SELECT upload_id, start_event, ts, e, event, lead(event) OVER w AS ne, lead(e) OVER w AS nexte,
+   lead(ts) OVER w AS nts
+ FROM la WHERE event IN ('ENCOUNTER_START', 'ENCOUNTER_END')
+ WINDOW w AS (PARTITION BY upload_id, start_event ORDER BY ts))
+SELECT upload_id, start_event, CAST(2400 + e % 4 AS BIGINT) AS encounter_id,
+  'Boss ' || CAST(2400 + e % 4 AS VARCHAR) || ', the Big' AS encounter_name,
+  coalesce(ne = 'ENCOUNTER_END', false) AS closed,
+  CAST(CASE WHEN ne = 'ENCOUNTER_END' THEN nexte % 2 END AS BIGINT) AS kill,
+  CAST(CASE WHEN ne = 'ENCOUNTER_END' THEN epoch_us(nts) // 1000 - epoch_us(ts) // 1000 END AS BIGINT) AS duration_ms
+FROM em WHERE event = 'ENCOUNTER_START'"""
+
+O2 = f"""WITH {_base(False)}
+SELECT upload_id, start_event, 'Player-' || CAST(e % 5 AS VARCHAR) AS caster_id,
+  'name' || CAST(e % 5 AS VARCHAR) || '-Realm' AS caster_name,
+  CAST(sum(amount) AS BIGINT) AS heal, CAST(sum(e % 100) AS BIGINT) AS overheal, CAST(0 AS BIGINT) AS absorbed,
+  CAST(count(*) AS BIGINT) AS n
+FROM la WHERE event = 'SPELL_HEAL' AND e % 1000 <> 999
+GROUP BY upload_id, start_event, e % 5"""
+
+ORACLES.update({"o1_encounters": O1, "o2_healing": O2})

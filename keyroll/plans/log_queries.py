@@ -188,3 +188,29 @@ def t1_stream_keys_result(spark, sf_dir):
 
 
 QUERIES["t1_stream_keys_result"] = t1_stream_keys_result
+
+
+# ------------------------------------------------------------ optional tier
+def o1_encounters(spark, sf_dir):
+    """O1: boss-encounter segments inside runs, with kill flag and length."""
+    from keyroll.operators.runs import encounter_segments
+    res = _ingest(spark, sf_dir, events=E.READ_EVENTS + (E.ENCOUNTER_START, E.ENCOUNTER_END))
+    enc = E.encounter_fields(res.in_run.filter(F.col("event").isin(E.ENCOUNTER_START, E.ENCOUNTER_END)))
+    enc = enc.filter(F.col("error").isNull()).withColumn("time_ms", T.log_time_millis(F.col("ts_text"), LOG_YEAR))
+    seg = encounter_segments(enc).join(_start_events(res), "run_id").join(res.runs.select("run_id", "upload_id"), "run_id")
+    return seg.select("upload_id", "start_event", "encounter_id", "encounter_name", "closed", "kill", "duration_ms")
+
+
+def o2_healing(spark, sf_dir):
+    """O2: healing per player and run (heal, overhealing, absorbed)."""
+    from keyroll.functions import scoring as S
+    res = _ingest(spark, sf_dir, events=E.READ_EVENTS + E.HEAL_EVENTS)
+    h = E.heal_fields(res.in_run.filter(F.col("event").isin(*E.HEAL_EVENTS)))
+    h = h.filter(S.is_player_flag(F.col("caster_type")) & F.col("heal").isNotNull())
+    return (h.join(_start_events(res), "run_id")
+            .groupBy("upload_id", "start_event", "caster_id", "caster_name")
+            .agg(F.sum("heal").cast("bigint").alias("heal"), F.sum("overheal").cast("bigint").alias("overheal"),
+                 F.sum("absorbed").cast("bigint").alias("absorbed"), F.count(F.lit(1)).alias("n")))
+
+
+QUERIES.update({"o1_encounters": o1_encounters, "o2_healing": o2_healing})

@@ -130,6 +130,9 @@ def render_body(e: Column, kind: Column, amount: Column) -> Column:
 
     view   -> e%25=7: COMBAT_LOG_VERSION (patch 9.0.2 / 9.0.5 by e%2)
               e%50=17: COMBATANT_INFO
+              e%25=13: SPELL_HEAL (amount, overheal e%100, absorbed 0)
+              e%50=29 / 39: ENCOUNTER_START / ENCOUNTER_END (boss 2400+e%4,
+              kill flag e%2)
               else a player damage line (swing when e%4=1, else spell
               damage; caster flag 0xa48 when e%9=4, 0x511 when e%5=0,
               else 0x512; target flag 0x512 (friendly fire) when e%13=6;
@@ -166,7 +169,19 @@ def render_body(e: Column, kind: Column, amount: Column) -> Column:
                      F.lit("BUILD_VERSION"), F.when(e % 2 == 0, F.lit("9.0.2")).otherwise(F.lit("9.0.5")),
                      F.lit("PROJECT_ID"), F.lit("1")])
     info = _join([F.lit("COMBATANT_INFO"), player, e.cast("string"), F.lit("0"), F.lit("[(1,2),(3,4)]")])
-    view = F.when(e % 25 == 7, version).when(e % 50 == 17, info).otherwise(hit)
+    heal_spell = (F.lit(2000) + e % 7).cast("string")
+    heal = _join([F.lit("SPELL_HEAL"), player, pname, F.lit("0x512"), F.lit("0x0"),
+                  F.concat(F.lit("Player-"), ((e + 1) % 5).cast("string")),
+                  F.concat(F.lit('"name'), ((e + 1) % 5).cast("string"), F.lit('-Realm"')), F.lit("0x512"),
+                  F.lit("0x0"), heal_spell, F.concat(F.lit('"Heal '), heal_spell, F.lit('"')), F.lit("0x8")]
+                 + _zeros(16) + [amt, (e % 100).cast("string"), F.lit("0"), F.lit("nil")])
+    boss = (F.lit(2400) + e % 4).cast("string")
+    boss_name = F.concat(F.lit('"Boss '), boss, F.lit(', the Big"'))
+    enc_start = _join([F.lit("ENCOUNTER_START"), boss, boss_name, F.lit("8"), F.lit("5"),
+                       _cycle(e, DUNGEON_CYCLE).cast("string")])
+    enc_end = _join([F.lit("ENCOUNTER_END"), boss, boss_name, F.lit("8"), F.lit("5"), (e % 2).cast("string")])
+    view = (F.when(e % 25 == 7, version).when(e % 50 == 17, info).when(e % 25 == 13, heal)
+             .when(e % 50 == 29, enc_start).when(e % 50 == 39, enc_end).otherwise(hit))
 
     guid = F.concat(F.lit("Pet-0-"), (e % 7).cast("string"))
     pet_name = F.concat(F.lit('"Pet'), (e % 7).cast("string"), F.lit('"'))
