@@ -29,16 +29,17 @@ def asof_lookup(left: DataFrame, right: DataFrame, by: list[str], left_pos: str,
     val = F.struct(*[F.col(c) for c in value_cols], F.col(right_pos).alias("_pos"))
     r = right.select(*by, F.col(right_pos).alias("_p"), val.alias("_v"))
     r = r.withColumn(blk, F.floor(F.col("_p") / block))
-    # The last right row of each (group, block).
-    summary = r.groupBy(*by, blk).agg(F.max_by("_v", "_p").alias("_v"))
-    # Blocks that hold left rows, and the last right row of all earlier blocks.
-    lb = left.select(*by, F.floor(F.col(left_pos) / block).alias(blk)).distinct()
-    seq = (lb.withColumn("_v", F.lit(None).cast(summary.schema["_v"].dataType)).withColumn("_src", F.lit(0))
-             .unionByName(summary.withColumn("_src", F.lit(1))))
-    w = Window.partitionBy(*by).orderBy(blk, "_src").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (seq.withColumn("_carry", F.last("_v", ignorenulls=True).over(w))
-                .filter((F.col("_src") == 0) & F.col("_carry").isNotNull())
-                .select(*by, blk, F.col("_carry").alias("_v")))
+    # One aggregate over (group, block): does the block hold left rows, and
+    # which is its last right row. Then, per group over these few rows, the
+    # last right row of all earlier blocks is carried into each left block.
+    marks = (left.select(*by, F.floor(F.col(left_pos) / block).alias(blk), F.lit(True).alias("_has_left"),
+                         F.lit(None).cast("bigint").alias("_p"), F.lit(None).cast(r.schema["_v"].dataType).alias("_v"))
+             .unionByName(r.withColumn("_has_left", F.lit(False))))
+    summary = marks.groupBy(*by, blk).agg(F.max("_has_left").alias("_has_left"), F.max_by("_v", "_p").alias("_v"))
+    w = Window.partitionBy(*by).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (summary.withColumn("_carry", F.last("_v", ignorenulls=True).over(w))
+                    .filter(F.col("_has_left") & F.col("_carry").isNotNull())
+                    .select(*by, blk, F.col("_carry").alias("_v")))
     # Per block: the carried row first, then right and left rows in position
     # order; on equal positions right rows sort first when inclusive.
     tie_right, tie_left = (0, 1) if inclusive else (1, 0)

@@ -17,7 +17,7 @@ from keyroll.operators import dedup as D
 from keyroll.operators import events as E
 from keyroll.operators import runs as R
 from keyroll.operators.asof import asof_lookup
-from keyroll.session import ensure_checkpoint_dir
+from keyroll.session import scratch_path
 
 META_FIELDS = ("dungeon_name", "dungeon_id", "challenge_mode_id", "key_level", "date", "two_affix_id",
                "four_affix_id", "seven_affix_id", "ten_affix_id")
@@ -64,11 +64,14 @@ def ingest(lines: DataFrame, log_year: int | None = None, parity: bool = False,
     runs = R.segment_runs(t.filter(F.col("event").isin(E.START, E.END)))
     in_run = R.assign_runs(t, runs)
     if materialize:
-        # Seven consumers read the in-run lines; write them once to the shared
-        # checkpoint folder instead of recomputing two shuffles per consumer
-        # (this also cuts the lineage a lost executor would replay).
-        ensure_checkpoint_dir(in_run.sparkSession)
-        in_run = in_run.checkpoint(eager=True)
+        # Seven consumers read the in-run lines; write them once as a Parquet
+        # table in the shared checkpoint folder instead of recomputing two
+        # shuffles per consumer (this also cuts the lineage a lost executor
+        # would replay, and gives every consumer a columnar scan).
+        spark = in_run.sparkSession
+        path = scratch_path(spark, "in-run")
+        in_run.write.parquet(path)
+        in_run = spark.read.parquet(path)
 
     starts = E.start_fields(in_run.filter(F.col("event") == E.START), F.col("log_year"))
     ends = E.end_fields(in_run.filter(F.col("event") == E.END))

@@ -26,6 +26,13 @@ def _ingest(spark: SparkSession, sf_dir: str, with_copies: bool = False, **kw) -
 
 
 def _start_events(res: Ingested) -> DataFrame:
+    """run_id -> the event id the bridge wrote into the START line (the
+    challenge-mode token, parsed into run meta)."""
+    return res.run_meta.select("run_id", F.col("challenge_mode_id").alias("start_event"))
+
+
+def _all_start_events(res: Ingested) -> DataFrame:
+    """As :func:`_start_events` for every run (hashed or not)."""
     return (res.in_run.filter(F.col("event") == E.START)
             .select("run_id", T.parse_int64(F.get(F.col("p"), 3)).alias("start_event")))
 
@@ -44,14 +51,14 @@ def r1_run_segments(spark, sf_dir):
     per_run = res.in_run.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.col("event").isin(*E.DAMAGE_EVENTS).cast("bigint")).alias("n_damage_lines"))
-    return (res.runs.join(per_run, "run_id").join(_start_events(res), "run_id")
+    return (res.runs.join(per_run, "run_id").join(_all_start_events(res), "run_id")
             .select("upload_id", "start_event", "closed", "n_lines", "n_damage_lines"))
 
 
 def p9_run_meta(spark, sf_dir):
     """P6 + P8 + P9 + P10: typed run meta of every hashed run."""
     res = _ingest(spark, sf_dir)
-    return (res.run_meta.join(_start_events(res), "run_id")
+    return (res.run_meta.withColumnRenamed("challenge_mode_id", "start_event")
             .select("upload_id", "start_event", "dungeon_name", "dungeon_id", "key_level", "date",
                     "two_affix_id", "four_affix_id", "seven_affix_id", "ten_affix_id", "finished", "duration",
                     "patch"))
@@ -99,8 +106,8 @@ def e2e_keys_result(spark, sf_dir):
     res = _ingest(spark, sf_dir, with_copies=True, patch_fallback="file")
     meta = res.kept_meta()
     keys = R.keys_result(res.kept_damage(), meta)
-    ident = meta.join(_start_events(res), "run_id").select(F.col("run_hash").alias("combatlog_hash"),
-                                                            "upload_id", "start_event")
+    ident = meta.select(F.col("run_hash").alias("combatlog_hash"), "upload_id",
+                        F.col("challenge_mode_id").alias("start_event"))
     return keys.join(ident, "combatlog_hash").drop("combatlog_hash")
 
 
@@ -132,7 +139,7 @@ def s1_file_runs(spark, sf_dir):
     per_run = res.in_run.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.col("event").isin(*E.DAMAGE_EVENTS).cast("bigint")).alias("n_damage_lines"))
-    return (res.runs.join(per_run, "run_id").join(_start_events(res), "run_id")
+    return (res.runs.join(per_run, "run_id").join(_all_start_events(res), "run_id")
             .select("upload_id", "start_event", "closed", "n_lines", "n_damage_lines"))
 
 
@@ -197,7 +204,8 @@ def o1_encounters(spark, sf_dir):
     res = _ingest(spark, sf_dir, events=E.READ_EVENTS + (E.ENCOUNTER_START, E.ENCOUNTER_END))
     enc = E.encounter_fields(res.in_run.filter(F.col("event").isin(E.ENCOUNTER_START, E.ENCOUNTER_END)))
     enc = enc.filter(F.col("error").isNull()).withColumn("time_ms", T.log_time_millis(F.col("ts_text"), LOG_YEAR))
-    seg = encounter_segments(enc).join(_start_events(res), "run_id").join(res.runs.select("run_id", "upload_id"), "run_id")
+    seg = (encounter_segments(enc).join(_all_start_events(res), "run_id")
+           .join(res.runs.select("run_id", "upload_id"), "run_id"))
     return seg.select("upload_id", "start_event", "encounter_id", "encounter_name", "closed", "kill", "duration_ms")
 
 
@@ -207,7 +215,7 @@ def o2_healing(spark, sf_dir):
     res = _ingest(spark, sf_dir, events=E.READ_EVENTS + E.HEAL_EVENTS)
     h = E.heal_fields(res.in_run.filter(F.col("event").isin(*E.HEAL_EVENTS)))
     h = h.filter(S.is_player_flag(F.col("caster_type")) & F.col("heal").isNotNull())
-    return (h.join(_start_events(res), "run_id")
+    return (h.join(_all_start_events(res), "run_id")
             .groupBy("upload_id", "start_event", "caster_id", "caster_name")
             .agg(F.sum("heal").cast("bigint").alias("heal"), F.sum("overheal").cast("bigint").alias("overheal"),
                  F.sum("absorbed").cast("bigint").alias("absorbed"), F.count(F.lit(1)).alias("n")))
