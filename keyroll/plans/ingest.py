@@ -8,7 +8,7 @@ small per-run joins. The per-upload window touches marker lines only.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +23,49 @@ META_FIELDS = ("dungeon_name", "dungeon_id", "challenge_mode_id", "key_level", "
                "four_affix_id", "seven_affix_id", "ten_affix_id")
 
 
-@dataclass
 class Ingested:
-    runs: DataFrame          # every run: upload_id, run_id, start_pos, end_pos, closed
-    in_run: DataFrame        # tokenised lines inside a run (+ run_id)
-    run_meta: DataFrame      # one row per run (+ run_hash, duplicate)
-    damage: DataFrame        # booked hits of every run (+ run_hash, duplicate)
-    rejects: DataFrame       # upload_id, pos, event, reason
-    hashes: DataFrame        # run_id, run_hash, hashed_lines, duplicate, upload_id, start_pos
+    """The outputs of :func:`ingest`. ``runs`` and ``in_run`` are stored
+    when the plan is built; the per-run dedup decisions are computed (and
+    stored) on first use, so a caller that needs only runs or rejects never
+    pays for fingerprints."""
+
+    def __init__(self, runs: DataFrame, in_run: DataFrame, meta: DataFrame, hits: DataFrame,
+                 rejects_no_tags: DataFrame, hashed_runs_fn, materialize: bool) -> None:
+        self.runs = runs              # every run: upload_id, run_id, start_pos, end_pos, closed
+        self.in_run = in_run          # tokenised lines inside a run (+ run_id, start_pos)
+        self._meta = meta
+        self._hits = hits
+        self._rejects = rejects_no_tags
+        self._hashed_runs_fn = hashed_runs_fn
+        self._materialize = materialize
+
+    @cached_property
+    def hashes(self) -> DataFrame:
+        """run_id, upload_id, start_pos, run_hash, hashed_lines, duplicate."""
+        decided = D.decide(*self._hashed_runs_fn())
+        return _stored(decided, "decided", self._materialize)
+
+    @cached_property
+    def _tags(self) -> DataFrame:
+        return self.hashes.select("run_id", "run_hash", "duplicate")
+
+    @property
+    def run_meta(self) -> DataFrame:
+        """One row per hashed run (+ run_hash, duplicate)."""
+        return self._meta.join(self._tags, "run_id", "inner")
+
+    @property
+    def damage(self) -> DataFrame:
+        """Booked hits of every hashed run (+ run_hash, duplicate)."""
+        return (self._hits.filter(F.col("keep"))
+                .select("upload_id", "run_id", "pos", "caster_id", "caster_name", "caster_type", "spell_id",
+                        "spell_name", "damage")
+                .join(self._tags, "run_id", "inner"))
+
+    @property
+    def rejects(self) -> DataFrame:
+        """upload_id, pos, event, reason."""
+        return self._rejects
 
     def kept_meta(self) -> DataFrame:
         return self.run_meta.filter(~F.col("duplicate"))
@@ -47,6 +82,17 @@ def _year(lines: DataFrame, log_year: int | None) -> Column:
     return F.year(F.current_date())
 
 
+def _stored(df: DataFrame, name: str, materialize: bool) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it
+    back (a lineage cut that survives executor loss); no-op when off."""
+    if not materialize:
+        return df
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def ingest(lines: DataFrame, log_year: int | None = None, parity: bool = False, mode: str = "quarantine",
            ledger: DataFrame | None = None, events=E.READ_EVENTS, patch_fallback: str | None = None,
            materialize: bool = True) -> Ingested:
@@ -61,17 +107,12 @@ def ingest(lines: DataFrame, log_year: int | None = None, parity: bool = False,
     bad_lines = t.filter(F.col("error").isNotNull()).select("upload_id", "pos", "event", F.col("error").alias("reason"))
     t = t.filter(F.col("error").isNull())
 
-    runs = R.segment_runs(t.filter(F.col("event").isin(E.START, E.END)))
-    in_run = R.assign_runs(t, runs)
-    if materialize:
-        # Seven consumers read the in-run lines; write them once as a Parquet
-        # table in the shared checkpoint folder instead of recomputing two
-        # shuffles per consumer (this also cuts the lineage a lost executor
-        # would replay, and gives every consumer a columnar scan).
-        spark = in_run.sparkSession
-        path = scratch_path(spark, "in-run")
-        in_run.write.parquet(path)
-        in_run = spark.read.parquet(path)
+    runs = _stored(R.segment_runs(t.filter(F.col("event").isin(E.START, E.END))), "runs", materialize)
+    # Seven consumers read the in-run lines; they are written once as a
+    # Parquet table in the shared checkpoint folder instead of recomputing two
+    # shuffles per consumer (this also cuts the lineage a lost executor would
+    # replay, and gives every consumer a columnar scan).
+    in_run = _stored(R.assign_runs(t, runs), "in-run", materialize)
 
     starts = E.start_fields(in_run.filter(F.col("event") == E.START), F.col("log_year"))
     ends = E.end_fields(in_run.filter(F.col("event") == E.END))
@@ -109,19 +150,14 @@ def ingest(lines: DataFrame, log_year: int | None = None, parity: bool = False,
                        F.lit("no_hash").alias("reason")))
     rejects = rejects.unionByName(no_hash)
 
-    hashed_runs = runs.join(fp, "run_id", "inner")
-    if mode == "failfast":
-        failed = rejects.filter(F.col("reason") != "no_hash").select("upload_id").distinct()
-        hashed_runs = hashed_runs.join(failed, "upload_id", "left_anti")
-    elif mode != "quarantine":
+    def hashed_runs():
+        hr = runs.join(fp, "run_id", "inner")
+        if mode == "failfast":
+            failed = rejects.filter(F.col("reason") != "no_hash").select("upload_id").distinct()
+            hr = hr.join(failed, "upload_id", "left_anti")
+        return hr, ledger
+
+    if mode not in ("quarantine", "failfast"):
         raise ValueError("mode must be 'quarantine' or 'failfast'")
-    decided = D.decide(hashed_runs, ledger)
-    tags = decided.select("run_id", "run_hash", "duplicate")
-
-    run_meta = meta.join(tags, "run_id", "inner")
-    damage = (hits.filter(F.col("keep"))
-              .select("upload_id", "run_id", "pos", "caster_id", "caster_name", "caster_type", "spell_id",
-                      "spell_name", "damage")
-              .join(tags, "run_id", "inner"))
-    return Ingested(runs=runs, in_run=in_run, run_meta=run_meta, damage=damage, rejects=rejects,
-                    hashes=decided)
+    return Ingested(runs=runs, in_run=in_run, meta=meta, hits=hits, rejects_no_tags=rejects,
+                    hashed_runs_fn=hashed_runs, materialize=materialize)

@@ -230,7 +230,10 @@ def log_lines(spark: SparkSession, sf_dir: str, with_copies: bool = False) -> Da
         header = F.date_format(F.col("ts").cast("timestamp"), "M/d HH:mm:ss.SSS")
         value = F.concat(header, F.lit("  "), render_body(F.col("event_id"), F.col("kind"), F.col("amount")))
         path = scratch_path(spark, "b4-lines")
-        b3.select("upload_id", "pos", "event_id", "ts", value.alias("value")).write.parquet(path)
+        # Like stored uploads: many files, each holding whole uploads in line order.
+        files = max(8, 2 * spark.sparkContext.defaultParallelism)
+        (b3.select("upload_id", "pos", "event_id", "ts", value.alias("value"))
+           .repartition(files, "upload_id").sortWithinPartitions("upload_id", "pos").write.parquet(path))
         _RENDERED[key] = path
     return spark.read.parquet(path)
 
