@@ -5,6 +5,11 @@ would put a hot group — possibly a third of all rows — into one task.
 Instead the position axis is cut into blocks of ``block`` positions: the
 windows run per (group, block), and a small per-block summary carries the
 state of all earlier blocks into each block. No pairs are produced.
+
+Positions are expected to be dense (row indexes, as the sources produce),
+so a block holds up to ``block`` rows and the per-group summaries have one
+row per ``block`` rows. Sparse positions stay correct but make the
+summaries as large as the data.
 """
 
 from __future__ import annotations

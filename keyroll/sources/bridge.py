@@ -216,6 +216,7 @@ _RENDERED: dict[tuple[str, str, bool], str] = {}
 def log_lines(spark: SparkSession, sf_dir: str, with_copies: bool = False) -> DataFrame:
     """``(upload_id, pos, event_id, ts, value)`` — one rendered log line
     per event; with ``with_copies`` the B5 duplicate uploads are added.
+    ``pos`` orders the lines of an upload and is dense (see below).
 
     The rendered lines are written once per session as a Parquet table in
     the shared checkpoint folder and read back: they play the part of stored
@@ -235,7 +236,11 @@ def log_lines(spark: SparkSession, sf_dir: str, with_copies: bool = False) -> Da
         (b3.select("upload_id", "pos", "event_id", "ts", value.alias("value"))
            .repartition(files, "upload_id").sortWithinPartitions("upload_id", "pos").write.parquet(path))
         _RENDERED[key] = path
-    return spark.read.parquet(path)
+    # Positions as the file sources make them: dense row indexes inside each
+    # file split, above the split's offset (files hold whole uploads in order).
+    pos = F.shiftleft(F.col("_metadata.file_block_start"), 33).bitwiseOR(
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return spark.read.parquet(path).withColumn("pos", pos)
 
 
 def copies(b3: DataFrame) -> DataFrame:
