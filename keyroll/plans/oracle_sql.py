@@ -312,3 +312,17 @@ RELATIONAL.update({
     "o6_merge_spells": O6,
     "o7_dungeon_statistics": O7,
 })
+
+A1 = f"""WITH {RUNS_B}, {DAMAGE_B}
+SELECT run_hash, caster_name, caster_id, CAST(sum(damage) AS BIGINT) AS damage
+FROM damage_b WHERE {PLAYER}
+  AND run_hash IN (SELECT run_hash FROM runs_b WHERE patch = '9.0.5' AND finished <> 0)
+GROUP BY run_hash, caster_name, caster_id"""
+
+A2 = f"""WITH {DAMAGE_B.replace("FROM lineitem)", ", l_shipdate AS ingest_time FROM lineitem)")}
+SELECT run_hash, caster_name, caster_id, CAST(sum(damage) AS BIGINT) AS damage
+FROM damage_b WHERE {PLAYER}
+  AND ingest_time BETWEEN TIMESTAMP '1995-06-16 23:58:00' AND TIMESTAMP '1995-06-17 00:01:00'
+GROUP BY run_hash, caster_name, caster_id"""
+
+RELATIONAL.update({"a1_filter_runs": A1, "a2_fresh_damage": A2})

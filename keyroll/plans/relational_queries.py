@@ -219,3 +219,25 @@ QUERIES.update({
     "o6_merge_spells": o6_merge_spells,
     "o7_dungeon_statistics": o7_dungeon_statistics,
 })
+
+
+# ------------------------------------------------------------ A1 / A2
+FRESH_AS_OF = "1995-06-17 00:01:00"
+
+
+def a1_filter_runs(spark, sf_dir):
+    """A1: damage per player of a set of runs given as a DataFrame of hashes
+    (finished runs of patch 9.0.5) — a semi join, not a driver-side list."""
+    runs = B.runs_b(spark, sf_dir).filter((F.col("patch") == "9.0.5") & (F.col("finished") != 0))
+    return R.damage_per_player(R.filter_runs(B.damage_b(spark, sf_dir), runs.select("run_hash")))
+
+
+def a2_fresh_damage(spark, sf_dir):
+    """A2: only facts whose ingest time lies in the three minutes before
+    ``as_of`` (ingest time of a bridge fact := its line's ship date)."""
+    import datetime as dt
+    facts = B.damage_b(spark, sf_dir, with_ingest_time=True)
+    return R.damage_per_player(R.filter_fresh(facts, dt.datetime.fromisoformat(FRESH_AS_OF)))
+
+
+QUERIES.update({"a1_filter_runs": a1_filter_runs, "a2_fresh_damage": a2_fresh_damage})

@@ -76,10 +76,11 @@ def runs_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def damage_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B2: damage facts (a bag: equal rows stay separate)."""
+def damage_b(spark: SparkSession, sf_dir: str, with_ingest_time: bool = False) -> DataFrame:
+    """B2: damage facts (a bag: equal rows stay separate); optionally with an
+    ``ingest_time`` (the line's ship date)."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                                  "l_extendedprice")
+                                                  "l_extendedprice", "l_shipdate")
     s5 = (F.col("l_suppkey") % 5).cast("string")
     spell = (F.col("l_partkey") % 40).cast("bigint")
     return li.select(
@@ -92,6 +93,7 @@ def damage_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         spell.alias("spell_id"),
         F.concat(F.lit("spell"), spell.cast("string")).alias("spell_name"),
         F.floor(F.col("l_extendedprice")).cast("bigint").alias("damage"),
+        *([F.col("l_shipdate").cast("timestamp").alias("ingest_time")] if with_ingest_time else []),
     )
 
 
