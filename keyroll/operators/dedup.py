@@ -42,11 +42,28 @@ def first_of_batch(runs: DataFrame, order_cols=("upload_id", "start_pos")) -> Da
     return runs.join(first, "run_id", "left_semi")
 
 
+# Ledger tables are partitioned by a hash bucket, so a batch reads only the
+# buckets of its own hashes (dynamic partition pruning).
+LEDGER_BUCKETS = 256
+
+
+def hash_bucket(run_hash) -> F.Column:
+    return F.pmod(F.xxhash64(run_hash), F.lit(LEDGER_BUCKETS)).cast("int")
+
+
 def known_hashes(batch_runs: DataFrame, ledger: DataFrame) -> DataFrame:
     """Ledger rows whose hash occurs in the batch. The batch's hashes are
     broadcast only after their count was checked; the ledger (unbounded
-    history) is never broadcast."""
+    history) is never broadcast. When the ledger carries the ``bucket``
+    partition column, only the partitions of the batch's buckets are read:
+    the bucket set (at most ``LEDGER_BUCKETS`` integers) becomes a partition
+    filter on the ledger scan."""
     hashes = batch_runs.select("run_hash").distinct()
+    if "bucket" in ledger.columns:
+        hashes = hashes.withColumn("bucket", hash_bucket(F.col("run_hash")))
+        buckets = [r[0] for r in hashes.select("bucket").distinct().collect()]   # <= LEDGER_BUCKETS values
+        pruned = ledger.filter(F.col("bucket").isin(buckets)).select("run_hash", "bucket")
+        return pruned.join(broadcast_if_small(hashes), ["run_hash", "bucket"], "left_semi").select("run_hash")
     return ledger.select("run_hash").join(broadcast_if_small(hashes), "run_hash", "left_semi")
 
 
@@ -66,14 +83,15 @@ def decide(runs: DataFrame, ledger: DataFrame | None) -> DataFrame:
 def ledger_entries(kept: DataFrame, created_at: _dt.datetime, batch_id: int) -> DataFrame:
     """Ledger rows ``DEDUP#hash`` for the runs kept in this batch."""
     return kept.select("run_hash", S.dedup_pk(F.col("run_hash")).alias("pk"),
-                       F.lit(created_at).alias("created_at"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+                       F.lit(created_at).alias("created_at"), F.lit(batch_id).cast("bigint").alias("batch_id"),
+                       hash_bucket(F.col("run_hash")).alias("bucket"))
 
 
 def write_ledger(entries: DataFrame, path: str) -> None:
-    """Idempotent append — each batch owns the partition ``batch_id=N``,
-    so a replayed batch rewrites the same partition."""
+    """Idempotent append — each batch owns its ``bucket=B/batch_id=N``
+    partitions, so a replayed batch rewrites the same partitions."""
     (entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(path))
+            .partitionBy("bucket", "batch_id").parquet(path))
 
 
 def hash_lists(runs: DataFrame) -> DataFrame:

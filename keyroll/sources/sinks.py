@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, stream: str = "main") -> None:
-    """S9 / S10 write: rows of one batch of one stream into the partition
-    ``stream=S/batch_id=N`` (dynamic overwrite: a replay rewrites it)."""
+def write_batch(df: DataFrame, path: str, batch_id: int, stream: str = "main", lead_partitions=()) -> None:
+    """S9 / S10 write: rows of one batch of one stream into the partitions
+    ``[lead partitions/]stream=S/batch_id=N`` (dynamic overwrite: a replay
+    rewrites exactly the partitions the batch owns)."""
     (df.withColumn("stream", F.lit(stream)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("stream", "batch_id").parquet(path))
+       .partitionBy(*lead_partitions, "stream", "batch_id").parquet(path))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
