@@ -49,13 +49,20 @@ def _by_damage_desc(arr, tie: str):
 
 
 def leaderboard_docs(damage: DataFrame, meta: DataFrame, join_mode: str = "inner",
-                     corrected: bool = False, order: str = "sk") -> DataFrame:
+                     corrected: bool = False, order: str = "sk", fanout: bool = False) -> DataFrame:
     """The leaderboard document of every finished run.
 
     ``order='sk'`` builds the sort key exactly as the reference (text order,
     Q12); ``order='numeric'`` zero-pads the percentage so text order equals
-    numeric order."""
-    players = (R.damage_per_player(damage).groupBy("run_hash")
+    numeric order. ``fanout=True`` lists each player as often as the
+    reference's joins return it (Q11)."""
+    per_player = R.damage_per_player(damage)
+    if fanout:
+        factor = R.fanout_factor(meta).select("run_hash", "_fanout")
+        per_player = (per_player.join(factor, "run_hash", "left")
+                      .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"),
+                                                                F.coalesce(F.col("_fanout"), F.lit(1).cast("bigint"))))))
+    players = (per_player.groupBy("run_hash")
                .agg(_by_damage_desc(F.collect_list(_player_struct()), "player_id").alias("player_damage")))
     m = R.require_measures(meta.filter(F.col("finished") != 0), R.KEYS_MEASURES, join_mode)
     j = players.join(m, "run_hash", "inner")

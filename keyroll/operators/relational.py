@@ -109,17 +109,32 @@ def damage_per_player_spell(damage: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ A8, A11, A12
-def keys_result(damage: DataFrame, meta: DataFrame, join_mode: str = "inner") -> DataFrame:
+def fanout_factor(meta: DataFrame) -> DataFrame:
+    """Q11: how many rows the reference's measure joins produce per run — the
+    product of the number of facts written per measure (``*_facts``
+    columns; a missing count is 1)."""
+    cols = [c for c in meta.columns if c.endswith("_facts")]
+    factor = F.lit(1).cast("bigint")
+    for c in cols:
+        factor = factor * F.coalesce(F.col(c), F.lit(1)).cast("bigint")
+    return meta.withColumn("_fanout", factor)
+
+
+def keys_result(damage: DataFrame, meta: DataFrame, join_mode: str = "inner", fanout: bool = False) -> DataFrame:
     """A4 + A8 + A11: damage per player joined to run meta of *finished* runs.
 
     Output columns follow the reference's select list (``combatlog_hash`` is
-    the run hash)."""
+    the run hash). ``fanout=True`` repeats each row as often as the
+    reference's joins would (Q11, parity); the default is one row per
+    (run, player)."""
     m = require_measures(meta.filter(F.col("finished") != 0) if join_mode == "inner"
                          else meta.filter(F.coalesce(F.col("finished"), F.lit(1)) != 0),
                          KEYS_MEASURES, join_mode)
     agg = damage_per_player(damage)
     how = "inner" if join_mode == "inner" else "left"
     j = agg.join(m, "run_hash", how)
+    if fanout:
+        j = fanout_factor(j).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_fanout"))))
     return j.select("damage", "caster_name", "caster_id", F.col("run_hash").alias("combatlog_hash"),
                     "dungeon_name", "dungeon_id", "key_level", "duration", "finished", "two_affix_id",
                     "four_affix_id", "seven_affix_id", "ten_affix_id", "patch", "date")

@@ -125,7 +125,10 @@ def ingest(lines: DataFrame, log_year: int | None = None, parity: bool = False,
     start_meta = starts.filter(F.col("error").isNull()).select("run_id", *META_FIELDS)
     end_meta = (ends.filter(F.col("error").isNull()).groupBy("run_id")
                 .agg(F.max("finished").alias("finished"), F.max("duration").alias("duration")))
-    patch = (versions.filter(F.col("error").isNull()).groupBy("run_id").agg(F.max("patch").alias("patch")))
+    # A run's patch; ``patch_facts`` counts its version lines (the reference
+    # writes one patch fact per line, which its joins multiply: Q11).
+    patch = (versions.filter(F.col("error").isNull()).groupBy("run_id")
+             .agg(F.max("patch").alias("patch"), F.count(F.lit(1)).alias("patch_facts")))
     meta = runs.join(start_meta, "run_id", "left").join(end_meta, "run_id", "left").join(patch, "run_id", "left")
     if patch_fallback == "file":
         all_versions = E.version_fields(t.filter(F.col("event") == E.VERSION)).filter(F.col("error").isNull())

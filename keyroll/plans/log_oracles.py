@@ -226,3 +226,20 @@ FROM la WHERE event = 'SPELL_HEAL' AND e % 1000 <> 999
 GROUP BY upload_id, start_event, e % 5"""
 
 ORACLES.update({"o1_encounters": O1, "o2_healing": O2})
+
+E2E_FANOUT = f"""WITH {_base(True)},
+pc AS (SELECT upload_id, start_event, count(*) AS patch_facts FROM lr WHERE event = 'COMBAT_LOG_VERSION'
+       GROUP BY upload_id, start_event),
+kept AS (SELECT m.*, pc.patch_facts FROM meta m JOIN dec d USING (upload_id, start_event)
+         JOIN pc USING (upload_id, start_event)
+         WHERE NOT d.duplicate AND m.finished <> 0 AND m.ten_affix_id IS NOT NULL AND m.patch IS NOT NULL),
+pd AS (SELECT upload_id, start_event, caster_name, caster_id, CAST(sum(damage) AS BIGINT) AS damage
+       FROM booked WHERE caster_type IN ('0x511', '0x512') AND caster_id <> '0000000000000000'
+       GROUP BY upload_id, start_event, caster_name, caster_id)
+SELECT * EXCLUDE (c) FROM (
+  SELECT pd.damage, pd.caster_name, pd.caster_id, k.dungeon_name, k.dungeon_id, k.key_level, k.duration, k.finished,
+    k.two_affix_id, k.four_affix_id, k.seven_affix_id, k.ten_affix_id, k.patch, k.date, k.upload_id, k.start_event,
+    unnest(range(k.patch_facts)) AS c
+  FROM pd JOIN kept k USING (upload_id, start_event))"""
+
+ORACLES["e2e_keys_result_fanout"] = E2E_FANOUT

@@ -222,3 +222,19 @@ def o2_healing(spark, sf_dir):
 
 
 QUERIES.update({"o1_encounters": o1_encounters, "o2_healing": o2_healing})
+
+
+def e2e_keys_result_fanout(spark, sf_dir):
+    """Q11 parity: the keys query with the reference's row multiplication
+    (a run with two version lines has two patch facts, so every player row
+    appears twice) and the reference's patch rule (version line inside the
+    run, Q2)."""
+    res = _ingest(spark, sf_dir, with_copies=True)
+    meta = res.kept_meta()
+    keys = R.keys_result(res.kept_damage(), meta, fanout=True)
+    ident = meta.select(F.col("run_hash").alias("combatlog_hash"), "upload_id",
+                        F.col("challenge_mode_id").alias("start_event"))
+    return keys.join(ident, "combatlog_hash").drop("combatlog_hash")
+
+
+QUERIES["e2e_keys_result_fanout"] = e2e_keys_result_fanout

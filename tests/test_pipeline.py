@@ -125,3 +125,19 @@ def test_stream_batch_replay_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(os.path.join(out, "damage")).count() == 3
     docs = spark.read.parquet(os.path.join(out, "top_keys"))
     assert docs.count() == 1
+
+
+def test_fanout_parity(spark):
+    """Q11: two version lines inside the run -> two patch facts -> every
+    player row (and document entry) twice with fanout=True, once by default."""
+    from keyroll.operators import gold as G
+    rows = SAMPLE[1:3] + [SAMPLE[0]] + SAMPLE[3:]
+    res = ingest(_lines(spark, rows), log_year=2021)
+    meta, dmg = res.kept_meta(), res.kept_damage()
+    plain = R.keys_result(dmg, meta).collect()
+    fan = R.keys_result(dmg, meta, fanout=True).collect()
+    assert len(plain) == 2 and len(fan) == 4
+    assert sorted(map(tuple, fan)) == sorted(map(tuple, plain * 2))
+    doc = G.leaderboard_docs(dmg, meta, fanout=True).first()
+    assert len(doc.player_damage) == 4
+    assert len(G.leaderboard_docs(dmg, meta).first().player_damage) == 2
