@@ -4,7 +4,6 @@ invariance of the file source and replay idempotence of the stream batch."""
 
 import gzip
 import os
-import pytest
 from pyspark.sql import functions as F
 
 from keyroll.functions import scoring as S
