@@ -25,9 +25,9 @@ META_FIELDS = ("dungeon_name", "dungeon_id", "challenge_mode_id", "key_level", "
 
 class Ingested:
     """The outputs of :func:`ingest`. ``runs`` and ``in_run`` are stored
-    when the plan is built; the per-run dedup decisions are computed (and
-    stored) on first use, so a caller that needs only runs or rejects never
-    pays for fingerprints."""
+    when the plan is built; the per-run dedup decisions and run meta are
+    computed (and stored) on first use, so a caller that needs only runs or
+    rejects never pays for fingerprints."""
 
     def __init__(self, runs: DataFrame, in_run: DataFrame, meta: DataFrame, hits: DataFrame,
                  rejects_no_tags: DataFrame, hashed_runs_fn, materialize: bool) -> None:
@@ -49,10 +49,11 @@ class Ingested:
     def _tags(self) -> DataFrame:
         return self.hashes.select("run_id", "run_hash", "duplicate")
 
-    @property
+    @cached_property
     def run_meta(self) -> DataFrame:
-        """One row per hashed run (+ run_hash, duplicate)."""
-        return self._meta.join(self._tags, "run_id", "inner")
+        """One row per hashed run (+ run_hash, duplicate); stored on first use
+        (small, and read by several consumers)."""
+        return _stored(self._meta.join(self._tags, "run_id", "inner"), "run-meta", self._materialize)
 
     @property
     def damage(self) -> DataFrame:
