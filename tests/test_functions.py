@@ -103,3 +103,33 @@ def test_sort_key_text_order_quirk(spark):
     """Q12: text order puts 98.5 above 102.3 within a level."""
     df = spark.createDataFrame([("10#98.500000#a",), ("10#102.300000#b",)], "sk string")
     assert [r.sk for r in df.orderBy(F.col("sk").desc()).collect()][0] == "10#98.500000#a"
+
+
+def _split_model(s):
+    """P2 semantics as a plain scan: a comma outside quotes
+    splits; a quote opens when outside, and closes when inside unless the
+    previous character is a backslash."""
+    res, beg, inside = [], 0, False
+    for i, ch in enumerate(s):
+        if ch == "," and not inside:
+            res.append(s[beg:i])
+            beg = i + 1
+        elif ch == '"':
+            if not inside:
+                inside = True
+            elif i > 0 and s[i - 1] != "\\":
+                inside = False
+    res.append(s[beg:])
+    return res
+
+
+def test_split_tokens_random(spark):
+    import random
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice('a,"  ,') for _ in range(rnd.randint(0, 30))) for _ in range(600)]
+    # escaped quotes inside a quoted field do not close it
+    texts += ['x,"a\\",b",y', '"\\",",z', 'p,"q\\"\\",r",s']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    got = {r.i: r.p for r in df.select("i", T.split_tokens(F.col("v")).alias("p")).collect()}
+    bad = [(t, got[i], _split_model(t)) for i, t in enumerate(texts) if got[i] != _split_model(t)]
+    assert not bad, bad[:5]
