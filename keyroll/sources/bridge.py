@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 
 from keyroll.session import scratch_path
 
-# Dungeon names, used only to label bridge runs (same ids as the timer table).
+# --- Fixed values that must equal the reference's -------------------------
+# Dungeon names of the timer table's ids (used to label bridge runs).
 DUNGEON_NAMES = {
     2291: "De Other Side", 2289: "Plaguefall", 2284: "Sanguine Depths",
     2287: "Halls of Atonement", 2290: "Mists of Tirna Scithe",
     2285: "Spires of Ascension", 2286: "Necrotic Wake", 2293: "Theater of Pain",
 }
+# --------------------------------------------------------------------------
 # Order in which ``key % 8`` picks a dungeon in the bridge views.
 DUNGEON_CYCLE = [2291, 2289, 2284, 2287, 2290, 2285, 2286, 2293]
 FOUR_CYCLE = [123, 7, 11, 8, 6, 122]
