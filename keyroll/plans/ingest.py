@@ -30,20 +30,31 @@ class Ingested:
     rejects never pays for fingerprints."""
 
     def __init__(self, runs: DataFrame, in_run: DataFrame, meta: DataFrame, hits: DataFrame,
-                 rejects_no_tags: DataFrame, hashed_runs_fn, materialize: bool) -> None:
+                 line_rejects: DataFrame, fingerprints: DataFrame, mode: str, ledger: DataFrame | None,
+                 materialize: bool) -> None:
         self.runs = runs              # every run: upload_id, run_id, start_pos, end_pos, closed
         self.in_run = in_run          # tokenised lines inside a run (+ run_id, start_pos)
         self._meta = meta
         self._hits = hits
-        self._rejects = rejects_no_tags
-        self._hashed_runs_fn = hashed_runs_fn
+        self._line_rejects = line_rejects
+        self._fingerprints = fingerprints
+        self._mode = mode
+        self._ledger = ledger
         self._materialize = materialize
 
+    @cached_property
+    def fingerprints(self) -> DataFrame:
+        """run_id, run_hash, hashed_lines — one row per hashed run (stored)."""
+        return _stored(self._fingerprints, "fingerprints", self._materialize)
+
     @cached_property
     def hashes(self) -> DataFrame:
         """run_id, upload_id, start_pos, run_hash, hashed_lines, duplicate."""
-        decided = D.decide(*self._hashed_runs_fn())
-        return _stored(decided, "decided", self._materialize)
+        hashed_runs = self.runs.join(self.fingerprints, "run_id", "inner")
+        if self._mode == "failfast":
+            failed = self._line_rejects.select("upload_id").distinct()
+            hashed_runs = hashed_runs.join(failed, "upload_id", "left_anti")
+        return _stored(D.decide(hashed_runs, self._ledger), "decided", self._materialize)
 
     @cached_property
     def _tags(self) -> DataFrame:
@@ -65,8 +76,12 @@ class Ingested:
 
     @property
     def rejects(self) -> DataFrame:
-        """upload_id, pos, event, reason."""
-        return self._rejects
+        """upload_id, pos, event, reason — rejected lines, and runs without a
+        hashed line (Q8, reason ``no_hash``)."""
+        no_hash = (self.runs.join(self.fingerprints, "run_id", "left_anti")
+                   .select("upload_id", F.col("start_pos").alias("pos"), F.lit(E.START).alias("event"),
+                           F.lit("no_hash").alias("reason")))
+        return self._line_rejects.unionByName(no_hash)
 
     def kept_meta(self) -> DataFrame:
         return self.run_meta.filter(~F.col("duplicate"))
@@ -149,19 +164,7 @@ def ingest(lines: DataFrame, log_year: int | None = None, parity: bool = False,
 
     rejects = (bad_lines.unionByName(errors(starts)).unionByName(errors(ends)).unionByName(errors(versions))
                .unionByName(errors(summons)).unionByName(errors(hits)))
-    no_hash = (runs.join(fp, "run_id", "left_anti")
-               .select("upload_id", F.col("start_pos").alias("pos"), F.lit(E.START).alias("event"),
-                       F.lit("no_hash").alias("reason")))
-    rejects = rejects.unionByName(no_hash)
-
-    def hashed_runs():
-        hr = runs.join(fp, "run_id", "inner")
-        if mode == "failfast":
-            failed = rejects.filter(F.col("reason") != "no_hash").select("upload_id").distinct()
-            hr = hr.join(failed, "upload_id", "left_anti")
-        return hr, ledger
-
     if mode not in ("quarantine", "failfast"):
         raise ValueError("mode must be 'quarantine' or 'failfast'")
-    return Ingested(runs=runs, in_run=in_run, meta=meta, hits=hits, rejects_no_tags=rejects,
-                    hashed_runs_fn=hashed_runs, materialize=materialize)
+    return Ingested(runs=runs, in_run=in_run, meta=meta, hits=hits, line_rejects=rejects, fingerprints=fp,
+                    mode=mode, ledger=ledger, materialize=materialize)
