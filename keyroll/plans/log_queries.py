@@ -170,7 +170,7 @@ QUERIES.update({
 
 
 # ------------------------------------------------------------ streaming
-STREAM_FILES_PER_TRIGGER = 128
+STREAM_FILES_PER_TRIGGER = 256
 
 
 def t1_stream_keys_result(spark, sf_dir):
