@@ -140,3 +140,23 @@ def test_fanout_parity(spark):
     doc = G.leaderboard_docs(dmg, meta, fanout=True).first()
     assert len(doc.player_damage) == 4
     assert len(G.leaderboard_docs(dmg, meta).first().player_damage) == 2
+
+
+def test_file_stream_one_upload_per_batch(spark, tmp_path):
+    """S8 + T1 + D2/D4 through the real file stream: one file per trigger,
+    the copy of an upload is skipped by the ledger of an earlier batch."""
+    from keyroll.streaming.uploads import gold_table, start_upload_streams
+    folder = tmp_path / "landing" / "upload" / "2021" / "1" / "24" / "16"
+    folder.mkdir(parents=True)
+    other = [SAMPLE[1], SAMPLE[3].replace(",784,", ",5,"), SAMPLE[9]]
+    for name, rows in (("aaaa.txt", SAMPLE), ("bbbb.txt", SAMPLE), ("cccc.txt", other)):
+        (folder / name).write_text("\n".join(rows) + "\n")
+    out = str(tmp_path / "out")
+    start_upload_streams(spark, str(tmp_path / "landing"), out, str(tmp_path / "ckpt"),
+                         max_files_per_trigger=1, log_year=2021, sequential=True)
+    metrics = gold_table(spark, out, "batch_metrics").filter("stream = 'text'").collect()
+    assert len(metrics) == 3 and all(m.runs == 1 for m in metrics)
+    assert sum(m.duplicate_runs for m in metrics) == 1
+    meta = gold_table(spark, out, "run_meta")
+    assert meta.count() == 2                                   # the copy is not written again
+    assert gold_table(spark, out, "ledger").count() == 2
