@@ -60,3 +60,23 @@ def test_class_filter(spark):
                                  "combatlog_hash string, player_damage array<struct<player_id:string,class:string,specc:string>>")
     assert [r.combatlog_hash for r in filter_by_player_class(docs, "mage", "fire").collect()] == ["h1"]
     assert filter_by_player_class(docs, "mage", "frost").count() == 0
+
+
+def test_upload_gates(spark, tmp_path):
+    """S5 + S6 + S7: suffix, key shape and the strict size limit."""
+    from keyroll.sources import logfiles as LF
+    good = tmp_path / "upload" / "2020" / "10" / "7" / "23"
+    good.mkdir(parents=True)
+    (good / "e894fa50.txt").write_text("x\n")
+    (good / "e894fa50.log").write_text("x\n")
+    short = tmp_path / "upload" / "2020"
+    (short / "nokey.txt").write_text("x\n")
+    rej = {r.path.rsplit("/", 1)[-1]: r.reason for r in LF.rejected_files(spark, str(tmp_path)).collect()}
+    assert rej == {"e894fa50.log": "suffix", "nokey.txt": "key"}
+    ok = LF.list_uploads(spark, str(tmp_path)).filter("accepted").collect()
+    assert [(r.upload_id, str(r.upload_date), r.upload_hour, r.file_type) for r in ok] == \
+        [("e894fa50", "2020-10-07", 23, "txt")]
+    sizes = spark.createDataFrame([("txt", 450 * 1024 * 1024 + 1023), ("txt", 450 * 1024 * 1024 + 1024),
+                                   ("gz", 40 * 1024 * 1024 + 1023), ("zip", 40 * 1024 * 1024 + 1024)],
+                                  "t string, b long")
+    assert [r[0] for r in sizes.select(LF.size_ok(F.col("t"), F.col("b"))).collect()] == [True, False, True, False]
