@@ -5,31 +5,110 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keyroll.llm import rules, secrets
+from keyroll.llm import (chat, decontaminate, html_extract, jaccard_join, langid, mixing, quality, rules, secrets,
+                         token_files)
 from keyroll.llm.common import read
 from keyroll.llm.sql import ORACLES
 from keyroll.session import apply_conf
 
+# Rows of an Arrow batch: texts can be long, and a batch is held in a worker.
+BATCH_ROWS = "500"
+
+# Production parameters of the mix: whole weights per level of the tree.
+MIX_WEIGHTS = {"domain": {"d0": 3, "d1": 2, "d2": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1},
+               "source": {"src0": 2}}
+MIX_TOTAL = "available * 6 div 10"
+MIX_EPOCHS = 3
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _fold(folds: int):
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def mix_domain():
+    """Domain of a source: its number modulo 3 (a source without one: none)."""
+    return F.concat(F.lit("d"), F.expr("try_cast(nullif(regexp_extract(source, '[0-9]+$', 0), '') as int) % 3").cast("string"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = (read(spark, sf_dir, "labels").filter(F.col("quality").isNotNull() & (_fold(5) != 0))
+              .groupBy("doc_id").agg(F.max("quality").alias("label")))
+    weights = quality.train(docs.join(labels, "doc_id"))
+    return quality.score(docs, weights).select(
+        "doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= quality.PREDICT).cast("int").alias("predicted"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").filter(_fold(3) != 1)
+    return langid.predict(_documents(spark, sf_dir), langid.learn(learn)).select(
+        "doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return rules.apply_rules(docs).select(
+    return rules.apply_rules(_documents(spark, sf_dir)).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return secrets.digest(secrets.scan(docs)).select(
+    return secrets.digest(secrets.scan(_documents(spark, sf_dir))).select(
         "row.doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan)}
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mix = mixing.select_mix(docs, mix_domain(), F.expr(MIX_TOTAL), MIX_WEIGHTS, MIX_EPOCHS)
+    return mix.select("row.doc_id", "epoch", "tokens", *mixing.LEVELS, "budget")
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(read(spark, sf_dir, "conversations"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_extract.main_text(pages, html_extract.learn(pages))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(_documents(spark, sf_dir), read(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("row.doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components_of(_documents(spark, sf_dir))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_files(token_files.write_files(_documents(spark, sf_dir), tokenizer_path()))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_language_id, op3_quality_rules, op4_secret_scan, op5_source_mix, op6_chat_format,
+    op7_html_text, op8_decontaminate, op9_jaccard_join, op10_token_files)}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Session settings the operators rely on."""
+    apply_conf(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def _pinned(fn: Callable) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        apply_conf(spark)
+        prepare(spark)
         return fn(spark, sf_dir)
     return run
 
