@@ -26,6 +26,13 @@ LEVELS = ("domain", "lang", "source")
 DIGITS = 4
 _WHOLE = "decimal(38,0)"
 
+# Production parameters: whole weights per level, the budget of the whole mix
+# over the available tokens, and how often a document may be used.
+WEIGHTS = {"domain": {"d0": 3, "d1": 2, "d2": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1},
+           "source": {"src0": 2}}
+TOTAL = "available * 6 div 10"
+EPOCHS = 3
+
 
 def _whole(c: Column) -> Column:
     return c.cast(_WHOLE)

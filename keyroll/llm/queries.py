@@ -16,13 +16,6 @@ from keyroll.session import apply_conf
 # Rows of an Arrow batch: texts can be long, and a batch is held in a worker.
 BATCH_ROWS = "500"
 
-# Production parameters of the mix: whole weights per level of the tree.
-MIX_WEIGHTS = {"domain": {"d0": 3, "d1": 2, "d2": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1},
-               "source": {"src0": 2}}
-MIX_TOTAL = "available * 6 div 10"
-MIX_EPOCHS = 3
-
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -68,7 +61,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    mix = mixing.select_mix(docs, mix_domain(), F.expr(MIX_TOTAL), MIX_WEIGHTS, MIX_EPOCHS)
+    mix = mixing.select_mix(docs, mix_domain(), F.expr(mixing.TOTAL), mixing.WEIGHTS, mixing.EPOCHS)
     return mix.select("row.doc_id", "epoch", "tokens", *mixing.LEVELS, "budget")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyroll.llm import rules, secrets
+from keyroll.llm import mixing, rules, secrets
 
 # Words (position i from 0) of every document.
 _WORDS = r"""
@@ -81,4 +81,62 @@ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM t LEFT JOIN agg USING (doc_id)"""
 
 
-ORACLES = {"op3_quality_rules": _quality_rules(), "op4_secret_scan": _secret_scan()}
+def _source_mix(weights: dict, total: str, epochs: int, seed: int = 17) -> str:
+    def weight(level: str) -> str:
+        cases = "".join(f" WHEN {level} = '{n}' THEN {w}" for n, w in weights.get(level, {}).items())
+        return f"(CASE{cases} ELSE 1 END)" if cases else "1"
+
+    def fill(src: str, parent: str, name: str, budget: str, out: str) -> str:
+        part = f"PARTITION BY {parent} " if parent else ""
+        order = f"{part}ORDER BY cap::DOUBLE / weight, {name}"
+        return f"""
+SELECT *, CASE WHEN mf IS NULL OR k < mf THEN cap ELSE least(cap, ({budget} - mu) * weight // mo) END AS {out} FROM (
+ SELECT *, min(CASE WHEN NOT ok THEN k END) OVER ({part}) AS mf,
+  arg_min(used, CASE WHEN NOT ok THEN k END) OVER ({part}) AS mu, arg_min(open, CASE WHEN NOT ok THEN k END) OVER ({part}) AS mo
+ FROM (SELECT *, cap::HUGEINT * open <= ({budget} - used) * weight AS ok FROM (
+  SELECT *, row_number() OVER ({order}) AS k,
+   coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS used,
+   (sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::HUGEINT AS open FROM ({src}))))"""
+
+    top = fill(f"SELECT domain, cap, {weight('domain')} AS weight, total FROM dom, tot", "", "domain", "total", "b1")
+    mid = fill(f"SELECT domain, lang, m.cap, {weight('lang')} AS weight, b1 FROM lng m JOIN t1 USING (domain)",
+               "domain", "lang", "b1", "b2")
+    low = fill(f"SELECT domain, lang, source, l.cap, l.tokens, {weight('source')} AS weight, b2 FROM leaf l JOIN t2 USING (domain, lang)",
+               "domain, lang", "source", "b2", "budget")
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce('d' || (try_cast(nullif(regexp_extract(source, '[0-9]+$'), '') AS INT) % 3), '') AS domain,
+  coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS tokens, (sum(tokens) * {epochs})::HUGEINT AS cap FROM d GROUP BY ALL),
+lng AS (SELECT domain, lang, sum(cap)::HUGEINT AS cap FROM leaf GROUP BY ALL),
+dom AS (SELECT domain, sum(cap)::HUGEINT AS cap FROM lng GROUP BY ALL),
+tot AS (SELECT {total} AS total FROM (SELECT sum(tokens)::HUGEINT AS available FROM leaf)),
+t1 AS (SELECT domain, b1 FROM ({top})), t2 AS (SELECT domain, lang, b2 FROM ({mid})),
+plan AS (SELECT domain, lang, source, tokens AS leaf_tokens, budget::BIGINT AS budget,
+  budget // greatest(tokens, 1) AS whole, budget % greatest(tokens, 1) AS part FROM ({low})),
+k AS (SELECT d.*, budget, whole, part, md5('{seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, 'null')) AS key
+  FROM d JOIN plan USING (domain, lang, source)),
+c AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, tokens
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM k),
+e AS (SELECT *, whole + (CASE WHEN part > 0 AND start < part THEN 1 ELSE 0 END) AS epochs FROM c)
+SELECT doc_id, unnest(range(epochs::BIGINT))::INT AS epoch, tokens, domain, lang, source, budget FROM e"""
+
+
+def _chat_format() -> str:
+    return """
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1)::BIGINT AS turn, role, text FROM conversations),
+one AS (SELECT conv_id, turn, role, text, md5(concat_ws('|', turn, coalesce('r' || role, ''), coalesce('t' || text, ''))) AS h FROM t),
+per AS (SELECT conv_id, turn, string_agg(h, '' ORDER BY role NULLS FIRST, text NULLS FIRST) AS h FROM one GROUP BY ALL),
+pre AS (SELECT conv_id, turn, turn = max(turn) OVER (PARTITION BY conv_id) AS last,
+  string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM per),
+whole AS (SELECT p, min(conv_id) AS conv_id, count(*) AS copies FROM pre WHERE last GROUP BY p),
+kept AS (SELECT conv_id, copies FROM whole WHERE p NOT IN (SELECT p FROM pre WHERE NOT last))
+SELECT k.conv_id, count(*) AS n_turns, k.copies,
+ string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10), ''
+  ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS rendered
+FROM kept k JOIN t ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY k.conv_id, k.copies"""
+
+
+ORACLES = {"op3_quality_rules": _quality_rules(), "op4_secret_scan": _secret_scan(),
+           "op5_source_mix": _source_mix(mixing.WEIGHTS, mixing.TOTAL.replace("div", "//"), mixing.EPOCHS),
+           "op6_chat_format": _chat_format()}
