@@ -17,15 +17,20 @@ from pyspark.sql import functions as F
 
 from keyroll.functions import scoring as S
 from keyroll.operators.asof import ordinal_within
-from keyroll.operators.sizing import broadcast_if_small
 
 
-def fingerprint(hashed_lines: DataFrame, run: str = "run_id", pos: str = "pos", body: str = "body") -> DataFrame:
+def with_body_hashes(lines: DataFrame, body: str = "body") -> DataFrame:
+    """Two independent 64-bit hashes of a line's body: what a fingerprint needs
+    of the text, so the text itself need not travel."""
+    return lines.withColumn("body_h1", F.xxhash64(body)).withColumn("body_h2", F.xxhash64(F.lit("keyroll"), body))
+
+
+def fingerprint(hashed_lines: DataFrame, run: str = "run_id", pos: str = "pos") -> DataFrame:
     """``run_id -> run_hash`` for runs with at least one hashed line
     (a run without any gets no hash, Q8)."""
-    d = ordinal_within(hashed_lines.select(run, pos, body), [run], pos, out="_seq")
-    h1 = F.xxhash64(F.col("_seq"), F.col(body))
-    h2 = F.xxhash64(F.lit("keyroll-run-hash"), F.col(body), F.col("_seq"))
+    d = ordinal_within(hashed_lines.select(run, pos, "body_h1", "body_h2"), [run], pos, out="_seq")
+    h1 = F.xxhash64(F.col("_seq"), F.col("body_h1"))
+    h2 = F.xxhash64(F.lit("keyroll-run-hash"), F.col("body_h2"), F.col("_seq"))
     agg = d.groupBy(run).agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(h1).alias("_h1"), F.bit_xor(h2).alias("_h2"))
     run_hash = F.concat_ws("-", F.col("_n").cast("string"), F.lower(F.hex(F.col("_h1"))),
                            F.lower(F.hex(F.col("_h2"))))
@@ -52,9 +57,8 @@ def hash_bucket(run_hash) -> F.Column:
 
 
 def known_hashes(batch_runs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Ledger rows whose hash occurs in the batch. The batch's hashes are
-    broadcast only after their count was checked; the ledger (unbounded
-    history) is never broadcast. When the ledger carries the ``bucket``
+    """Ledger rows whose hash occurs in the batch. Neither side is
+    broadcast by a hint. When the ledger carries the ``bucket``
     partition column, only the partitions of the batch's buckets are read:
     the bucket set (at most ``LEDGER_BUCKETS`` integers) becomes a partition
     filter on the ledger scan."""
@@ -63,8 +67,8 @@ def known_hashes(batch_runs: DataFrame, ledger: DataFrame) -> DataFrame:
         hashes = hashes.withColumn("bucket", hash_bucket(F.col("run_hash")))
         buckets = [r[0] for r in hashes.select("bucket").distinct().collect()]   # <= LEDGER_BUCKETS values
         pruned = ledger.filter(F.col("bucket").isin(buckets)).select("run_hash", "bucket")
-        return pruned.join(broadcast_if_small(hashes), ["run_hash", "bucket"], "left_semi").select("run_hash")
-    return ledger.select("run_hash").join(broadcast_if_small(hashes), "run_hash", "left_semi")
+        return pruned.join(hashes, ["run_hash", "bucket"], "left_semi").select("run_hash")
+    return ledger.select("run_hash").join(hashes, "run_hash", "left_semi")
 
 
 def drop_known(batch_runs: DataFrame, ledger: DataFrame | None) -> DataFrame:
@@ -87,13 +91,6 @@ def ledger_entries(kept: DataFrame, created_at: _dt.datetime, batch_id: int) ->
                        hash_bucket(F.col("run_hash")).alias("bucket"))
 
 
-def write_ledger(entries: DataFrame, path: str) -> None:
-    """Idempotent append — each batch owns its ``bucket=B/batch_id=N``
-    partitions, so a replayed batch rewrites the same partitions."""
-    (entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket", "batch_id").parquet(path))
-
-
 def hash_lists(runs: DataFrame) -> DataFrame:
     """Per upload, all run hashes and the duplicate ones (one upload holds
     a bounded number of runs)."""

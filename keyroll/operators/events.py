@@ -158,8 +158,7 @@ def damage_fields(d: DataFrame, owner: str = "owner") -> DataFrame:
         (F.col("spell_id").isNull(), "bad_int"),
     )
     d = d.withColumn("error", F.coalesce(F.col("error"), bad))
-    return d.withColumn("keep", F.col("error").isNull() & ~friendly & ~not_player) \
-            .withColumn("friendly_fire", friendly)
+    return d.withColumn("keep", F.col("error").isNull() & ~friendly & ~not_player)
 
 
 def heal_fields(d: DataFrame) -> DataFrame:

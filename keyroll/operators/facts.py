@@ -33,29 +33,8 @@ def unpivot_meta(meta: DataFrame) -> DataFrame:
     return out.filter(F.col("measure_value_bigint").isNotNull() | F.col("measure_value_varchar").isNotNull())
 
 
-def damage_to_narrow(damage: DataFrame) -> DataFrame:
-    """F1 for damage facts: measure ``damage`` with the caster/spell dimensions."""
-    return (damage.withColumn("measure_name", F.lit("damage"))
-                  .withColumnRenamed("damage", "measure_value_bigint")
-                  .withColumn("measure_value_varchar", F.lit(None).cast("string")))
-
-
-def attach_hash(facts: DataFrame, run_hashes: DataFrame) -> DataFrame:
-    """add the run hash to every fact of a run (equi-join on run_id; the
-    hash table has one row per run)."""
-    return facts.join(run_hashes.select("run_id", "run_hash"), "run_id", "inner")
-
-
 def retain(facts: DataFrame, as_of: _dt.datetime, days: int = 365, time_col: str = "ingest_time") -> DataFrame:
     """the store keeps 365 days; older facts are dropped (on a table
     partitioned by ``upload_date`` this is partition pruning)."""
     lo = as_of - _dt.timedelta(days=days)
     return facts.filter(F.col(time_col) >= F.lit(lo))
-
-
-def write_facts(facts: DataFrame, path: str, partition_col: str = "upload_date") -> None:
-    """Append facts as Parquet, partitioned by upload date. No shuffle
-    before the write: one day may hold most rows, so every task writes its
-    own files (bounded by ``maxRecordsPerFile``)."""
-    (facts.write.mode("append").option("maxRecordsPerFile", 5_000_000)
-          .partitionBy(partition_col).parquet(path))

@@ -10,7 +10,7 @@ run — the document is the feature; there is no cap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyroll.functions import scoring as S
@@ -41,11 +41,33 @@ def _player_struct(damage: str = "damage"):
                     F.lit(S.UNSUPPORTED).alias("specc"))
 
 
-def _by_damage_desc(arr, tie: str):
-    """Sort an array of structs by damage desc, then ``tie`` asc."""
-    return F.array_sort(arr, lambda a, b: F.when(a["damage"] > b["damage"], -1)
-                        .when(a["damage"] < b["damage"], 1)
-                        .when(a[tie] < b[tie], -1).when(a[tie] > b[tie], 1).otherwise(0))
+def _by_damage_desc(item: Column, tie: str) -> Column:
+    """Aggregate structs into an array by damage desc, then ``tie`` asc: the sort
+    keys go first into the collected struct, so the plain array sort applies."""
+    keyed = F.struct((-item["damage"]).alias("_d"), item[tie].alias("_t"), item.alias("item"))
+    return F.transform(F.sort_array(F.collect_list(keyed)), lambda x: x["item"])
+
+
+def leaderboard_keys(damage: DataFrame, meta: DataFrame, corrected: bool = False) -> DataFrame:
+    """The documents of N1 without their players: run meta of the finished runs
+    that have player damage. A page is chosen from these rows, and only the
+    chosen runs' players are put together (:func:`with_players`)."""
+    m = R.require_measures(meta.filter(F.col("finished") != 0), R.KEYS_MEASURES)
+    m = m.join(R.player_damage(damage).select("run_hash").distinct(), "run_hash", "left_semi")
+    pct, _ = S.timed_as_percent(F.col("dungeon_id"), F.col("duration"), corrected)
+    sk = S.sort_key(F.col("key_level"), pct, F.col("run_hash"))
+    return m.select(S.leaderboard_pk(F.col("patch")).alias("pk"), sk.alias("sk"),
+                    S.dungeon_pk(F.col("patch"), F.col("dungeon_id")).alias("gsi1pk"), sk.alias("gsi1sk"),
+                    *_doc_meta(m, corrected), "patch")
+
+
+def with_players(page: DataFrame, damage: DataFrame) -> DataFrame:
+    """A page's documents with their players array. ``page`` holds at most one
+    page of rows, so its run hashes are broadcast to the facts."""
+    rows = damage.join(F.broadcast(page.select(F.col("combatlog_hash").alias("run_hash"))), "run_hash", "left_semi")
+    players = (R.damage_per_player(rows).groupBy("run_hash")
+               .agg(_by_damage_desc(_player_struct(), "player_id").alias("player_damage")))
+    return page.join(players, page.combatlog_hash == players.run_hash, "left").drop("run_hash")
 
 
 def leaderboard_docs(damage: DataFrame, meta: DataFrame, join_mode: str = "inner",
@@ -63,7 +85,7 @@ def leaderboard_docs(damage: DataFrame, meta: DataFrame, join_mode: str = "inner
                       .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"),
                                                                 F.coalesce(F.col("_fanout"), F.lit(1).cast("bigint"))))))
     players = (per_player.groupBy("run_hash")
-               .agg(_by_damage_desc(F.collect_list(_player_struct()), "player_id").alias("player_damage")))
+               .agg(_by_damage_desc(_player_struct(), "player_id").alias("player_damage")))
     m = R.require_measures(meta.filter(F.col("finished") != 0), R.KEYS_MEASURES, join_mode)
     j = players.join(m, "run_hash", "inner")
     pct, _ = S.timed_as_percent(F.col("dungeon_id"), F.col("duration"), corrected)
@@ -85,13 +107,14 @@ def leaderboard_docs(damage: DataFrame, meta: DataFrame, join_mode: str = "inner
 def player_totals(damage: DataFrame) -> DataFrame:
     """N2 + N3 + N5: per (run, player name): total damage, the id of the
     largest row (Q16) and the spells sorted by damage desc, spell id asc."""
-    rows = R.damage_per_player_spell(damage)
+    # One exchange by run serves both document levels and the join with run meta.
+    rows = R.damage_per_player_spell(damage).repartition("run_hash")
     spell = F.struct(F.col("spell_id"), F.col("spell_name"), F.col("damage"))
     return (rows.groupBy("run_hash", "caster_name")
             .agg(F.sum("damage").cast("bigint").alias("damage"),
                  F.min(F.struct((-F.col("damage")).alias("nd"), F.col("caster_id").alias("id")))["id"]
                  .alias("caster_id"),
-                 _by_damage_desc(F.collect_list(spell), "spell_id").alias("damage_per_spell")))
+                 _by_damage_desc(spell, "spell_id").alias("damage_per_spell")))
 
 
 def breakdown_docs(damage: DataFrame, meta: DataFrame, join_mode: str = "inner",
@@ -103,7 +126,7 @@ def breakdown_docs(damage: DataFrame, meta: DataFrame, join_mode: str = "inner",
                       F.col("caster_id").alias("player_id"), F.lit(S.UNSUPPORTED).alias("class"),
                       F.lit(S.UNSUPPORTED).alias("specc"))
     players = (p.groupBy("run_hash")
-               .agg(_by_damage_desc(F.collect_list(player), "player_name").alias("player_damage")))
+               .agg(_by_damage_desc(player, "player_name").alias("player_damage")))
     m = R.require_measures(meta, R.BREAKDOWN_MEASURES, join_mode)
     j = players.join(m, "run_hash", "inner")
     key = S.run_detail_pk(F.col("run_hash"))

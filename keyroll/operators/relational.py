@@ -12,18 +12,19 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyroll.functions import scoring as S
 
-# Run-meta measures and their value type in the narrow model.
+# --- Fixed values that must equal the reference's: measure names, their value
+# type in the narrow model, and the measures each query requires.
 BIGINT_MEASURES = ("dungeon_id", "key_level", "date", "two_affix_id", "four_affix_id",
                    "seven_affix_id", "ten_affix_id", "duration", "finished")
 VARCHAR_MEASURES = ("patch",)
 META_COLUMNS = ("dungeon_name",) + BIGINT_MEASURES + VARCHAR_MEASURES
 
-# Measures each query requires (an inner join on a missing measure drops the run).
+# (an inner join on a missing measure drops the run)
 KEYS_MEASURES = ("dungeon_id", "key_level", "duration", "finished", "two_affix_id", "four_affix_id",
                  "seven_affix_id", "ten_affix_id", "patch", "date")
 BREAKDOWN_MEASURES = ("dungeon_id", "key_level", "duration", "finished", "two_affix_id", "four_affix_id",
@@ -127,12 +128,12 @@ def keys_result(damage: DataFrame, meta: DataFrame, join_mode: str = "inner", fa
     the run hash). ``fanout=True`` repeats each row as often as the
     reference's joins would (Q11, parity); the default is one row per
     (run, player)."""
-    m = require_measures(meta.filter(F.col("finished") != 0) if join_mode == "inner"
-                         else meta.filter(F.coalesce(F.col("finished"), F.lit(1)) != 0),
-                         KEYS_MEASURES, join_mode)
-    agg = damage_per_player(damage)
-    how = "inner" if join_mode == "inner" else "left"
-    j = agg.join(m, "run_hash", how)
+    m = require_measures(meta, KEYS_MEASURES, join_mode)
+    j = damage_per_player(damage).join(m, "run_hash", "inner" if join_mode == "inner" else "left")
+    # A4 applies to the joined row: a run known to be unfinished has no result in
+    # either mode; in left mode a run without the measure stays.
+    finished = F.col("finished") != 0
+    j = j.filter(finished if join_mode == "inner" else finished | F.col("finished").isNull())
     if fanout:
         j = fanout_factor(j).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_fanout"))))
     return j.select("damage", "caster_name", "caster_id", F.col("run_hash").alias("combatlog_hash"),
@@ -165,7 +166,3 @@ def missing_results(expected: DataFrame, result: DataFrame, reason: str) -> Data
     got = result.select(F.col("combatlog_hash").alias("run_hash")).distinct()
     return (expected.select("run_hash").distinct().join(got, "run_hash", "left_anti")
             .withColumn("reason", F.lit(reason)))
-
-
-def total_column(c: str) -> Column:
-    return F.sum(c).cast("bigint")

@@ -42,16 +42,15 @@ def segment_runs(markers: DataFrame, upload: str = "upload_id", pos: str = "pos"
     )
 
 
-def assign_runs(lines: DataFrame, runs: DataFrame, upload: str = "upload_id", pos: str = "pos",
-                keep_outside: bool = False) -> DataFrame:
+def assign_runs(lines: DataFrame, runs: DataFrame, upload: str = "upload_id", pos: str = "pos") -> DataFrame:
     """R2: attach ``run_id, start_pos`` to lines inside a run (start <= pos <=
-    end); lines outside every run are dropped (or kept with NULL run)."""
+    end); lines outside every run are dropped."""
     j = asof_lookup(lines, runs, [upload], pos, "start_pos", ["run_id", "end_pos"], inclusive=True,
                     out="_run")
     inside = F.col("_run").isNotNull() & (F.col(pos) <= F.col("_run.end_pos"))
     j = j.withColumn("run_id", F.when(inside, F.col("_run.run_id"))) \
          .withColumn("start_pos", F.when(inside, F.col("_run._pos"))).drop("_run")
-    return j if keep_outside else j.filter(F.col("run_id").isNotNull())
+    return j.filter(F.col("run_id").isNotNull())
 
 
 def attach_pet_owners(damage_lines: DataFrame, summons: DataFrame, upload: str = "upload_id",

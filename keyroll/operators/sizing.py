@@ -1,8 +1,4 @@
-"""Size-checked broadcasting and skew-safe ranking helpers.
-
-A side is broadcast only after its row count was measured below a bound;
-beyond it the plain (shuffle) join is used.
-"""
+"""Skew-safe ranking."""
 
 from __future__ import annotations
 
@@ -11,16 +7,6 @@ from pyspark.sql import functions as F
 
 from keyroll.session import ensure_checkpoint_dir
 
-# Rows a broadcast side may hold (a few MB of narrow rows).
-BROADCAST_MAX_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows,
-    else ``df`` unchanged (the join then shuffles). Counting stops early."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def _ordered(c: str, descending: bool) -> Column:
     return F.col(c).desc() if descending else F.col(c).asc()
@@ -31,23 +17,23 @@ def rank_within(df: DataFrame, part_col: str, order_col: str, descending: bool =
     """1-based position of every row in its ``part_col`` group by ``order_col``
     (unique within the group), without a window over a whole group.
 
-    Rows are range-partitioned on (part, order), so each task holds a
-    contiguous slice; per-(task, part) counts give each slice its offset.
+    Rows are range-partitioned on (part, order), in as many tasks as adaptive
+    execution finds right unless ``num_partitions`` says otherwise, so each task
+    holds a contiguous slice; per-(task, part) counts give each slice its offset.
     The tagged rows are checkpointed to the shared checkpoint folder so the
     task ids and row ids are stable when tasks are retried. The offsets table
     has at most ``partitions + groups`` rows.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
     keys = [F.col(part_col).asc(), _ordered(order_col, descending)]
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    tagged = (ranged.sortWithinPartitions(*keys)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .checkpoint(eager=True))
     stats = tagged.groupBy("_pid", part_col).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(part_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    out = tagged.join(broadcast_if_small(offsets), ["_pid", part_col])
+    out = tagged.join(offsets, ["_pid", part_col])
     return (out.withColumn(rank_col, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("bigint"))
                .drop("_pid", "_mid", "_n", "_m0", "_off"))

@@ -1,7 +1,7 @@
 """Upload lines -> run meta, damage facts, fingerprints, rejects.
 
 This is the reference's normalise + dedup + fact-write path as one Spark
-plan. Shuffles: the as-of run assignment (by upload, block), the pet
+plan. The text is tokenised once into a stored table. Shuffles: the as-of run assignment (by upload, block), the pet
 as-of (by upload, pet, block), the fingerprint aggregate (by run) and the
 small per-run joins. The per-upload window touches marker lines only.
 """
@@ -120,6 +120,9 @@ def ingest(lines: DataFrame, log_year: int | None = None, parity: bool = False,
     ``patch_fallback='file'`` falls back to the last version line before
     the run's start in the same upload."""
     t = E.tokenize(lines.withColumn("log_year", _year(lines, log_year)), parity=parity, events=events)
+    # The text is read and split once; later steps need the tokens and, for the
+    # fingerprint, two hashes of the body, not the text itself.
+    t = _stored(D.with_body_hashes(t).drop("value", "body"), "tokens", materialize)
     bad_lines = t.filter(F.col("error").isNotNull()).select("upload_id", "pos", "event", F.col("error").alias("reason"))
     t = t.filter(F.col("error").isNull())
 

@@ -15,7 +15,7 @@ def _base(copies: bool) -> str:
     src = ("SELECT CAST(user_id AS VARCHAR) AS upload_id, ts, event_id AS e, event_type, "
            "CAST(floor(value) AS BIGINT) AS amount FROM events")
     if copies:
-        src += (" UNION ALL SELECT CAST(user_id + 100000 AS VARCHAR), ts, event_id, event_type, "
+        src += (" UNION ALL SELECT CAST(user_id AS VARCHAR) || '-copy', ts, event_id, event_type, "
                 "CAST(floor(value) AS BIGINT) FROM events WHERE user_id % 3 = 0")
     return f"""ev AS (
  SELECT *, CASE event_type WHEN 'signup' THEN 'START' WHEN 'purchase' THEN 'END' WHEN 'error' THEN 'SUMMON'
@@ -157,6 +157,19 @@ SELECT upload_id, start_event, hashed_lines, copies FROM dec"""
 D3 = f"""WITH {_base(True)}
 SELECT upload_id, start_event, duplicate FROM dec"""
 
+_TWO_BATCHES = f"""WITH {_base(True)},
+b AS (SELECT h.*, r.s_ts, CASE WHEN h.upload_id NOT LIKE '%-copy' AND TRY_CAST(h.upload_id AS BIGINT) % 2 = 0 THEN 1 ELSE 2 END AS batch
+      FROM (SELECT * FROM hashed) h JOIN runs r USING (upload_id, start_event)),
+led AS (SELECT *, min(batch) OVER (PARTITION BY content) AS first_batch,
+          row_number() OVER (PARTITION BY content, batch ORDER BY upload_id, s_ts) AS rn FROM b)"""
+
+D2 = _TWO_BATCHES + """
+SELECT upload_id, start_event, (first_batch = 1 OR rn > 1) AS duplicate FROM led WHERE batch = 2"""
+
+D6 = _TWO_BATCHES + """
+SELECT upload_id, start_event, CAST(batch AS BIGINT) AS batch_id, true AS keyed FROM led
+WHERE batch = first_batch AND rn = 1 AND CAST(regexp_extract(upload_id, '^[0-9]+') AS BIGINT) % 5 <> 0"""
+
 D5 = f"""WITH {_base(True)}
 SELECT upload_id, CAST(count(DISTINCT content) AS BIGINT) AS n_hashes,
   CAST(count(DISTINCT CASE WHEN duplicate THEN content END) AS BIGINT) AS n_duplicates
@@ -182,6 +195,8 @@ ORACLES = {
     "p13_rejects": P13,
     "d1_duplicate_groups": D1,
     "d3_kept_runs": D3,
+    "d2_ledger_skips": D2,
+    "d6_ledger_delete": D6,
     "d5_hash_lists": D5,
     "e2e_keys_result": E2E,
 }

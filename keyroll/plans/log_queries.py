@@ -93,6 +93,47 @@ def d3_kept_runs(spark, sf_dir):
     return res.hashes.join(_start_events(res), "run_id").select("upload_id", "start_event", "duplicate")
 
 
+def _two_batches(spark, sf_dir):
+    """The uploads in two batches: originals with an even number first, then all
+    others (copies included) against the ledger the first batch wrote."""
+    import datetime as dt
+
+    from keyroll.operators import dedup as D
+    from keyroll.session import scratch_path
+    lines = B.log_lines(spark, sf_dir, with_copies=True)
+    early = ~F.col("upload_id").endswith(B.COPY_SUFFIX) & (F.try_to_number(F.col("upload_id"), F.lit("999999999999999999")) % 2 == 0)
+    path, batches = scratch_path(spark, "ledger"), []
+    for n, part in enumerate((lines.filter(early), lines.filter(~early)), start=1):
+        ledger = spark.read.parquet(path) if batches else None
+        res = ingest(part, log_year=LOG_YEAR, ledger=ledger)
+        entries = D.ledger_entries(res.hashes.filter(~F.col("duplicate")), dt.datetime(2024, 2, n), n)
+        entries.write.mode("append").partitionBy("bucket").parquet(path)
+        batches.append(res)
+    return batches, spark.read.parquet(path)
+
+
+def d2_ledger_skips(spark, sf_dir):
+    """D2 + D3: duplicate decisions of the second batch, which skips the runs the
+    ledger knows from the first one."""
+    batches, _ = _two_batches(spark, sf_dir)
+    return batches[1].hashes.join(_start_events(batches[1]), "run_id").select("upload_id", "start_event", "duplicate")
+
+
+def d6_ledger_delete(spark, sf_dir):
+    """D4 + D6: the ledger after both batches, less the runs of the uploads whose
+    number is divisible by 5; one row per run it still holds."""
+    from keyroll.operators.dedup import delete_from_ledger
+    batches, ledger = _two_batches(spark, sf_dir)
+    runs = None
+    for res in batches:
+        part = res.hashes.filter(~F.col("duplicate")).join(_start_events(res), "run_id").select("run_hash", "upload_id", "start_event")
+        runs = part if runs is None else runs.unionByName(part)
+    number = F.regexp_extract("upload_id", "^[0-9]+", 0).cast("bigint")
+    left = delete_from_ledger(ledger, runs.filter(number % 5 == 0))
+    return left.join(runs, "run_hash").select("upload_id", "start_event", "batch_id", (F.col("pk") == F.concat(
+        F.lit("DEDUP#"), "run_hash")).alias("keyed"))
+
+
 def d5_hash_lists(spark, sf_dir):
     """All / duplicate hashes per upload (sizes)."""
     from keyroll.operators.dedup import hash_lists
@@ -119,6 +160,8 @@ QUERIES = {
     "p13_rejects": p13_rejects,
     "d1_duplicate_groups": d1_duplicate_groups,
     "d3_kept_runs": d3_kept_runs,
+    "d2_ledger_skips": d2_ledger_skips,
+    "d6_ledger_delete": d6_ledger_delete,
     "d5_hash_lists": d5_hash_lists,
     "e2e_keys_result": e2e_keys_result,
 }
@@ -170,7 +213,8 @@ QUERIES.update({
 
 
 # ------------------------------------------------------------ streaming
-STREAM_FILES_PER_TRIGGER = 256
+# Files per micro-batch, the same at every size.
+STREAM_FILES_PER_TRIGGER = 64
 
 
 def t1_stream_keys_result(spark, sf_dir):

@@ -104,8 +104,8 @@ SELECT {_KEYS_SELECT} FROM d JOIN (SELECT * FROM runs_named WHERE {KEYS_META}) r
 A11_LEFT = f"""WITH {RUNS_B}, {DAMAGE_B},
 d AS (SELECT run_hash, caster_name, caster_id, CAST(sum(damage) AS BIGINT) AS damage
       FROM damage_b WHERE {PLAYER} GROUP BY run_hash, caster_name, caster_id)
-SELECT {_KEYS_SELECT} FROM d LEFT JOIN (SELECT * FROM runs_named WHERE coalesce(finished, 1) <> 0) r
-  ON d.run_hash = r.run_hash"""
+SELECT {_KEYS_SELECT} FROM d LEFT JOIN runs_named r ON d.run_hash = r.run_hash
+WHERE d.run_hash NOT IN (SELECT run_hash FROM runs_named WHERE finished = 0)"""
 
 A12 = f"""WITH {RUNS_B}, {DAMAGE_B},
 d AS (SELECT run_hash, caster_name, caster_id, spell_id, spell_name, CAST(sum(damage) AS BIGINT) AS damage
@@ -226,7 +226,9 @@ kept AS (SELECT * FROM read WHERE rn <= 10)
 SELECT CAST(row_number() OVER (ORDER BY {sk} DESC) AS INTEGER) AS pos, duration_text, deaths, affixes, keylevel,
   dungeon_name, dungeon_id, combatlog_hash, intime, {sk},
   (SELECT max({sk}) FROM kept) AS first_sk, (SELECT min({sk}) FROM kept) AS last_sk,
-  {first_page} AS first_page, {last_page} AS last_page
+  {first_page} AS first_page, {last_page} AS last_page,
+  (SELECT string_agg(d.caster_id || '=' || CAST(d.damage AS VARCHAR), ';' ORDER BY d.damage DESC, d.caster_id)
+   FROM d WHERE d.run_hash = combatlog_hash) AS players
 FROM kept, cnt"""
 
 

@@ -119,30 +119,34 @@ def n6_breakdown_docs(spark, sf_dir):
                     F.col("s.damage").alias("spell_damage"))
 
 
-def _page_flat(page: DataFrame) -> DataFrame:
-    return page.drop("player_damage")
+def _page(spark, sf_dir, board: str, **cursor) -> DataFrame:
+    """One page, its players written as ``id=damage`` in document order."""
+    damage, meta = _inputs(spark, sf_dir)
+    columns = [c for c in K.PAGE_COLUMNS if c != "player_damage"]
+    page = K.keys_page(G.leaderboard_keys(damage, meta), board, columns=columns, **cursor)
+    players = F.transform("player_damage", lambda p: F.concat_ws("=", p["player_id"], p["damage"].cast("string")))
+    return G.with_players(page, damage).withColumn("players", F.array_join(players, ";")).drop("player_damage")
 
 
 def k1_top_keys(spark, sf_dir):
-    return _page_flat(K.keys_page(G.leaderboard_docs(*_inputs(spark, sf_dir)), f"LOG#KEY#{PATCH}"))
+    return _page(spark, sf_dir, f"LOG#KEY#{PATCH}")
 
 
 def k2_top_keys_dungeon(spark, sf_dir):
-    return _page_flat(K.dungeon_page(G.leaderboard_docs(*_inputs(spark, sf_dir)), PATCH, DUNGEON))
+    return _page(spark, sf_dir, f"LOG#KEY#{PATCH}#{DUNGEON}", index="gsi1")
 
 
 def k3_next_page(spark, sf_dir):
-    return _page_flat(K.keys_page(G.leaderboard_docs(*_inputs(spark, sf_dir)), f"LOG#KEY#{PATCH}",
-                                  next_sk=CURSOR))
+    return _page(spark, sf_dir, f"LOG#KEY#{PATCH}", next_sk=CURSOR)
 
 
 def k4_prev_page(spark, sf_dir):
-    return _page_flat(K.keys_page(G.leaderboard_docs(*_inputs(spark, sf_dir)), f"LOG#KEY#{PATCH}",
-                                  prev_sk=CURSOR))
+    return _page(spark, sf_dir, f"LOG#KEY#{PATCH}", prev_sk=CURSOR)
 
 
 def k8_run_detail(spark, sf_dir):
-    d = K.run_detail(G.breakdown_docs(*_inputs(spark, sf_dir)), DETAIL_RUN)
+    damage, meta = (t.filter(F.col("run_hash") == DETAIL_RUN) for t in _inputs(spark, sf_dir))
+    d = K.run_detail(G.breakdown_docs(damage, meta), DETAIL_RUN)
     return (d.select("pk", "combatlog_hash", F.posexplode("player_damage").alias("player_pos", "p"))
              .select("pk", "combatlog_hash", "player_pos", F.col("p.player_name").alias("player_name"),
                      F.col("p.damage").alias("player_total"),

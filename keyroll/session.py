@@ -7,6 +7,7 @@ ANSI casts at parse points) and turn on adaptive execution.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -44,7 +45,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 def apply_conf(spark: SparkSession) -> None:
     """Pin the runtime settings the results depend on."""
-    for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
+    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.adaptive.enabled"):
         spark.conf.set(k, BASE_CONF[k])
     ensure_checkpoint_dir(spark)
 
@@ -52,15 +53,19 @@ def apply_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment (a shared file system); only
-    when it is unset (tests, local runs) a folder under the system temp dir
-    is created and registered.
+    On a cluster this is set by the deployment (a shared file system) and it is
+    an error if it is not; only a local master (tests, local runs) gets a folder
+    under the system temp dir.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="keyroll-ckpt-"))
+    if configured is None:
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="keyroll-ckpt-")
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 

@@ -15,7 +15,7 @@ The rules below are the bridge *specification*; the DuckDB oracles in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyroll.session import scratch_path
@@ -32,8 +32,8 @@ DUNGEON_NAMES = {
 DUNGEON_CYCLE = [2291, 2289, 2284, 2287, 2290, 2285, 2286, 2293]
 FOUR_CYCLE = [123, 7, 11, 8, 6, 122]
 SEVEN_CYCLE = [13, 4, 3, 124, 14, 12]
-# Offset of the B5 copies' upload ids.
-COPY_OFFSET = 100000
+# What the upload id of a B5 copy ends with.
+COPY_SUFFIX = "-copy"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -235,19 +235,14 @@ def log_lines(spark: SparkSession, sf_dir: str, with_copies: bool = False) -> Da
         header = F.date_format(F.col("ts").cast("timestamp"), "M/d HH:mm:ss.SSS")
         value = F.concat(header, F.lit("  "), render_body(F.col("event_id"), F.col("kind"), F.col("amount")))
         path = scratch_path(spark, "b4-lines")
-        # Like stored uploads: many files, each holding whole uploads in line order.
-        files = max(8, 2 * spark.sparkContext.defaultParallelism)
-        (b3.select("upload_id", "pos", "event_id", "ts", value.alias("value"))
-           .repartition(files, "upload_id").sortWithinPartitions("upload_id", "pos").write.parquet(path))
+        # Stored with explicit line numbers, whatever the files' sizes.
+        line = F.row_number().over(Window.partitionBy("upload_id").orderBy("pos")).cast("bigint")
+        b3.select("upload_id", line.alias("pos"), "event_id", "ts", value.alias("value")).write.parquet(path)
         _RENDERED[key] = path
-    # Positions as the file sources make them: dense row indexes inside each
-    # file split, above the split's offset (files hold whole uploads in order).
-    pos = F.shiftleft(F.col("_metadata.file_block_start"), 33).bitwiseOR(
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    return spark.read.parquet(path).withColumn("pos", pos)
+    return spark.read.parquet(path)
 
 
 def copies(b3: DataFrame) -> DataFrame:
     """A byte-identical copy of every upload whose id is divisible by 3."""
     return (b3.filter(F.col("upload_id").cast("bigint") % 3 == 0)
-              .withColumn("upload_id", (F.col("upload_id").cast("bigint") + COPY_OFFSET).cast("string")))
+              .withColumn("upload_id", F.concat("upload_id", F.lit(COPY_SUFFIX))))
