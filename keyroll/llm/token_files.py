@@ -19,10 +19,13 @@ file, both i64. All numbers are little-endian.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from keyroll.session import scratch_path
 
 MAGIC = b"KRTOK1"
 MASK = 0xA282EAD8
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 MANIFEST = "part int, path string, index_path string, n_records bigint, n_tokens bigint, n_bytes bigint"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 HEAD, CHECK, PAYLOAD, ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?q"), struct.Struct("<qq")
@@ -49,9 +52,9 @@ def masked_crc(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + MASK) & 0xFFFFFFFF
 
 
-def framed(doc_id: int | None, ids: np.ndarray) -> bytes:
+def framed(doc_id: int | None, ids: bytes) -> bytes:
     """One record: its length and payload, each followed by its checksum."""
-    payload = PAYLOAD.pack(doc_id is None, doc_id or 0) + ids.tobytes()
+    payload = PAYLOAD.pack(doc_id is None, doc_id or 0) + ids
     head = HEAD.pack(len(payload))
     return b"".join((head, CHECK.pack(masked_crc(head)), payload, CHECK.pack(masked_crc(payload))))
 
@@ -61,43 +64,85 @@ def entry(offset: int, tokens: int) -> bytes:
 
 
 class WordIds(dict):
-    """Ids per white-space-delimited word, filled through the tokenizer.
+    """Ids, as bytes of their width on disk, per white-space-delimited word.
 
-    The tokenizer drops white space and merges within a word only, so a text's
-    ids are those of its words one after the other. Refilled from empty when it
-    holds ``CACHE_WORDS`` words.
+    Right for tokenizers that drop white space and merge within a word only: a
+    text's ids are then those of its words one after the other. Words are filled
+    in through the tokenizer; of a plain word (Latin letters, then marks other than
+    an apostrophe) its lower-cased letters and its marks are looked up apart, as the tokenizer
+    splits them. Emptied when it holds ``CACHE_WORDS`` words.
     """
 
-    def __init__(self, tokenizer):
+    PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
+    def __init__(self, tokenizer: Any, width: int):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.kind = tokenizer, np.dtype(f"<u{width}")
+        ends = [i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.ends[ends] = True
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> bytes:
         words = text.encode().split()
-        new = list({w for w in words if w not in self})
-        if new:
-            if len(self) + len(new) > CACHE_WORDS:
-                self.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 10_000):
-                part = new[at:at + 10_000]
-                done = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-                self.update(zip(part, (e.ids for e in done), strict=True))
-        out: list[int] = []
-        for w in words:
-            out += self[w]
-        return out
-
-
-def load_encoder(path: str) -> tuple[Callable[[str], list[int]], int]:
-    """Encoder of a tokenizer file and the bytes an id takes on disk."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    return WordIds(tokenizer).ids, 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+        found = list(map(self.get, words))
+        if None in found:
+            self.add({w for w, f in zip(words, found, strict=True) if f is None})
+            found = list(map(self.get, words))
+            if None in found:  # a mark or word fell out when the table was emptied
+                return b"".join(self.one(w) for w in words)
+        return b"".join(found)
+
+    def one(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def add(self, words: set[bytes]) -> None:
+        if len(self) + 2 * len(words) > CACHE_WORDS:
+            self.clear()
+        split = {}
+        for word in words:
+            plain = self.PLAIN.fullmatch(word)
+            if plain is None:
+                self[word] = self.one(word)
+            else:
+                split[word] = plain[1].decode().lower().encode(), plain[2]
+        stems = list({stem for stem, _ in split.values() if stem not in self})
+        for at in range(0, len(stems), 1000):
+            self.add_plain(stems[at:at + 1000])
+        for word, (stem, marks) in split.items():
+            if marks and marks not in self:
+                self[marks] = self.one(marks)
+            self[word] = self[stem] + (self[marks] if marks else b"")
+
+    def add_plain(self, stems: list[bytes]) -> None:
+        """Words of letters only, encoded in one text and cut at the word ends."""
+        ids = np.array(self.tokenizer.encode(b" ".join(stems).decode(), add_special_tokens=False).ids, dtype=self.kind)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(stems) and cuts[-1] == len(ids):
+            data, size, start = ids.tobytes(), self.kind.itemsize, 0
+            for stem, end in zip(stems, (cuts * size).tolist(), strict=True):
+                self[stem] = data[start:end]
+                start = end
+        else:
+            for stem in stems:
+                self[stem] = self.one(stem)
+
+
+_ENCODERS: dict[str, tuple[Callable[[str], bytes], int]] = {}
+
+
+def load_encoder(path: str) -> tuple[Callable[[str], bytes], int]:
+    """Encoder of a tokenizer file (ids as bytes) and the bytes an id takes; one
+    per worker process, so words are looked up across tasks."""
+    if path not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        words = WordIds(tokenizer, 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4)
+        whole = tokenizer.encode(" ab,  cd\n\tef. ", add_special_tokens=False).ids
+        parts = [i for w in ("ab", ",", "cd", "ef", ".") for i in tokenizer.encode(w, add_special_tokens=False).ids]
+        _ENCODERS[path] = (words.ids if whole == parts else lambda text: words.one(text.encode()), words.kind.itemsize)
+    return _ENCODERS[path]
 
 
 def shared_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -124,7 +169,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "t
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encode, width = load_encoder(tokenizer)
-        kind = np.dtype(f"<u{width}")
+        end = end_id.to_bytes(width, "little")
         target, base = shared_fs(folder)
         name = f"{base}/part-{part:06d}-{uuid.uuid4().hex}"
         out = index = None
@@ -136,13 +181,12 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, text: str = "t
                     out, index = target.open_output_stream(f"{name}.rec"), target.open_output_stream(f"{name}.idx")
                     out.write(MAGIC + bytes([width, 0]))
                     offset = 8
-                ids = encode(body.as_py())
-                ids.append(end_id)
-                record = framed(key.as_py(), np.array(ids, dtype=kind))
+                ids = encode(body.as_py()) + end
+                record = framed(key.as_py(), ids)
                 out.write(record)
                 index.write(entry(offset, tokens))
                 offset += len(record)
-                tokens += len(ids)
+                tokens += len(ids) // width
                 records += 1
         if out is not None:
             out.close()
