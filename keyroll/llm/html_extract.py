@@ -54,7 +54,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w=-])(hidden)(?![\w=-])")
 
 # Scores of kinds that no labelled page has: words and tags.
-WORD_DEFAULT, TAG_DEFAULT = 1.0, -2.0
+WORD_DEFAULT, TAG_DEFAULT, INLINE_DEFAULT = 1.0, -2.0, -0.1
 LEAST = 0.05
 
 
@@ -177,11 +177,17 @@ def best_run(values: list[float]) -> tuple[int, int]:
     return where
 
 
+def _score(kind: str, text: str, scores: dict[str, float]) -> float:
+    if kind.startswith("word@"):
+        return scores.get(kind, WORD_DEFAULT) * len(text.split())
+    name = kind.removeprefix("/")
+    return scores.get(kind, INLINE_DEFAULT if name in INLINE and name != "a" else TAG_DEFAULT)
+
+
 def extract(page: str | None, scores: dict[str, float]) -> str:
     """Main text of one page; empty if it has no positive run."""
     found = list(tokens(page or ""))
-    values = [scores.get(k, WORD_DEFAULT) * len(t.split()) if k[:5] == "word@" else scores.get(k, TAG_DEFAULT)
-              for k, t, _ in found]
+    values = [_score(k, t, scores) for k, t, _ in found]
     start, end = best_run(values)
     parts = []
     for kind, text, _ in found[start:end]:
