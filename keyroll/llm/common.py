@@ -12,9 +12,9 @@ from keyroll.session import scratch_path
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-# Ids up to which a key set is broadcast (16 MB of longs); beyond it the same
+# Rows up to which a key set is broadcast (tens of MB); beyond it the same
 # join is planned as a shuffle.
-BROADCAST_MAX_IDS = 2_000_000
+BROADCAST_MAX_IDS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

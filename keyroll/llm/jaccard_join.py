@@ -10,16 +10,22 @@ other under any fixed order of the tokens (here: rare before frequent).
    range (and as many more as the prefix needs). A token is lonely if a single
    class holds it. A class with more lonely probe tokens than its set may lose
    is linked to nothing and is dropped: one shuffle of (token, class) rows.
-2. ``prefixes``: for the remaining classes the rarest shared tokens, counted
-   exactly, up to the length of the prefix.
+2. ``prefixes``: the remaining classes are read again and held against each
+   other with all their tokens: lonely ones first, as above, then the shared ones
+   counted exactly, rarest first; the prefix is their beginning, a shorter one
+   against sets that are not smaller.
 3. Groups: classes are put next to a leader found by minimum hash and join its
    group if the exact similarity holds. Members are linked through the leader,
    so no pair inside a group is ever formed.
 4. The token-group matrix: (token, group) rows, the union of the members'
    tokens. A class queries the groups its prefix meets; a group qualifies if the
-   class's overlap with the group's union reaches ``ceil(t n)``; only qualifying
-   groups are opened and their members compared exactly.
+   class's overlap with its union reaches ``ceil(t n)``; only qualifying groups
+   are opened, and members that share a prefix token compared.
 5. Connected components over the links of both kinds.
+
+Two sets are compared by parity bitmaps first (one bit per token, tokens folded
+in by exclusive-or): the differing bits are a lower bound of the symmetric
+difference, so whole sets travel only for pairs that can be similar.
 """
 
 from __future__ import annotations
@@ -41,7 +47,7 @@ PERCENT = 80
 # Part of the hash range whose tokens are probed.
 PROBE = 0.27
 # Rounds of grouping, each with another minimum hash.
-ROUNDS = 4
+ROUNDS = 3
 
 _LIMIT = np.uint64(int(PROBE * 2 ** 64))
 _SEEDS = [np.uint64(0xD1B54A32D192ED03 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF) for i in range(ROUNDS)]
@@ -103,9 +109,17 @@ def _survivors(probes: DataFrame, percent: int) -> DataFrame:
     return store(left.select("fp", "first_id"), "survivors")
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bitmap of a power of two of bits, at least as many as tokens: bit
+    ``token mod size`` tells whether an odd number of tokens fell on it."""
+    size = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _sets(docs: DataFrame, survivors: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
     """Whole sets of the surviving classes, read again from the texts: one row
-    per class with its tokens, probe tokens and minimum hashes."""
+    per class with its tokens, parity bitmap and minimum hashes."""
     keep = sized(survivors.select("first_id").distinct())
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.join(keep, rows.doc_id.eqNullSafe(keep.first_id), "left_semi").select("text")
@@ -116,50 +130,78 @@ def _sets(docs: DataFrame, survivors: DataFrame, text: str, doc_id: str, percent
             if sets:
                 yield pa.RecordBatch.from_pydict({
                     "fp": pa.array([_digest(s) for s in sets], pa.binary()),
-                    "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": _lists(sets),
-                    "probe": _lists([_probe(s, percent) for s in sets]),
+                    "cl": pa.array([int.from_bytes(_digest(s)[:8], "little", signed=True) for s in sets], pa.int64()),
+                    "n": pa.array([len(s) for s in sets], pa.int64()), "tokens": _lists(sets), "bits": _lists([parity(s) for s in sets]),
                     "keys": _lists([np.array([mixed(s ^ k).min() for k in _SEEDS]) for s in sets])})
 
-    found = rows.mapInArrow(run, "fp binary, n bigint, tokens array<bigint>, probe array<bigint>, keys array<bigint>")
+    found = rows.mapInArrow(run, "fp binary, cl bigint, n bigint, tokens array<bigint>, bits array<bigint>, keys array<bigint>")
     return store(found.join(survivors.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """fp, n, prefix (the shared tokens of the prefix, rarest first) and alone
-    (part of the probe tokens that no other class has)."""
-    rows = sets.select("fp", "n", F.size("probe").alias("probed"), F.explode("probe").alias("token"))
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    ranked = (rows.join(shared, "token").groupBy("fp", "n", "probed")
+    """fp, n, shared (the tokens that other surviving classes have too, rarest
+    first), asks and told (how many of them belong to the prefix against a set of
+    at most, and of at least its own size) and alone (the part of the tokens no
+    other has). Classes without a prefix are dropped, first by counting their
+    lonely tokens, so that only the others' tokens are ranked."""
+    rows = sets.select("cl", F.explode("tokens").alias("token"))
+    lonely = (rows.groupBy("token").agg(F.min("cl").alias("cl"), F.max("cl").alias("last"))
+              .filter("cl = last").groupBy("cl").agg(F.count(F.lit(1)).alias("lonely")))
+    left = (sets.select("fp", "cl", "n").join(lonely, "cl", "left")
+            .withColumn("take", _need(F.col("n"), percent) - F.coalesce("lonely", F.lit(0))).filter("take > 0"))
+    left = sized(store(left.select("fp", "n", "take"), "left"))
+    rows = sets.select("fp", F.explode("tokens").alias("token")).join(left, "fp")
+    # What is lonely here was shared with dropped classes only: it comes first.
+    often = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    ranked = (rows.join(often, "token").groupBy("fp", "n")
               .agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("r")))  # one document's own tokens
-    lonely = F.col("probed") - F.size("r")
-    take = (_need(F.col("n"), percent) - lonely).cast("int")
-    return store(ranked.filter(take > 0).select(
-        "fp", "n", F.transform(F.slice("r", F.lit(1), take), lambda x: x["token"]).alias("prefix"),
-        (lonely / F.col("probed")).alias("alone")), "prefixes")
-
-
-def _similar(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return 100 * shared >= percent * (n_a + n_b - shared)
+    # Against sets that are not smaller the overlap must be 2 t / (1 + t) of its own size.
+    overlap = F.ceil(2 * percent * F.col("n") / (100 + percent)).cast("bigint")
+    asks = (_need(F.col("n"), percent) - F.col("n") + F.size("r")).cast("int")
+    told = (1 - overlap + F.size("r")).cast("int")
+    return store(ranked.filter(asks > 0).select(
+        "fp", "n", F.transform("r", lambda x: x["token"]).alias("shared"), asks.alias("asks"), told.alias("told"),
+        ((F.col("n") - F.size("r")) / F.col("n")).alias("alone")), "prefixes")
 
 
 def _sizes_fit(n_a: str, n_b: str, percent: int) -> Column:
     return (100 * F.least(n_a, n_b)) >= (percent * F.greatest(n_a, n_b))
 
 
+def _bits_apart(a: Column, b: Column) -> Column:
+    """Differing bits of two bitmaps; the longer is folded onto the shorter."""
+    def fold(x: Column, other: Column) -> Column:
+        half = F.size(other)
+        halves = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > half, halves).otherwise(x)
+
+    apart = F.zip_with(fold(a, b), fold(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(apart, F.lit(0), lambda total, x: total + x)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity, compared token by token."""
-    left = sets.select(F.col("fp").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
-    right = sets.select(F.col("fp").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.filter(_similar(F.col("ta"), F.col("tb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    """The pairs (a, b) that reach the similarity: by size and bitmaps first, the
+    remaining ones token by token. Sizes within the similarity differ by less
+    than two, so bitmaps differ by one fold at most."""
+    def side(name: str, column: str) -> DataFrame:
+        return sets.select(F.col("fp").alias(name), F.col("n").alias(f"n{name}"), F.col(column).alias(f"s{name}"))
+
+    near = pairs.join(side("a", "bits"), "a").join(side("b", "bits"), "b").filter(_sizes_fit("na", "nb", percent))
+    may_differ = (100 - percent) * (F.col("na") + F.col("nb"))
+    near = store(near.filter((100 + percent) * _bits_apart(F.col("sa"), F.col("sb")) <= may_differ).select("a", "b"), "near")
+
+    def whole(name: str) -> DataFrame:
+        return side(name, "tokens").join(sized(near.select(name).distinct()), name, "left_semi")
+
+    both = whole("a").join(sized(near), "a").join(whole("b"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
 def _group_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links member - leader. In each round the classes without a leader meet
     the class of their bucket (equal minimum hash) with the fewest own tokens."""
-    keyed = nodes.join(sets.select("fp", "keys"), "fp").select("fp", "n", "alone", "keys")
-    keyed = store(keyed, "keyed")
+    keyed = store(nodes.select("fp", "n", "alone").join(sets.select("fp", "keys"), "fp"), "keyed")
     links = None
     for r in range(ROUNDS):
         bucket = keyed.select("fp", "n", "alone", F.get("keys", F.lit(r)).alias("key"))
@@ -174,31 +216,37 @@ def _group_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _matrix_links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between classes of different groups, by the token-group matrix."""
+    """Links between classes of different groups, by the token-group matrix. Of
+    two classes the one that is not smaller asks."""
     placed = store(nodes.join(groups, nodes.fp == groups.node, "left")
-                   .select("fp", "n", "prefix", F.coalesce("label", "fp").alias("g")), "placed")
+                   .select("fp", "n", "shared", "asks", "told", F.coalesce("label", "fp").alias("g")), "placed")
     span = placed.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size"))
-    entry = placed.select("fp", "n", "g", F.explode("prefix").alias("token"))
-    matrix = entry.select("token", F.col("g").alias("h")).distinct()
-    # Groups a class's prefix meets; of two groups the later one asks.
-    met = entry.join(matrix, "token").filter("h < g").select("fp", "n", "h").distinct()
-    met = met.join(span.withColumnRenamed("g", "h"), "h").filter(
-        (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least")))
-    met = store(met.select("fp", "n", "h", "size"), "met")
-    # Bound: the class's overlap with the union of the group's tokens.
+    asking = placed.select("fp", "n", "g", F.explode(F.slice("shared", F.lit(1), F.col("asks"))).alias("token"))
+    asked = placed.filter("told > 0").select("fp", "n", "g", F.explode(F.slice("shared", F.lit(1), F.col("told"))).alias("token"))
+    head = asked.groupBy("token", F.col("g").alias("h")).agg(F.min("n").alias("smallest"))
+    # Groups a class's prefix meets.
+    met = asking.join(head, "token").filter("h <> g and smallest <= n").select("fp", "n", "h").distinct()
+    met = met.join(span.withColumnRenamed("g", "h"), "h").filter(100 * F.col("most") >= percent * F.col("n"))
+    met = store(met.select("fp", "n", "h", "least", "size"), "met")
+    # Bound: overlap of the class with the group's union, as large as with the
+    # smallest member that fits. A group of one is its member, compared below.
     large = met.filter("size > 1")
-    tokens = sets.select("fp", F.explode("tokens").alias("token"))
-    union = (placed.join(large.select(F.col("h").alias("g")).distinct(), "g", "left_semi").select("fp", F.col("g").alias("h"))
-             .join(tokens, "fp").select("h", "token").distinct())
-    overlap = (large.join(tokens, "fp").join(union, ["h", "token"]).groupBy("fp", "n", "h")
-               .agg(F.count(F.lit(1)).alias("shared")))
-    open_ = (overlap.filter(100 * F.col("shared") >= percent * F.col("n")).select("fp", "h")
+    opened = sized(store(large.select("h").distinct(), "asked"))
+    matrix = (placed.join(opened, placed.g == opened.h, "left_semi").select(F.col("g").alias("h"), F.explode("shared").alias("token"))
+              .distinct())
+    tokens = placed.select("fp", F.explode("shared").alias("token"))
+    hits = (large.join(tokens, "fp").join(matrix, ["h", "token"]).groupBy("fp", "n", "least", "h")
+            .agg(F.count(F.lit(1)).alias("hits")))
+    fits = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100).cast("bigint"))
+    open_ = (hits.filter((100 + percent) * F.col("hits") >= percent * (F.col("n") + fits)).select("fp", "h")
              .unionByName(met.filter("size = 1").select("fp", "h")))
-    # Open: members of a qualifying group that share a prefix token.
-    asks = open_.join(entry.select("fp", "token", "n"), "fp")
-    members = entry.select(F.col("fp").alias("b"), F.col("g").alias("h"), "token", F.col("n").alias("nb"))
-    pairs = (asks.join(members, ["h", "token"]).filter(_sizes_fit("n", "nb", percent))
-             .select(F.col("fp").alias("a"), "b").distinct())
+    # Open: smaller members of a qualifying group that share a prefix token. The
+    # test is part of the join, so a pair is made once, however much it shares.
+    queries = open_.join(placed.select("fp", "n", F.slice("shared", F.lit(1), F.col("asks")).alias("mine")), "fp")
+    members = placed.filter("told > 0").select(F.col("fp").alias("b"), F.col("g"), F.col("n").alias("nb"),
+                                               F.slice("shared", F.lit(1), F.col("told")).alias("theirs"))
+    fit = (F.col("h") == F.col("g")) & (F.col("nb") <= F.col("n")) & _sizes_fit("n", "nb", percent)
+    pairs = queries.join(members, fit & F.arrays_overlap("mine", "theirs")).select(F.col("fp").alias("a"), "b")
     return store(_verified(pairs, sets, percent), "matrix-links")
 
 
