@@ -3,11 +3,13 @@
 1. Inverse document frequencies of hashed words, counted over all documents.
 2. A randomised singular value decomposition of the TF-IDF matrix of the
    benchmark's passages: products with the matrix run over its rows in Spark,
-   what is kept is ``DIMENSIONS x RANK`` numbers.
+   what is kept is ``RANK`` numbers per bucket that the benchmark uses.
 3. Every whole text is cut into overlapping windows; a window's latent vector is
    the sum of its words' vectors, and a window with a cosine of ``COSINE`` or more
-   to a passage is a candidate (benchmark items are compared in blocks). Norms are
-   those of the full TF-IDF vectors, so words outside the benchmark lower it.
+   to a passage is a candidate (benchmark items are compared in blocks). A window's
+   norm is that of its full TF-IDF vector, so words outside the benchmark lower
+   the cosine; a passage's is its latent one. Vectors are only added up where the
+   words' greatest possible shares can reach the cosine.
 4. Around a candidate the longest common subsequence of words with the item is
    taken. A share of ``COPY`` of the item's words is a leak; from ``PARAPHRASE``
    on it is one if the item's answer (its last sentence) is there as well.
@@ -16,6 +18,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,42 +28,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 16
-RANK = 96
+RANK = 256
 EXTRA = 32
 POWER = 2
 # Window and step in words, and the words of a text that are handled at a time.
 BLOCK = 8
 WINDOW = 4 * BLOCK
 CHUNK = 1 << 15
+# Rows of the latent matrix that travel together.
+ROWS = 1024
 # Words of a benchmark passage.
 PASSAGE = 48
 ITEMS = 2_048
 COSINE = 0.42
 COPY, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
 
-_EDGE = re.compile(r"^\W+|\W+$")
+_MARKS = string.punctuation.encode()
+_NO_WORD = np.uint64(xxhash.xxh3_64_intdigest(b""))
 MATCH = "array<struct<item_id:{0},cosine:double,lcs:bigint,item_words:bigint,answer:double,start:bigint>>"
 
 
-class _Bucket(dict):
-    """Bucket of a word without its case and outer punctuation; -1: no word."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        plain = _EDGE.sub("", word.decode().lower())
-        value = self[word] = xxhash.xxh3_64_intdigest(plain) % DIMENSIONS if plain else -1
-        return value
-
-
-_BUCKET = _Bucket()
-
-
 def buckets(text: str | None) -> np.ndarray:
-    """Buckets of the words of a text in order, words of punctuation left out."""
-    words = (text or "").encode().split()
-    b = np.fromiter(map(_BUCKET.__getitem__, words), dtype=np.int64, count=len(words))
-    return b[b >= 0]
+    """Buckets of the words of a text in order, without their case and outer
+    punctuation; words of punctuation only are left out."""
+    words = [w.strip(_MARKS) for w in (text or "").lower().encode().split()]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    return (h[h != _NO_WORD] % np.uint64(DIMENSIONS)).astype(np.int64)
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -98,62 +91,70 @@ def vector(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return index, value / np.linalg.norm(value)
 
 
-def _product(items: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'(A basis) for the passages' TF-IDF matrix A: every task adds up its own
-    rows, and equal blocks of buckets of all tasks are added in Spark."""
-    spark = items.sparkSession
-    shared = spark.sparkContext.broadcast((idf, basis))
-    part = DIMENSIONS // 64
+def used_buckets(items: DataFrame) -> np.ndarray:
+    """Buckets of the benchmark's words, sorted; at most ``DIMENSIONS``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [buckets(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["b"])
+
+    rows = items.select("text").mapInArrow(run, "b long").distinct().collect()
+    return np.array(sorted(r["b"] for r in rows), dtype=np.int64)
+
+
+def _product(items: DataFrame, idf: np.ndarray, used: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'(A basis) for the passages' TF-IDF matrix A over the used buckets: every
+    task adds up its own rows, and equal blocks of buckets are added in Spark."""
+    shared = items.sparkSession.sparkContext.broadcast((idf, used, basis))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, m = shared.value
-        out = np.zeros(m.shape, dtype=np.float32)
+        w, u, m = shared.value
+        out = np.zeros(m.shape)
         for batch in batches:
             for t in batch.column(0):
                 for p in passages(buckets(t.as_py())):
                     index, value = vector(p, w)
-                    out[index] += np.outer(value, value @ m[index]).astype(np.float32)
-        for k in range(64):
-            rows = out[k * part:(k + 1) * part]
+                    index = np.searchsorted(u, index)
+                    out[index] += np.outer(value, value @ m[index])
+        for at in range(0, len(u), ROWS):
+            rows = out[at:at + ROWS]
             if rows.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([rows.tobytes()], pa.binary())],
-                                                 names=["k", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([rows.tobytes()], pa.binary())],
+                                                 names=["at", "rows"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((part, basis.shape[1]), dtype=np.float64)
+        total = 0.0
         for batch in batches:
             for rows in batch.column("rows"):
-                total += np.frombuffer(rows.as_buffer(), dtype=np.float32).reshape(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()),
-                                          pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["k", "rows"])
-
-    schema = "k long, rows binary"
-    out = np.zeros(basis.shape, dtype=np.float64)
-    sums = items.select("text").mapInArrow(multiply, schema).groupBy("k").applyInArrow(add, schema)
-    for r in sums.toLocalIterator():  # 64 blocks
-        out[r["k"] * part:(r["k"] + 1) * part] = np.frombuffer(r["rows"], dtype=np.float32).reshape(part, -1)
+                total = total + np.frombuffer(rows.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())],
+                                         names=["at", "rows"])
+
+    schema = "at long, rows binary"
+    out = np.zeros(basis.shape)
+    sums = items.select("text").mapInArrow(multiply, schema).groupBy("at").applyInArrow(add, schema)
+    for r in sums.toLocalIterator():  # blocks of a matrix of at most DIMENSIONS x (RANK + EXTRA)
+        rows = np.frombuffer(r["rows"]).reshape(-1, basis.shape[1])
+        out[r["at"]:r["at"] + len(rows)] = rows
     return out
 
 
-def latent_basis(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (DIMENSIONS x rank) of the passages' TF-IDF matrix
-    by a randomised range finder with ``POWER`` further products."""
-    width = rank + EXTRA
-    basis = np.random.default_rng(7).standard_normal((DIMENSIONS, width)).astype(np.float32)
+def latent_basis(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """The used buckets and, per used bucket, its row of the right singular
+    vectors of the passages' TF-IDF matrix, by a randomised range finder with
+    ``POWER`` further products."""
+    used = used_buckets(items)
+    if not len(used):
+        return used, np.zeros((0, 1))
+    basis = np.random.default_rng(7).standard_normal((len(used), min(rank + EXTRA, len(used))))
     for _ in range(1 + POWER):
-        image = _product(items, idf, basis)
-        used = np.flatnonzero(image.any(axis=1))
-        if not len(used):
-            return np.zeros((DIMENSIONS, rank), dtype=np.float32)
-        q, r = np.linalg.qr(image[used])
-        basis = np.zeros((DIMENSIONS, q.shape[1]), dtype=np.float32)
-        basis[used] = q
+        basis, _ = np.linalg.qr(_product(items, idf, used, basis))
     # The order of the directions, from the small projected matrix.
-    image = _product(items, idf, basis)
-    values, vectors = np.linalg.eigh((basis.T.astype(np.float64) @ image + image.T @ basis) / 2)
+    image = _product(items, idf, used, basis)
+    values, vectors = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
     order = np.argsort(values)[::-1]
     order = order[values[order] > 1e-6][:rank]
-    return (basis.astype(np.float64) @ vectors[:, order]).astype(np.float32)
+    return used, basis @ vectors[:, order]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -181,21 +182,28 @@ def answer_words(text: str, idf: np.ndarray) -> np.ndarray:
 class Searcher:
     """Finds the items of one block of the benchmark in texts."""
 
-    def __init__(self, items: list[tuple], idf: np.ndarray, basis: np.ndarray):
-        self.idf, self.basis = idf, basis
+    def __init__(self, items: list[tuple], idf: np.ndarray, latent: tuple[np.ndarray, np.ndarray]):
+        used, basis = latent
+        # Row of a bucket; buckets that the benchmark does not use have the last, empty one.
+        self.row = np.full(DIMENSIONS, len(used), dtype=np.int64)
+        self.row[used] = np.arange(len(used))
+        self.vectors = np.vstack([basis * idf[used][:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
         self.items = [(key, buckets(t), answer_words(t, idf)) for key, t in items]
         owner, rows = [], []
         for k, (_, words, _) in enumerate(self.items):
             for p in passages(words):
                 index, value = vector(p, idf)
                 owner.append(k)
-                rows.append(value @ basis[index])
+                rows.append(value @ basis[np.searchsorted(used, index)])
         self.owner = np.array(owner, dtype=np.int64)
-        self.rows = np.array(rows, dtype=np.float32).reshape(len(rows), -1).T
-        self.longest = max((len(w) for _, w, _ in self.items), default=0)
+        rows = np.array(rows, dtype=np.float32).reshape(len(rows), basis.shape[1])
+        self.rows = (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)).T
         self.energy = (idf ** 2).astype(np.float32)
-        self.vectors = (basis * idf[:, None]).astype(np.float32)
-        self.known = np.where(np.abs(basis).max(axis=1) > 1e-7, self.energy, 0).astype(np.float32)
+        # Per used bucket the most it can add to the product with any passage.
+        self.most = np.zeros(len(used) + 1, dtype=np.float32)
+        for at in range(0, len(used) if len(rows) else 0, ROWS):
+            end = min(at + ROWS, len(used))
+            self.most[at:end] = (self.vectors[at:end] @ self.rows).max(axis=1).clip(0)
 
     def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(item, first word, cosine) of every window that is near an item."""
@@ -216,9 +224,8 @@ class Searcher:
                     return x.sum(axis=0, keepdims=True)
                 return sum(x[i:len(x) - k + 1 + i] for i in range(k))
 
-            norm = windows(blocks(self.energy[part]))
-            # The cosine is at most the share of the benchmark's own words.
-            open_ = np.flatnonzero(windows(blocks(self.known[part])) >= COSINE ** 2 * norm)
+            norm = np.sqrt(windows(blocks(self.energy[part])))
+            open_ = np.flatnonzero(windows(blocks(self.most[self.row[part]])) >= COSINE * norm - 1e-3)
             if not len(open_):
                 continue
             need = np.unique((open_[:, None] + np.arange(WINDOW // BLOCK)).ravel())
@@ -227,9 +234,9 @@ class Searcher:
             index = (need[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             inside = index < len(part)
             rows = np.zeros((len(index), self.vectors.shape[1]), dtype=np.float32)
-            rows[inside] = self.vectors[part[index[inside]]]
+            rows[inside] = self.vectors[self.row[part[index[inside]]]]
             sums[need] = rows.reshape(len(need), BLOCK, -1).sum(axis=1)
-            cosine = (windows(sums)[open_] @ self.rows) / np.sqrt(norm[open_])[:, None]
+            cosine = (windows(sums)[open_] @ self.rows) / norm[open_, None]
             for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
                 yield int(self.owner[j]), at + int(open_[i]) * BLOCK, float(cosine[i, j])
 
@@ -272,7 +279,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     items = benchmark.filter("text is not null").select(F.col(item_id).alias("item_id"), "text")
     kind = items.schema["item_id"].dataType.simpleString()
     idf = document_frequency(docs, text)
-    basis = latent_basis(items, idf)
+    latent = latent_basis(items, idf)
     blocks = max(1, -(-items.count() // ITEMS))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     out = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"),
@@ -280,7 +287,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     schema = f"row {out.schema['row'].dataType.simpleString()}, text string, matches {MATCH.format(kind)}"
     for k in range(blocks):
         part = [(r["item_id"], r["text"]) for r in items.filter(block == k).collect()]  # about ITEMS rows
-        shared = docs.sparkSession.sparkContext.broadcast((part, idf, basis))
+        shared = docs.sparkSession.sparkContext.broadcast((part, idf, latent))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(*shared.value)
