@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyroll.llm.common import sized, store
+
 LENGTH = 400
 SAMPLE = 3_000
 UNKNOWN = "und"
@@ -69,7 +71,7 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, length: int = LENGTH) -> li
     rows = labelled.filter("lang is not null").select("lang", "text", F.expr(
         "shiftrightunsigned(xxhash64(doc_id), 33)").alias("o"))
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
-    rows = rows.join(share, "lang").filter(F.col("o") < F.col("share") * (1 << 31)).select("lang", "text")
+    rows = rows.join(sized(store(share, "languages")), "lang").filter(F.col("o") < F.col("share") * (1 << 31)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyroll.llm.common import sized, store
 from keyroll.llm.shingles import mixed, word_hashes_as_written
 
 BITS = 18
@@ -105,15 +106,17 @@ class Ftrl:
         self.n[index] = n + g * g
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights from ``labelled`` (doc_id, text, label 0 or 1): ``2 ** BITS`` and
-    the constant. About ``sample`` documents are read, those with the smallest
-    hashes; a doc_id counts once. Without labelled rows all weights are 0."""
-    total = labelled.select("doc_id").distinct().count()
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """Weights from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1):
+    ``2 ** BITS`` and the constant. About ``sample`` labels are used, those with
+    the smallest hashes, so they can be sent to the documents; a doc_id counts
+    once. Without labelled documents all weights are 0."""
+    labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
+    total = labels.count()
     limit = int(min(1.0, sample / max(total, 1)) * (1 << 31))
     order = F.expr("shiftrightunsigned(xxhash64(doc_id), 33)")
-    rows = (labelled.withColumn("o", order).filter(F.col("o") < limit if total > sample else F.lit(True))
-            .groupBy("doc_id", "o").agg(F.min("text").alias("text"), F.max("label").alias("label")))
+    chosen = store(labels.withColumn("o", order).filter(F.col("o") < limit if total > sample else F.lit(True)), "labels")
+    rows = docs.join(sized(chosen), "doc_id").groupBy("doc_id", "o", "label").agg(F.min("text").alias("text"))
     rows = rows.withColumn("shard", (F.col("o") % SHARDS).cast("int"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:

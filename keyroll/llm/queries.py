@@ -36,9 +36,8 @@ def mix_domain():
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    labels = (read(spark, sf_dir, "labels").filter(F.col("quality").isNotNull() & (_fold(5) != 0))
-              .groupBy("doc_id").agg(F.max("quality").alias("label")))
-    weights = quality.train(docs.join(labels, "doc_id"))
+    labels = read(spark, sf_dir, "labels").filter(F.col("quality").isNotNull() & (_fold(5) != 0))
+    weights = quality.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
     return quality.score(docs, weights).select(
         "doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= quality.PREDICT).cast("int").alias("predicted"))
 

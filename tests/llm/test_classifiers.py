@@ -35,17 +35,16 @@ def test_quality_held_out(docs):
     for i in range(400):
         text = prose(rng, rng.randint(15, 120))
         rows.append((i, text if i % 3 else rng.choice((" | ".join(text.split()), " ".join(w + "***" for w in text.split()))), i % 3 and 1))
-    frame = docs([r[:2] for r in rows]).join(
-        docs([r[:2] for r in rows]).sparkSession.createDataFrame([(r[0], int(r[2])) for r in rows], "doc_id long, label int"), "doc_id")
-    weights = quality.train(frame.filter("doc_id % 2 = 0").select("doc_id", "text", "label"), sample=150)
+    frame = docs([r[:2] for r in rows])
+    labels = frame.sparkSession.createDataFrame([(r[0], int(r[2])) for r in rows if r[0] % 2 == 0], "doc_id long, label int")
+    weights = quality.train(frame, labels, sample=150)
     got = dict(quality.score(docs([r[:2] for r in rows]), weights).collect())
     right = sum((got[r[0]] >= 0.3) == bool(r[2]) for r in rows if r[0] % 2)
     assert right >= 0.97 * 200
 
 
 def test_quality_edges(spark, docs):
-    none = docs([]).select("doc_id", "text", F.lit(1).alias("label"))
-    weights = quality.train(none)
+    weights = quality.train(docs([]), docs([]).select("doc_id", F.lit(1).alias("label")))
     assert not weights.any()
     got = quality.score(docs(EDGES), weights).collect()
     assert len(got) == len(EDGES) and all(r["score"] == 0.5 for r in got)
