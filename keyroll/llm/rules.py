@@ -112,4 +112,7 @@ def in_range(thresholds=THRESHOLDS) -> Column:
 
 def keep_passing(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    return apply_rules(docs, text).filter("kept").select("row.*")
+    # A filter on a plain expression would be pushed below the projections and
+    # build the words anew for every window; one that is not deterministic is not.
+    passed = F.col("kept") & (F.spark_partition_id() >= 0)
+    return apply_rules(docs, text).withColumn("passed", passed).filter("passed").select("row.*")
