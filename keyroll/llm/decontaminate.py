@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Inverse document frequencies of hashed words, counted over all documents.
-2. A randomised singular value decomposition of the TF-IDF matrix of the
-   benchmark's passages: products with the matrix run over its rows in Spark,
-   what is kept is ``RANK`` numbers per bucket that the benchmark uses.
+2. A singular value decomposition of the TF-IDF matrix of every block of ``RANK``
+   passages of the benchmark, at its full rank: what is kept is at most ``RANK``
+   numbers per bucket that the block uses, however large the benchmark is.
 3. Every whole text is cut into overlapping windows; a window's latent vector is
    the sum of its words' vectors, and a window with a cosine of ``COSINE`` or more
    to a passage is a candidate (benchmark items are compared in blocks). A window's
@@ -28,14 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 1 << 16
+# Passages of a block, and so the most directions its basis can have.
 RANK = 256
-EXTRA = 32
-POWER = 2
 # Window and step in words, and the words of a text that are handled at a time.
 BLOCK = 8
 WINDOW = 4 * BLOCK
 CHUNK = 1 << 15
-# Rows of the latent matrix that travel together.
+# Rows of the latent matrix that are handled at a time.
 ROWS = 1024
 # Words of a benchmark passage.
 PASSAGE = 48
@@ -91,70 +90,39 @@ def vector(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return index, value / np.linalg.norm(value)
 
 
-def used_buckets(items: DataFrame) -> np.ndarray:
-    """Buckets of the benchmark's words, sorted; at most ``DIMENSIONS``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [buckets(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["b"])
+def owned_passages(items: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
+    """(place of the item, passage) of all passages of a list of items' words."""
+    return [(k, p) for k, words in enumerate(items) for p in passages(words)]
 
-    rows = items.select("text").mapInArrow(run, "b long").distinct().collect()
-    return np.array(sorted(r["b"] for r in rows), dtype=np.int64)
 
+def block_basis(block: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that a block of passages uses, sorted, and per bucket its row
+    of the right singular vectors of the block's TF-IDF matrix. A block of at most
+    ``RANK`` passages keeps its full rank, so no passage is lost in projection."""
+    if not block:
+        return np.zeros(0, np.int64), np.zeros((0, 1))
+    used = np.unique(np.concatenate(block))
+    matrix = np.zeros((len(block), len(used)))
+    for i, p in enumerate(block):
+        index, value = vector(p, idf)
+        matrix[i, np.searchsorted(used, index)] = value
+    values, left = np.linalg.eigh(matrix @ matrix.T)
+    # Equal passages share a direction.
+    keep = values > 1e-6
+    basis, _ = np.linalg.qr(matrix.T @ (left[:, keep] / np.sqrt(values[keep])))
+    return used, basis
 
-def _product(items: DataFrame, idf: np.ndarray, used: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'(A basis) for the passages' TF-IDF matrix A over the used buckets: every
-    task adds up its own rows, and equal blocks of buckets are added in Spark."""
-    shared = items.sparkSession.sparkContext.broadcast((idf, used, basis))
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, u, m = shared.value
-        out = np.zeros(m.shape)
-        for batch in batches:
-            for t in batch.column(0):
-                for p in passages(buckets(t.as_py())):
-                    index, value = vector(p, w)
-                    index = np.searchsorted(u, index)
-                    out[index] += np.outer(value, value @ m[index])
-        for at in range(0, len(u), ROWS):
-            rows = out[at:at + ROWS]
-            if rows.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([rows.tobytes()], pa.binary())],
-                                                 names=["at", "rows"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0.0
-        for batch in batches:
-            for rows in batch.column("rows"):
-                total = total + np.frombuffer(rows.as_buffer())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())],
-                                         names=["at", "rows"])
-
-    schema = "at long, rows binary"
-    out = np.zeros(basis.shape)
-    sums = items.select("text").mapInArrow(multiply, schema).groupBy("at").applyInArrow(add, schema)
-    for r in sums.toLocalIterator():  # blocks of a matrix of at most DIMENSIONS x (RANK + EXTRA)
-        rows = np.frombuffer(r["rows"]).reshape(-1, basis.shape[1])
-        out[r["at"]:r["at"] + len(rows)] = rows
-    return out
-
-
-def latent_basis(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """The used buckets and, per used bucket, its row of the right singular
-    vectors of the passages' TF-IDF matrix, by a randomised range finder with
-    ``POWER`` further products."""
-    used = used_buckets(items)
-    if not len(used):
-        return used, np.zeros((0, 1))
-    basis = np.random.default_rng(7).standard_normal((len(used), min(rank + EXTRA, len(used))))
-    for _ in range(1 + POWER):
-        basis, _ = np.linalg.qr(_product(items, idf, used, basis))
-    # The order of the directions, from the small projected matrix.
-    image = _product(items, idf, used, basis)
-    values, vectors = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
-    order = np.argsort(values)[::-1]
-    order = order[values[order] > 1e-6][:rank]
-    return used, basis @ vectors[:, order]
+def latent_bases(items: list[tuple], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One basis per block of ``RANK`` passages of (key, text) items, in order."""
+    owned = [p for _, p in owned_passages([buckets(t) for _, t in items])]
+    return [block_basis(owned[at:at + RANK], idf) for at in range(0, max(1, len(owned)), RANK)]
+
+
+def latent_basis(items: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The basis of a frame of few items: its passages as one block."""
+    words = [buckets(r["text"]) for r in items.select("text").collect()]
+    return block_basis([p for _, p in owned_passages(words)], idf)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -179,23 +147,20 @@ def answer_words(text: str, idf: np.ndarray) -> np.ndarray:
     return words[idf[words] >= np.median(idf[words])] if len(words) else words
 
 
-class Searcher:
-    """Finds the items of one block of the benchmark in texts."""
+class Block:
+    """Finds one block of the benchmark's passages in texts."""
 
-    def __init__(self, items: list[tuple], idf: np.ndarray, latent: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, owned: list[tuple[int, np.ndarray]], idf: np.ndarray, latent: tuple[np.ndarray, np.ndarray]):
         used, basis = latent
-        # Row of a bucket; buckets that the benchmark does not use have the last, empty one.
+        # Row of a bucket; buckets that the block does not use have the last, empty one.
         self.row = np.full(DIMENSIONS, len(used), dtype=np.int64)
         self.row[used] = np.arange(len(used))
         self.vectors = np.vstack([basis * idf[used][:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-        self.items = [(key, buckets(t), answer_words(t, idf)) for key, t in items]
-        owner, rows = [], []
-        for k, (_, words, _) in enumerate(self.items):
-            for p in passages(words):
-                index, value = vector(p, idf)
-                owner.append(k)
-                rows.append(value @ basis[np.searchsorted(used, index)])
-        self.owner = np.array(owner, dtype=np.int64)
+        self.owner = np.array([k for k, _ in owned], dtype=np.int64)
+        rows = []
+        for _, p in owned:
+            index, value = vector(p, idf)
+            rows.append(value @ basis[np.searchsorted(used, index)])
         rows = np.array(rows, dtype=np.float32).reshape(len(rows), basis.shape[1])
         self.rows = (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)).T
         self.energy = (idf ** 2).astype(np.float32)
@@ -240,10 +205,27 @@ class Searcher:
             for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
                 yield int(self.owner[j]), at + int(open_[i]) * BLOCK, float(cosine[i, j])
 
+
+class Searcher(Block):
+    """Finds a list of (key, text) items in texts, given the bases of the blocks
+    of their passages; it is itself the first block."""
+
+    def __init__(self, items: list[tuple], idf: np.ndarray, *latent: tuple[np.ndarray, np.ndarray]):
+        self.items = [(key, buckets(t), answer_words(t, idf)) for key, t in items]
+        owned = owned_passages([words for _, words, _ in self.items])
+        super().__init__(owned[:RANK], idf, latent[0])
+        self.blocks = [Block(owned[k * RANK:(k + 1) * RANK], idf, latent[k]) for k in range(1, len(latent))]
+
+    def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        yield from super().candidates(words)
+        for block in self.blocks:
+            yield from block.candidates(words)
+
     def matches(self, text: str | None) -> list[dict]:
         words = buckets(text)
         spans: dict[int, list[list]] = {}
-        for item, start, cosine in self.candidates(words):
+        # An item's passages can be in two blocks: its windows are taken in order.
+        for item, start, cosine in sorted(self.candidates(words), key=lambda c: c[1]):
             reach = len(self.items[item][1])
             low, high = max(0, start - reach), min(len(words), start + WINDOW + reach)
             found = spans.setdefault(item, [])
@@ -279,7 +261,6 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     items = benchmark.filter("text is not null").select(F.col(item_id).alias("item_id"), "text")
     kind = items.schema["item_id"].dataType.simpleString()
     idf = document_frequency(docs, text)
-    latent = latent_basis(items, idf)
     blocks = max(1, -(-items.count() // ITEMS))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     out = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"),
@@ -287,7 +268,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     schema = f"row {out.schema['row'].dataType.simpleString()}, text string, matches {MATCH.format(kind)}"
     for k in range(blocks):
         part = [(r["item_id"], r["text"]) for r in items.filter(block == k).collect()]  # about ITEMS rows
-        shared = docs.sparkSession.sparkContext.broadcast((part, idf, latent))
+        shared = docs.sparkSession.sparkContext.broadcast((part, idf, *latent_bases(part, idf)))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(*shared.value)

@@ -108,3 +108,35 @@ def test_edges(spark, docs):
         hits = [len(r["matches"]) for r in got if r["row"]["text"] == "a b c"]
         assert hits == [2, 2, 2] if len(items) == 2 else not any(hits)
     assert dc.find(docs([]), bench(spark, [(1, "a b c")])).count() == 0
+
+
+def test_copies_of_a_large_benchmark(spark, docs):
+    """Verbatim copies are found whatever the number of items: 1,200 items of
+    independent words, far more passages than one basis has directions."""
+    rng = random.Random(13)
+    items = [(i, words(rng, rng.randint(15, 59)) + ".") for i in range(1200)]
+    rows, leaked = [], {}
+    for i in range(300):
+        body = words(rng, 400).split()
+        if i % 3:
+            own = rng.choice(items)
+            at = rng.randint(0, len(body))
+            body[at:at] = own[1].split()
+            leaked[i] = {own[0]}
+        rows.append((i, " ".join(body)))
+    got = {r["row"]["doc_id"]: {m["item_id"] for m in r["matches"]}
+           for r in dc.find(docs(rows), bench(spark, items)).collect() if r["matches"]}
+    assert got == leaked
+
+
+def test_long_item_over_several_blocks(spark, monkeypatch):
+    """An item whose passages fill more than one block gives one match."""
+    monkeypatch.setattr(dc, "RANK", 4)
+    rng = random.Random(17)
+    items = [(i, words(rng, n)) for i, n in enumerate((30, 400, 40, 45))]
+    idf = np.ones(dc.DIMENSIONS)
+    searcher = dc.Searcher(items, idf, *dc.latent_bases(items, idf))
+    assert len(searcher.blocks) >= 4
+    for key, text in items:
+        found = searcher.matches(f"{words(rng, 300)} {text} {words(rng, 300)}")
+        assert [(m["item_id"], m["lcs"]) for m in found] == [(key, len(text.split()))]
