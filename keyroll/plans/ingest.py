@@ -31,7 +31,7 @@ class Ingested:
 
     def __init__(self, runs: DataFrame, in_run: DataFrame, meta: DataFrame, hits: DataFrame,
                  line_rejects: DataFrame, fingerprints: DataFrame, mode: str, ledger: DataFrame | None,
-                 materialize: bool) -> None:
+                 materialize: bool, refused: DataFrame | None = None) -> None:
         self.runs = runs              # every run: upload_id, run_id, start_pos, end_pos, closed
         self.in_run = in_run          # tokenised lines inside a run (+ run_id, start_pos)
         self._meta = meta
@@ -41,6 +41,7 @@ class Ingested:
         self._mode = mode
         self._ledger = ledger
         self._materialize = materialize
+        self._refused = refused
 
     @cached_property
     def fingerprints(self) -> DataFrame:
@@ -76,12 +77,14 @@ class Ingested:
 
     @property
     def rejects(self) -> DataFrame:
-        """upload_id, pos, event, reason — rejected lines, and runs without a
-        hashed line (Q8, reason ``no_hash``)."""
+        """upload_id, pos, event, reason, path — rejected lines, runs without a
+        hashed line (Q8, reason ``no_hash``), archives that could not be read on
+        from ``pos``, and refused files; only the last two have the path."""
         no_hash = (self.runs.join(self.fingerprints, "run_id", "left_anti")
                    .select("upload_id", F.col("start_pos").alias("pos"), F.lit(E.START).alias("event"),
                            F.lit("no_hash").alias("reason")))
-        return self._line_rejects.unionByName(no_hash)
+        out = self._line_rejects.unionByName(no_hash, allowMissingColumns=True)
+        return out if self._refused is None else out.unionByName(self._refused, allowMissingColumns=True)
 
     def kept_meta(self) -> DataFrame:
         return self.run_meta.filter(~F.col("duplicate"))
@@ -111,20 +114,30 @@ def _stored(df: DataFrame, name: str, materialize: bool) -> DataFrame:
 
 def ingest(lines: DataFrame, log_year: int | None = None, parity: bool = False, mode: str = "quarantine",
            ledger: DataFrame | None = None, events=E.READ_EVENTS, patch_fallback: str | None = None,
-           materialize: bool = True) -> Ingested:
+           materialize: bool = True, refused: DataFrame | None = None) -> Ingested:
     """``lines``: ``upload_id, pos, value`` (+ optional ``upload_date``);
     ``pos`` orders the lines of an upload. ``mode='failfast'`` drops every
     run of an upload that has a rejected line (the reference fails the
     whole upload, Q9); ``'quarantine'`` keeps the rest. As in the reference
     a run's patch comes from a version line inside it (Q2);
     ``patch_fallback='file'`` falls back to the last version line before
-    the run's start in the same upload."""
+    the run's start in the same upload. A row with a ``fault`` (optional column)
+    is no line but says why its file could not be read on: it is rejected with
+    its ``path``. ``refused`` (``path, reason``) are files that were not read;
+    they are added to the rejects."""
     t = E.tokenize(lines.withColumn("log_year", _year(lines, log_year)), parity=parity, events=events)
+    fault_path = F.lit(None).cast("string")
+    if "fault" in lines.columns:
+        t = t.withColumn("error", F.coalesce("fault", "error"))
+        fault_path = F.when(F.col("fault").isNotNull(), F.col("path"))
     # The text is read and split once; later steps need the tokens and, for the
     # fingerprint, two hashes of the body, not the text itself.
     t = _stored(D.with_body_hashes(t).drop("value", "body"), "tokens", materialize)
-    bad_lines = t.filter(F.col("error").isNotNull()).select("upload_id", "pos", "event", F.col("error").alias("reason"))
+    bad_lines = t.filter(F.col("error").isNotNull()).select("upload_id", "pos", "event", F.col("error").alias("reason"),
+                                                            fault_path.alias("path"))
     t = t.filter(F.col("error").isNull())
+    if "fault" in lines.columns:
+        t = t.drop("fault")
 
     runs = _stored(R.segment_runs(t.filter(F.col("event").isin(E.START, E.END))), "runs", materialize)
     # Seven consumers read the in-run lines; they are written once as a
@@ -163,11 +176,12 @@ def ingest(lines: DataFrame, log_year: int | None = None, parity: bool = False,
 
     def errors(df: DataFrame) -> DataFrame:
         return df.filter(F.col("error").isNotNull()).select("upload_id", "pos", "event",
-                                                            F.col("error").alias("reason"))
+                                                            F.col("error").alias("reason"),
+                                                            F.lit(None).cast("string").alias("path"))
 
     rejects = (bad_lines.unionByName(errors(starts)).unionByName(errors(ends)).unionByName(errors(versions))
                .unionByName(errors(summons)).unionByName(errors(hits)))
     if mode not in ("quarantine", "failfast"):
         raise ValueError("mode must be 'quarantine' or 'failfast'")
     return Ingested(runs=runs, in_run=in_run, meta=meta, hits=hits, line_rejects=rejects, fingerprints=fp,
-                    mode=mode, ledger=ledger, materialize=materialize)
+                    mode=mode, ledger=ledger, materialize=materialize, refused=refused)

@@ -170,9 +170,10 @@ QUERIES = {
 # ------------------------------------------------------------ file sources
 def _file_ingest(spark, sf_dir):
     from keyroll.sources.fixtures import write_upload_files
-    from keyroll.sources.logfiles import read_uploads
+    from keyroll.sources.logfiles import list_uploads, read_uploads, refused_files
     root = write_upload_files(spark, sf_dir)
-    return ingest(read_uploads(spark, root), log_year=LOG_YEAR)
+    return ingest(read_uploads(spark, root, faults=True), log_year=LOG_YEAR,
+                  refused=refused_files(list_uploads(spark, root)))
 
 
 def s1_file_runs(spark, sf_dir):

@@ -211,3 +211,45 @@ def test_an_oversized_upload_is_labelled_not_dropped(spark, tmp_path, monkeypatc
     (folder / "big.txt").write_text("\n".join(SAMPLE * 3) + "\n")
     assert LF.read_uploads(spark, str(tmp_path)).count() == 3 * len(SAMPLE)
     assert [r.reason for r in LF.rejected_files(spark, str(tmp_path)).collect()] == ["too_big"]
+
+
+def test_refused_and_damaged_files_are_in_the_rejects(spark, tmp_path):
+    """A stream over a zip that is damaged after its first member, files with
+    another suffix and bad keys: each has its row in ``rejects``; the batch path too."""
+    import zipfile
+
+    from keyroll.sources import logfiles as LF
+    from keyroll.streaming.uploads import gold_table, process_batch, start_upload_streams
+    landing = tmp_path / "landing"
+    folder = landing / "upload" / "2021" / "1" / "24" / "16"
+    folder.mkdir(parents=True)
+    text = "\n".join(SAMPLE) + "\n"
+    with zipfile.ZipFile(folder / "cut.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", text)
+        z.writestr("b.txt", text)
+        at = z.infolist()[1].header_offset
+    data = bytearray((folder / "cut.zip").read_bytes())
+    data[at + 40:at + 80] = b"x" * 40
+    (folder / "cut.zip").write_bytes(data)
+    (folder / "good.txt").write_text(text)
+    (folder / "other.log").write_text(text)
+    (landing / "upload" / "short.txt").write_text(text)
+    (landing / "upload" / "short.zip").write_bytes(data)
+    out = str(tmp_path / "out")
+    start_upload_streams(spark, str(landing), out, str(tmp_path / "ckpt"), max_files_per_trigger=10, log_year=2021)
+
+    def files(rows):
+        return sorted((r.path.rsplit("/", 1)[1], r.reason.split(":")[0], r.upload_id, r.pos) for r in rows if r.path)
+    want = [("cut.zip", "archive", "cut", len(SAMPLE)), ("other.log", "suffix", None, None),
+            ("short.txt", "key", None, None), ("short.zip", "key", None, None)]
+    assert files(gold_table(spark, out, "rejects").collect()) == want
+    assert gold_table(spark, out, "run_meta").count() == 1         # good.txt; the first member of cut.zip is its copy
+    lines = LF.read_uploads(spark, str(landing), faults=True)
+    refused = LF.refused_files(LF.list_uploads(spark, str(landing)))
+    assert files(ingest(lines, log_year=2021, refused=refused).rejects.collect()) == want
+    kept = ingest(lines, log_year=2021, mode="failfast", refused=refused)
+    assert {r.upload_id for r in kept.hashes.collect()} == {"good"}
+    bad_key = spark.createDataFrame([("s3://b/upload/x.txt", i, v) for i, v in enumerate(SAMPLE)],
+                                    "path string, pos long, value string")
+    process_batch(spark, bad_key, 0, str(tmp_path / "direct"), log_year=2021)
+    assert files(gold_table(spark, str(tmp_path / "direct"), "rejects").collect()) == [("x.txt", "key", None, None)]
