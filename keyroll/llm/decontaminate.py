@@ -6,7 +6,8 @@
    numbers per bucket that the block uses, however large the benchmark is.
 3. Every whole text is cut into overlapping windows; a window's latent vector is
    the sum of its words' vectors, and a window with a cosine of ``COSINE`` or more
-   to a passage is a candidate (benchmark items are compared in blocks). A window's
+   to a passage is a candidate (benchmark items are compared in blocks), and so is
+   one that holds ``COVER`` of a passage whatever its other words are. A window's
    norm is that of its full TF-IDF vector, so words outside the benchmark lower
    the cosine; a passage's is its latent one. Vectors are only added up where the
    words' greatest possible shares can reach the cosine.
@@ -40,6 +41,9 @@ ROWS = 1024
 PASSAGE = 48
 ITEMS = 2_048
 COSINE = 0.42
+# Share of a passage's length that a window's product with it has to reach, for
+# passages that are outweighed by the other words of a window.
+COVER = 0.5
 COPY, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
 
 _MARKS = string.punctuation.encode()
@@ -157,18 +161,24 @@ class Block:
         self.row[used] = np.arange(len(used))
         self.vectors = np.vstack([basis * idf[used][:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
         self.owner = np.array([k for k, _ in owned], dtype=np.int64)
-        rows = []
+        rows, size = [], []
         for _, p in owned:
             index, value = vector(p, idf)
+            size.append(np.linalg.norm(np.unique(p, return_counts=True)[1] * idf[index]))
             rows.append(value @ basis[np.searchsorted(used, index)])
         rows = np.array(rows, dtype=np.float32).reshape(len(rows), basis.shape[1])
         self.rows = (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)).T
+        self.size = np.array(size, dtype=np.float32)
         self.energy = (idf ** 2).astype(np.float32)
-        # Per used bucket the most it can add to the product with any passage.
+        # Per used bucket the most it can add to the product with any passage, and
+        # to its share of the passage's length.
         self.most = np.zeros(len(used) + 1, dtype=np.float32)
+        self.cover = np.zeros(len(used) + 1, dtype=np.float32)
         for at in range(0, len(used) if len(rows) else 0, ROWS):
             end = min(at + ROWS, len(used))
-            self.most[at:end] = (self.vectors[at:end] @ self.rows).max(axis=1).clip(0)
+            product = self.vectors[at:end] @ self.rows
+            self.most[at:end] = product.max(axis=1).clip(0)
+            self.cover[at:end] = (product / self.size).max(axis=1).clip(0)
 
     def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(item, first word, cosine) of every window that is near an item."""
@@ -190,7 +200,9 @@ class Block:
                 return sum(x[i:len(x) - k + 1 + i] for i in range(k))
 
             norm = np.sqrt(windows(blocks(self.energy[part])))
-            open_ = np.flatnonzero(windows(blocks(self.most[self.row[part]])) >= COSINE * norm - 1e-3)
+            row = self.row[part]
+            open_ = np.flatnonzero((windows(blocks(self.most[row])) >= COSINE * norm - 1e-3)
+                                   | (windows(blocks(self.cover[row])) >= COVER - 1e-3))
             if not len(open_):
                 continue
             need = np.unique((open_[:, None] + np.arange(WINDOW // BLOCK)).ravel())
@@ -201,8 +213,9 @@ class Block:
             rows = np.zeros((len(index), self.vectors.shape[1]), dtype=np.float32)
             rows[inside] = self.vectors[self.row[part[index[inside]]]]
             sums[need] = rows.reshape(len(need), BLOCK, -1).sum(axis=1)
-            cosine = (windows(sums)[open_] @ self.rows) / norm[open_, None]
-            for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
+            product = windows(sums)[open_] @ self.rows
+            cosine = product / norm[open_, None]
+            for i, j in zip(*np.nonzero((cosine >= COSINE) | (product >= COVER * self.size)), strict=True):
                 yield int(self.owner[j]), at + int(open_[i]) * BLOCK, float(cosine[i, j])
 
 

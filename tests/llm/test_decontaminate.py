@@ -140,3 +140,17 @@ def test_long_item_over_several_blocks(spark, monkeypatch):
     for key, text in items:
         found = searcher.matches(f"{words(rng, 300)} {text} {words(rng, 300)}")
         assert [(m["item_id"], m["lcs"]) for m in found] == [(key, len(text.split()))]
+
+
+def test_short_items_in_long_texts(spark):
+    """Copies of items of 4 to 16 words are found among words that are rarer than theirs."""
+    rng = random.Random(19)
+    items = [(i, words(rng, rng.randint(4, 16))) for i in range(80)]
+    idf = np.full(dc.DIMENSIONS, 3.0)
+    idf[np.concatenate([dc.buckets(t) for _, t in items])] = 1.5
+    searcher = dc.Searcher(items, idf, *dc.latent_bases(items, idf))
+    for key, text in items:
+        body = words(rng, 300).split()
+        at = rng.randint(0, len(body))
+        body[at:at] = text.split()
+        assert key in {m["item_id"] for m in searcher.matches(" ".join(body))}
