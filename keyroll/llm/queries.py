@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyroll.llm import (chat, decontaminate, html_extract, jaccard_join, langid, mixing, quality, rules, secrets,
-                         token_files)
+                         token_files, turn_repair)
 from keyroll.llm.common import read
 from keyroll.llm.sql import ORACLES
 from keyroll.session import apply_conf
@@ -87,9 +87,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(_documents(spark, sf_dir), tokenizer_path()))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.audit(read(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_language_id, op3_quality_rules, op4_secret_scan, op5_source_mix, op6_chat_format,
-    op7_html_text, op8_decontaminate, op9_jaccard_join, op10_token_files)}
+    op7_html_text, op8_decontaminate, op9_jaccard_join, op10_token_files, op13_turn_repair)}
 
 
 def prepare(spark: SparkSession) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyroll.llm import mixing, rules, secrets
+from keyroll.llm import mixing, rules, secrets, turn_repair
 
 # Words (position i from 0) of every document.
 _WORDS = r"""
@@ -137,6 +137,76 @@ SELECT k.conv_id, count(*) AS n_turns, k.copies,
 FROM kept k JOIN t ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY k.conv_id, k.copies"""
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, byte by byte over the table of its polynomial."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: "
+            f"xor(c >> 8, {table}[((xor(c, b) & 255) + 1)::BIGINT]::BIGINT)), 4294967295)")
+
+
+def _turn_repair() -> str:
+    t, keep = turn_repair, "code NOT IN ('-')"
+
+    def add(state: str, cost: str, edit: str) -> str:
+        """A state is its cost in six digits, then its edits: the least string is the cheapest, then ASCII-least."""
+        return f"(lpad((substr({state}, 1, 6)::INT + {cost})::VARCHAR, 6, '0') || substr({state}, 7) || '{edit}')"
+
+    late = f"CASE WHEN code IN ('S', 'U', 'A', 'X') THEN {t.TRUNCATED} ELSE 0 END"
+    kept = {c: add("{0}", late, "K") for c in "sua"}
+    open_ = "least(c0, c1, c3)"
+    return rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate FROM conversations),
+hurt AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS k, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+  CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, fate FROM src),
+twice AS (SELECT k, turn, role, text, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM hurt WHERE fate <> 0),
+num AS (SELECT k, turn, role, text, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i,
+  right(regexp_replace(text, '[ 	-]+$', ''), 1) AS tail FROM twice),
+seen AS (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY i) AS nth, left(role, 1) AS r1 FROM num),
+f AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated'
+  ELSE '' END AS fault, lead(r1) OVER (PARTITION BY k ORDER BY i) AS r2 FROM seen),
+l AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN '-' WHEN fault = 'truncated' THEN upper(c) ELSE c END AS code
+  FROM (SELECT *, CASE WHEN r1 IN ('s', 'u', 'a') THEN r1 ELSE 'x' END AS c FROM f)),
+dp AS (
+ SELECT DISTINCT k, 0::BIGINT AS i, '000000' AS c0, NULL::VARCHAR AS c1, '{t.INSERT:06d}I' AS c2, '{2 * t.INSERT:06d}II' AS c3 FROM l
+ UNION ALL
+ SELECT k, i, n0, n1, m2, least(n3, {add("m2", t.INSERT, "I")}) FROM (
+  SELECT *, least(n2, {add("n0", t.INSERT, "I")}, {add("n1", t.INSERT, "I")}, {add("n3", t.INSERT, "I")}) AS m2 FROM (
+   SELECT dp.k, l.i, {add("c0", t.DELETE, "D")} AS n0,
+    least({add("c1", t.DELETE, "D")}, CASE WHEN code IN ('s', 'S') THEN {kept["s"].format("c0")} END) AS n1,
+    least({add("c2", t.DELETE, "D")}, CASE WHEN code IN ('u', 'U') THEN {kept["u"].format(open_)} END,
+     CASE WHEN {keep} THEN {add(open_, f"{t.REROLE} + {late}", "R")} END) AS n2,
+    least({add("c3", t.DELETE, "D")}, CASE WHEN code IN ('a', 'A') THEN {kept["a"].format("c2")} END,
+     CASE WHEN {keep} THEN {add("c2", f"{t.REROLE} + {late}", "R")} END) AS n3
+   FROM dp JOIN l ON l.k = dp.k AND l.i = dp.i + 1))),
+best AS (SELECT k, least(c0, c3) AS b FROM dp JOIN (SELECT k, max(i) AS i FROM l GROUP BY k) USING (k, i)),
+cost AS (SELECT k, substr(b, 1, 6)::BIGINT AS cost, substr(b, 7) AS audit FROM best),
+act AS (
+ SELECT k, 0::BIGINT AS j, 0::BIGINT AS i, 0 AS state, audit, NULL::VARCHAR AS line FROM cost
+ UNION ALL
+ SELECT k, j, i, state, audit, CASE WHEN e = 'D' THEN NULL WHEN e = 'K' THEN role || ':' || text
+   ELSE CASE WHEN state = 2 THEN 'user:' ELSE 'assistant:' END || CASE WHEN e = 'R' THEN text ELSE '' END END FROM (
+  SELECT act.k, act.j + 1 AS j, act.i + (CASE WHEN substr(audit, act.j + 1, 1) = 'I' THEN 0 ELSE 1 END) AS i, audit,
+   substr(audit, act.j + 1, 1) AS e, l.role, l.text,
+   CASE WHEN substr(audit, act.j + 1, 1) = 'D' THEN state WHEN substr(audit, act.j + 1, 1) = 'K' AND lower(code) = 's' THEN 1
+    WHEN state = 2 THEN 3 ELSE 2 END AS state
+  FROM act LEFT JOIN l ON l.k = act.k AND l.i = act.i + 1 WHERE act.j < length(audit))),
+told AS (SELECT k, sha256(coalesce(string_agg(line, chr(10) ORDER BY j), '')) AS h FROM act GROUP BY k),
+n AS (SELECT k, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (r2 IS NOT NULL AND (r1 || r2) NOT IN ('su', 'ua', 'au')) AS illegal FROM l GROUP BY k),
+ids AS (SELECT DISTINCT conv_id, dense_rank() OVER (ORDER BY conv_id) AS k FROM src)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+ coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+ coalesce(h, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN n USING (k) LEFT JOIN cost USING (k) LEFT JOIN told USING (k)"""
+
+
 ORACLES = {"op3_quality_rules": _quality_rules(), "op4_secret_scan": _secret_scan(),
            "op5_source_mix": _source_mix(mixing.WEIGHTS, mixing.TOTAL.replace("div", "//"), mixing.EPOCHS),
-           "op6_chat_format": _chat_format()}
+           "op6_chat_format": _chat_format(), "op13_turn_repair": _turn_repair()}
