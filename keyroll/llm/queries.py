@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyroll.llm import (chat, decontaminate, html_extract, jaccard_join, langid, mixing, quality, rules, secrets,
-                         token_align, token_files, turn_repair)
+                         simhash, token_align, token_files, turn_repair)
 from keyroll.llm.common import read
 from keyroll.llm.sql import ORACLES
 from keyroll.session import apply_conf
@@ -91,13 +91,17 @@ def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.counted(simhash.compare(_documents(spark, sf_dir)), F.col("doc_id") % 20 == 0)
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.audit(read(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_language_id, op3_quality_rules, op4_secret_scan, op5_source_mix, op6_chat_format,
-    op7_html_text, op8_decontaminate, op9_jaccard_join, op10_token_files, op11_token_align,
+    op7_html_text, op8_decontaminate, op9_jaccard_join, op10_token_files, op11_token_align, op12_simhash,
     op13_turn_repair)}
 
 
