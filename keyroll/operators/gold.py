@@ -48,28 +48,6 @@ def _by_damage_desc(item: Column, tie: str) -> Column:
     return F.transform(F.sort_array(F.collect_list(keyed)), lambda x: x["item"])
 
 
-def leaderboard_keys(damage: DataFrame, meta: DataFrame, corrected: bool = False) -> DataFrame:
-    """The documents of N1 without their players: run meta of the finished runs
-    that have player damage. A page is chosen from these rows, and only the
-    chosen runs' players are put together (:func:`with_players`)."""
-    m = R.require_measures(meta.filter(F.col("finished") != 0), R.KEYS_MEASURES)
-    m = m.join(R.player_damage(damage).select("run_hash").distinct(), "run_hash", "left_semi")
-    pct, _ = S.timed_as_percent(F.col("dungeon_id"), F.col("duration"), corrected)
-    sk = S.sort_key(F.col("key_level"), pct, F.col("run_hash"))
-    return m.select(S.leaderboard_pk(F.col("patch")).alias("pk"), sk.alias("sk"),
-                    S.dungeon_pk(F.col("patch"), F.col("dungeon_id")).alias("gsi1pk"), sk.alias("gsi1sk"),
-                    *_doc_meta(m, corrected), "patch")
-
-
-def with_players(page: DataFrame, damage: DataFrame) -> DataFrame:
-    """A page's documents with their players array. ``page`` holds at most one
-    page of rows, so its run hashes are broadcast to the facts."""
-    rows = damage.join(F.broadcast(page.select(F.col("combatlog_hash").alias("run_hash"))), "run_hash", "left_semi")
-    players = (R.damage_per_player(rows).groupBy("run_hash")
-               .agg(_by_damage_desc(_player_struct(), "player_id").alias("player_damage")))
-    return page.join(players, page.combatlog_hash == players.run_hash, "left").drop("run_hash")
-
-
 def leaderboard_docs(damage: DataFrame, meta: DataFrame, join_mode: str = "inner",
                      corrected: bool = False, order: str = "sk", fanout: bool = False) -> DataFrame:
     """The leaderboard document of every finished run.

@@ -2,8 +2,9 @@
 
 Pages are keyset pages of ten rows read with one row of look-ahead: a
 filtered ``orderBy().limit(11)`` becomes Spark's TakeOrderedAndProject
-(per-task top 11, then a final top 11), so a page costs one pass over the
-(partition-pruned) leaderboard partition and never a full sort.
+(per-task top 11, then a final top 11), never a full sort. Over the stored
+board (:func:`board_page`) the scan is cut to the board's partitions and to a
+range of the sort key that holds the page.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from keyroll.functions import scoring as S
 from keyroll.operators.sizing import rank_within
+from keyroll.sources import documents as DT
 
 # K7: what a page shows of each document.
 PAGE_COLUMNS = ("player_damage", "duration_text", "deaths", "affixes", "keylevel", "dungeon_name",
@@ -59,6 +61,24 @@ def dungeon_page(docs: DataFrame, patch: str, dungeon_id: int, next_sk: str | No
     return keys_page(docs, f"LOG#KEY#{patch}#{dungeon_id}", next_sk, prev_sk, index="gsi1")
 
 
+def board_page(board: DT.DocumentTable, patch: str, dungeon_id: int | None = None, next_sk: str | None = None,
+               prev_sk: str | None = None, columns=PAGE_COLUMNS) -> DataFrame:
+    """K1-K7 from the stored board: the page of a patch, or of one of its dungeons."""
+    where = F.col("patch") == patch
+    if dungeon_id is not None:
+        where = where & (F.col("dungeon_id") == dungeon_id)
+    rows = board.span(where, S.PAGE_SIZE + 1, below=next_sk, above=prev_sk)
+    if dungeon_id is not None:
+        return keys_page(rows, f"LOG#KEY#{patch}#{dungeon_id}", next_sk, prev_sk, index="gsi1", columns=columns)
+    return keys_page(rows, f"LOG#KEY#{patch}", next_sk, prev_sk, columns=columns)
+
+
+def stored_run_detail(details: DT.DocumentTable, run_hash: str) -> DataFrame:
+    """K8 / S11 from the stored breakdowns: one bucket, and in it one range of keys."""
+    key = f"LOG#KEY#{run_hash}#OVERALL_PLAYER_DAMAGE"
+    return details.get(DT.of_bucket(key), key, key)
+
+
 def run_detail(breakdown: DataFrame, run_hash: str) -> DataFrame:
     """Point read of one run's breakdown; empty when missing."""
     key = f"LOG#KEY#{run_hash}#OVERALL_PLAYER_DAMAGE"

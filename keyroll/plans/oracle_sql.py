@@ -248,7 +248,15 @@ SELECT gsi1pk, gsi1sk, combatlog_hash,
   CAST((row_number() OVER (PARTITION BY gsi1pk ORDER BY gsi1sk DESC) - 1) // 10 AS BIGINT) AS page
 FROM docs"""
 
+# The batch whose version of a document is the newest one (see plans/boards.py).
+S10 = _DOCS + """
+SELECT docs.pk, docs.sk, docs.gsi1pk, docs.combatlog_hash, substr(docs.pk, 9) AS patch, docs.dungeon_id,
+  CAST(CASE WHEN CAST(docs.combatlog_hash AS BIGINT) % 3 = 0 OR CAST(docs.combatlog_hash AS BIGINT) % 7 = 0 THEN 2 ELSE 1 END AS BIGINT)
+    AS batch_id, d.caster_id AS player_id, d.damage
+FROM docs JOIN d ON d.run_hash = docs.combatlog_hash"""
+
 RELATIONAL = {
+    "s10_board_upsert": S10,
     "a6_damage_per_player": A6,
     "a7_damage_per_player_spell": A7,
     "a11_keys_result": A11,

@@ -14,6 +14,7 @@ from keyroll.operators import facts as FA
 from keyroll.operators import gold as G
 from keyroll.operators import relational as R
 from keyroll.operators import serve as K
+from keyroll.plans import boards as PB
 from keyroll.sources import bridge as B
 
 # Fixed request parameters of the registered serving queries.
@@ -119,34 +120,40 @@ def n6_breakdown_docs(spark, sf_dir):
                     F.col("s.damage").alias("spell_damage"))
 
 
-def _page(spark, sf_dir, board: str, **cursor) -> DataFrame:
-    """One page, its players written as ``id=damage`` in document order."""
-    damage, meta = _inputs(spark, sf_dir)
-    columns = [c for c in K.PAGE_COLUMNS if c != "player_damage"]
-    page = K.keys_page(G.leaderboard_keys(damage, meta), board, columns=columns, **cursor)
+def s10_board_upsert(spark, sf_dir):
+    """The stored board after two upsert batches, one row per document and player,
+    with the batch that its newest version came from."""
+    docs = PB.leaderboard(spark, sf_dir).read()
+    return docs.select("pk", "sk", "gsi1pk", "combatlog_hash", "patch", "dungeon_id", "batch_id", F.explode("player_damage").alias("p")).select(
+        "pk", "sk", "gsi1pk", "combatlog_hash", "patch", "dungeon_id", "batch_id", F.col("p.player_id").alias("player_id"),
+        F.col("p.damage").alias("damage"))
+
+
+def _page(spark, sf_dir, **request) -> DataFrame:
+    """One page of the stored board, its players written as ``id=damage`` in document order."""
+    page = K.board_page(PB.leaderboard(spark, sf_dir), PATCH, **request)
     players = F.transform("player_damage", lambda p: F.concat_ws("=", p["player_id"], p["damage"].cast("string")))
-    return G.with_players(page, damage).withColumn("players", F.array_join(players, ";")).drop("player_damage")
+    return page.withColumn("players", F.array_join(players, ";")).drop("player_damage")
 
 
 def k1_top_keys(spark, sf_dir):
-    return _page(spark, sf_dir, f"LOG#KEY#{PATCH}")
+    return _page(spark, sf_dir)
 
 
 def k2_top_keys_dungeon(spark, sf_dir):
-    return _page(spark, sf_dir, f"LOG#KEY#{PATCH}#{DUNGEON}", index="gsi1")
+    return _page(spark, sf_dir, dungeon_id=DUNGEON)
 
 
 def k3_next_page(spark, sf_dir):
-    return _page(spark, sf_dir, f"LOG#KEY#{PATCH}", next_sk=CURSOR)
+    return _page(spark, sf_dir, next_sk=CURSOR)
 
 
 def k4_prev_page(spark, sf_dir):
-    return _page(spark, sf_dir, f"LOG#KEY#{PATCH}", prev_sk=CURSOR)
+    return _page(spark, sf_dir, prev_sk=CURSOR)
 
 
 def k8_run_detail(spark, sf_dir):
-    damage, meta = (t.filter(F.col("run_hash") == DETAIL_RUN) for t in _inputs(spark, sf_dir))
-    d = K.run_detail(G.breakdown_docs(damage, meta), DETAIL_RUN)
+    d = K.stored_run_detail(PB.run_details(spark, sf_dir), DETAIL_RUN)
     return (d.select("pk", "combatlog_hash", F.posexplode("player_damage").alias("player_pos", "p"))
              .select("pk", "combatlog_hash", "player_pos", F.col("p.player_name").alias("player_name"),
                      F.col("p.damage").alias("player_total"),
@@ -154,11 +161,11 @@ def k8_run_detail(spark, sf_dir):
 
 
 def k9_page_numbers(spark, sf_dir):
-    return K.page_numbers(G.leaderboard_docs(*_inputs(spark, sf_dir)))
+    return K.page_numbers(PB.leaderboard(spark, sf_dir).read())
 
 
 def k9_page_numbers_dungeon(spark, sf_dir):
-    return K.page_numbers(G.leaderboard_docs(*_inputs(spark, sf_dir)), index="gsi1")
+    return K.page_numbers(PB.leaderboard(spark, sf_dir).read(), index="gsi1")
 
 
 QUERIES = {
@@ -174,6 +181,7 @@ QUERIES = {
     "n1_leaderboard_docs": n1_leaderboard_docs,
     "n3_player_totals": n3_player_totals,
     "n6_breakdown_docs": n6_breakdown_docs,
+    "s10_board_upsert": s10_board_upsert,
     "k1_top_keys": k1_top_keys,
     "k2_top_keys_dungeon": k2_top_keys_dungeon,
     "k3_next_page": k3_next_page,
@@ -186,7 +194,7 @@ QUERIES = {
 
 # ------------------------------------------------------------ optional tier
 def _docs(spark, sf_dir):
-    return G.leaderboard_docs(*_inputs(spark, sf_dir))
+    return PB.leaderboard(spark, sf_dir).read()
 
 
 def o3_affix_filter(spark, sf_dir):
