@@ -88,7 +88,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_align.align(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    docs, paths = _documents(spark, sf_dir), (tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return token_align.with_counts(token_align.align(docs, *paths))
 
 
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,13 @@ and B are sorted by start (``lexsort``); where a start reaches the running
 maximum of the ends before it (``maximum.accumulate``), a group begins, and the
 tokens that overlap are expanded within the groups. Three steps:
 
-1. ``pair_counts``: how many links of the corpus hold each pair of ids linked;
-   tasks sum before the shuffle.
-2. The most frequent pairs, ``HEAD`` at most, go to all tasks as sorted arrays:
-   that is a bound on what is broadcast whatever the corpus. The limit is a
-   power of two of the count, found from a histogram of at most 64 rows.
-3. ``align`` gives every document its numbers. Links of the other, rare pairs
-   are joined with their counts by a shuffle; no such pair can be hot.
+1. ``align`` takes every text once and stores its numbers, the hash of its groups
+   and its linked pairs of ids (``a << 32 | b``) with how often each occurs.
+2. ``pair_counts`` sums the pairs of all documents, tasks before the shuffle.
+3. ``with_counts`` looks the counts up. The most frequent pairs, ``HEAD`` at most, are
+   broadcast: a bound whatever the corpus. The limit is a power of two of the
+   count, found from a histogram of at most 64 rows. Links of the other, rare
+   pairs are joined with their counts by a shuffle; no such pair can be hot.
 
 Where neither tokenizer can make a token over the border of a word and the
 white space behind it (tested on A's splitting pattern and B's vocabulary), a
@@ -25,20 +25,24 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyroll.llm.common import store
 
 HEAD = 1 << 20
-KEPT_CHARS, KEPT_PIECES = 8_000_000, 400_000
-UNIT = 100_000
+KEPT_CHARS, KEPT_PIECES = 12_000_000, 600_000
+UNIT, LONG = 100_000, 2_000_000
+# Pieces encoded as one text, and what is put before them.
+CHUNK, AHEAD = 200, " a"
 # Unicode White_Space: what a byte-level pattern's \s means.
 WHITE = "\t-\r \x85\xa0  -     　"
+WHITES = set(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CROSSES = re.compile(f"[^{WHITE}]([{WHITE}])")
 MARK = "▁"
 B_BITS = 32
@@ -77,23 +81,54 @@ class Tokenizers:
         names = [self.b.id_to_piece(i) for i in range(len(self.b))]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
                         for i, p in enumerate(names)]
+        self.size_a, self.size_b = (np.array([len(x) for x in y], dtype=np.int64) for y in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id(MARK)
         # A's pattern splits where white space begins; B may merge a few kinds of it with the word before.
         splits = self.a.normalizer is None and re.search(r"ByteLevel\(.*use_regex=True", repr(self.a.pre_tokenizer))
         merged = {c for x in self.bytes_b for c in CROSSES.findall(x.decode(errors="ignore"))}
         self.pieces = _pieces(merged) if splits and " " not in merged else None
 
-    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of pieces of a text; the first begins with the space put before it.
-        B puts a space before what it is given, so a piece's own is left away."""
-        a = [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)]
-        b = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
-        for i, p in enumerate(pieces):
-            if p == " ":
-                b[i] = [self.space]
-            elif p[0] != " ":
-                b[i] = b[i][1:] if b[i][:1] == [self.space] else []
-        return a, b
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which pieces keep their bytes in both tokenizers, and of these the numbers of A
+        and B tokens and the ids one after the other. Pieces are encoded ``CHUNK`` at a
+        time as one text, which is cut at their ends by the bytes of the tokens;
+        where that fails, and for those that end in white space, one by one."""
+        good, n_a, n_b, ids_a, ids_b = [], [], [], [], []
+        joint = [i for i, p in enumerate(pieces) if self.pieces and MARK not in p and p[-1] not in WHITES]
+        alone = set(range(len(pieces))) - set(joint)
+        for at in range(0, len(joint), CHUNK):
+            chunk = joint[at:at + CHUNK]
+            bodies = [pieces[i].encode() for i in chunk]
+            text = AHEAD + "".join([pieces[i] for i in chunk])
+            a = np.array(self.a.encode(text, add_special_tokens=False).ids, dtype=np.int64)
+            b = np.array(self.b.encode(text[1:], num_threads=1), dtype=np.int64)
+            whole = text.encode()
+            if b"".join([self.bytes_a[i] for i in a.tolist()]) != whole or b"".join([self.bytes_b[i] for i in b.tolist()]) != whole:
+                alone.update(chunk)
+                continue
+            ends = np.cumsum([len(AHEAD), *map(len, bodies)])
+            for ids, size, n, out in ((a, self.size_a, n_a, ids_a), (b, self.size_b, n_b, ids_b)):
+                cuts = np.searchsorted(np.cumsum(size[ids]), ends, side="right")
+                n.append(np.diff(cuts))
+                out.append(ids[cuts[0]:])
+            good.append(np.array(chunk, dtype=np.int64))
+        for i in sorted(alone):
+            a, b = self.encode_one(pieces[i])
+            if a and pieces[i].encode() == b"".join([self.bytes_a[t] for t in a]) == b"".join([self.bytes_b[t] for t in b]):
+                for x, out in ((i, good), (len(a), n_a), (len(b), n_b)):
+                    out.append(np.array([x], dtype=np.int64))
+                ids_a.append(np.array(a, dtype=np.int64))
+                ids_b.append(np.array(b, dtype=np.int64))
+        none = np.zeros(0, dtype=np.int64)
+        return tuple(np.concatenate([none, *x]) for x in (good, n_a, n_b, ids_a, ids_b))
+
+    def encode_one(self, piece: str) -> tuple[list[int], list[int]]:
+        """Ids of one piece. B puts a space before what it is given: a piece's own is left away."""
+        a = self.a.encode(piece, add_special_tokens=False).ids
+        if piece == " ":
+            return a, [self.space]
+        b = self.b.encode(piece[1:] if piece[0] == " " else piece, num_threads=1)
+        return a, b if piece[0] == " " else b[1:] if b[:1] == [self.space] else []
 
 
 def overlaps(len_a: np.ndarray, len_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -121,8 +156,9 @@ class Aligned:
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
-        self.size_a = np.array([len(x) for x in tokenizers.bytes_a], dtype=np.int64)
-        self.size_b = np.array([len(x) for x in tokenizers.bytes_b], dtype=np.int64)
+        # Every id as text with what may stand behind it: A's , or |, then B's , or ; or nothing.
+        self.texts = [f"{i}{end}" for count, ends in ((len(tokenizers.bytes_a), ",|"), (len(tokenizers.bytes_b), (",", ";", "")))
+                      for end in ends for i in range(count)]
         self.clear()
 
     def clear(self) -> None:
@@ -139,29 +175,39 @@ class Aligned:
 
     def of(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Group texts, numbers and pairs of pieces (those of failing ones are empty)."""
-        a, b = self.tokenizers.encode(pieces)
-        bytes_a, bytes_b = self.tokenizers.bytes_a, self.tokenizers.bytes_b
-        good = [i for i, p in enumerate(pieces)
-                if (w := p.encode()) == b"".join(map(bytes_a.__getitem__, a[i])) == b"".join(map(bytes_b.__getitem__, b[i]))]
+        tokens = self.tokenizers
+        good, n_a, n_b, ids_a, ids_b = tokens.encode(pieces)
         texts, numbers = [""] * len(pieces), np.zeros((len(pieces), 4), dtype=np.int64)
-        if not good:
+        if not len(good):
             return texts, numbers, np.zeros(0, dtype=np.int64)
-        n_a, n_b = (np.array([len(x[i]) for i in good], dtype=np.int64) for x in (a, b))
-        ids_a, ids_b = (np.array([t for i in good for t in x[i]], dtype=np.int64) for x in (a, b))
-        group_a, group_b, link_a, link_b = overlaps(self.size_a[ids_a], self.size_b[ids_b])
+        group_a, group_b, link_a, link_b = overlaps(tokens.size_a[ids_a], tokens.size_b[ids_b])
         # A piece's tokens, groups and links are runs of those of all.
-        last = group_a[np.cumsum(n_a) - 1] + 1
+        end_a, end_b = np.cumsum(n_a), np.cumsum(n_b)
+        last = group_a[end_a - 1] + 1
         n_links = np.bincount(np.repeat(np.arange(len(good)), n_a)[link_a], minlength=len(good))
         numbers[good] = np.column_stack((n_a, n_b, np.diff(last, prepend=0), n_links))
-        text_a, text_b = ids_a.astype(str).tolist(), ids_b.astype(str).tolist()
-        cut_a = [0, *np.searchsorted(group_a, np.arange(1, last[-1] + 1)).tolist()]
-        cut_b = [0, *np.searchsorted(group_b, np.arange(1, last[-1] + 1)).tolist()]
-        made = [f"{','.join(text_a[cut_a[g]:cut_a[g + 1]])}|{','.join(text_b[cut_b[g]:cut_b[g + 1]])}" for g in range(last[-1])]
+        # Behind an A token: | if it is its group's last; behind a B token: ; or, at a piece's end, nothing.
+        bar = np.append(group_a[1:] != group_a[:-1], True)
+        end = np.append(group_b[1:] != group_b[:-1], True).astype(np.int64)
+        end[end_b - 1] = 2
+        count_a, count_b = len(tokens.bytes_a), len(tokens.bytes_b)
+        pick = np.concatenate((ids_a + bar * count_a, ids_b + end * count_b + 2 * count_a))
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        words = [self.texts[i] for i in pick[order].tolist()]
         begin = 0
-        for i, end in zip(good, last.tolist(), strict=True):
-            texts[i] = ";".join(made[begin:end])
-            begin = end
-        return texts, numbers, ids_a[link_a] << B_BITS | ids_b[link_b]
+        for i, stop in zip(good.tolist(), (end_a + end_b).tolist(), strict=True):
+            texts[i] = "".join(words[begin:stop])
+            begin = stop
+        return self._sorted(good, texts, numbers, n_links, ids_a[link_a] << B_BITS | ids_b[link_b])
+
+    @staticmethod
+    def _sorted(good: np.ndarray, texts: list[str], numbers: np.ndarray, n_links: np.ndarray,
+                pairs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Pairs in the order of the pieces (those taken one by one were put behind)."""
+        if (np.diff(good) > 0).all():
+            return texts, numbers, pairs
+        order = np.argsort(np.repeat(good, n_links), kind="stable")
+        return texts, numbers, pairs[order]
 
     def learn(self, pieces: list[str]) -> None:
         texts, numbers, pairs = self.of(pieces)
@@ -184,23 +230,26 @@ def _aligned(path_a: str, path_b: str) -> Aligned:
 
 
 def _units(texts: list[str | None], pieces: re.Pattern | None) -> Iterator[list[tuple[int, list[str]]]]:
-    """(row, pieces) of a batch's texts, ``UNIT`` pieces or about as many characters at
-    a time; a longer text comes in several parts."""
+    """(row, pieces) of a batch's texts, ``UNIT`` pieces or some more at a time; a text
+    of more than ``LONG`` characters comes in several parts."""
     unit, held = [], 0
     for row, text in enumerate(texts):
         if not text:
             continue
-        found = pieces.finditer(" " + text) if pieces else None
-        part, size = [], 0
-        for piece in (m.group() for m in found) if found else (" " + text,):
-            part.append(piece)
-            size += 1 + len(piece) // 64
-            if held + size >= UNIT:
-                yield [*unit, (row, part)]
-                unit, held, part, size = [], 0, [], 0
-        if part:
+        text = " " + text
+        if pieces is None:
+            parts = iter([[text]])
+        elif len(text) <= LONG:
+            parts = iter([pieces.findall(text)])
+        else:
+            found = (m.group() for m in pieces.finditer(text))
+            parts = iter(lambda: list(islice(found, UNIT)), [])
+        for part in parts:
             unit.append((row, part))
-            held += size
+            held += len(part)
+            if held >= UNIT:
+                yield unit
+                unit, held = [], 0
     if unit:
         yield unit
 
@@ -216,66 +265,88 @@ class _Rows:
         """(row, numbers of its pieces in the table), part by part."""
         for unit in _units(self.texts, self.table.tokenizers.pieces):
             index = self.table.index
-            if new := list(dict.fromkeys(p for _, part in unit for p in part if p not in index)):
-                self.table.learn(new)
+            flat = list(chain.from_iterable(part for _, part in unit))
+            at = list(map(index.get, flat))
+            if None in at:
+                self.table.learn(list({p for p, i in zip(flat, at, strict=True) if i is None}))
+                at = list(map(index.__getitem__, flat))
+            places, begin = np.array(at, dtype=np.int64), 0
+            lossy = self.table.numbers[places, 0] == 0
             for row, part in unit:
-                at = np.fromiter(map(index.__getitem__, part), dtype=np.int64, count=len(part))
-                if (self.table.numbers[at, 0] == 0).any():
+                stop = begin + len(part)
+                if lossy[begin:stop].any():
                     self.failed.add(row)
-                yield row, at
+                yield row, places[begin:stop]
+                begin = stop
 
 
-def _whole(table: Aligned, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """A text that a piece fails for, taken as a whole."""
-    return table.of([" " + text])
+def _summed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
+ROWS = ("row bigint, doc_id {key}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
+        "pairs array<bigint>, times array<bigint>")
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
-    """(pair, n): links of all documents per pair of ids, ``a << 32 | b``."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _aligned(path_a, path_b)
-        seen = np.zeros(0, dtype=np.int64)
-
-        def flush(seen: np.ndarray) -> pa.RecordBatch:
-            n = np.repeat(seen, table.numbers[:len(seen), 3])
-            keys, n = _summed(table.pairs[:len(n)][n > 0], n[n > 0])
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
+def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Stored rows of ``docs``: row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and
+    the linked ``pairs`` with their ``times`` (a pair may come in several entries).
 
+    Null, empty and lossy texts have no tokens: zeros, empty lists and an empty
+    ``groups_sha256``. Rows of equal id or text are all returned; a null id stays;
+    other columns are not read; an empty table gives no rows.
+    """
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _aligned(path_a, path_b)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(2).to_pylist()
             if table.full:
-                yield flush(seen)
                 table.clear()
-                seen = np.zeros(0, dtype=np.int64)
+            totals = np.zeros((len(texts), 4), dtype=np.int64)
+            hashes: list[Any] = [None] * len(texts)
+            pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
             rows = _Rows(table, texts)
-            per_row: dict[int, list[np.ndarray]] = {}
             for row, at in rows.parts():
-                per_row.setdefault(row, []).append(at)
-            seen = np.concatenate((seen, np.zeros(len(table.groups) - len(seen), dtype=np.int64)))
-            good = [at for row, ats in per_row.items() if row not in rows.failed for at in ats]
-            if good:
-                seen += np.bincount(np.concatenate(good), minlength=len(seen))
-            for row in rows.failed:
-                _, _, pairs = _whole(table, texts[row])
-                keys, n = _summed(pairs, np.ones(len(pairs), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
-        yield flush(seen)
-
-    found = docs.select(F.col(text).alias("text")).mapInArrow(count, "pair bigint, n bigint")
-    counts = found.groupBy("pair").agg(F.sum("n").alias("n"))
-    return store(counts, "pair-counts")
-
-
-def with_best(counts: DataFrame) -> DataFrame:
-    """``counts`` with ``best``: no pair of the same B id has a higher count. There are
-    at most as many B ids as entries in B's vocabulary."""
+                numbers = table.numbers[at]
+                totals[row] += numbers.sum(axis=0)
+                if hashes[row] is None:
+                    hashes[row] = hashlib.sha256()
+                else:
+                    hashes[row].update(b";")
+                hashes[row].update(";".join([table.groups[i] for i in at.tolist()]).encode())
+                n = numbers[:, 3]
+                place = np.arange(n.sum()) + np.repeat(table.first[at] - np.cumsum(n) + n, n)
+                pairs[row].append(_summed(table.pairs[place]))
+            for row in rows.failed:  # taken as a whole
+                groups, numbers, found = table.of([" " + texts[row]])
+                totals[row] = numbers[0]
+                hashes[row] = hashlib.sha256(groups[0].encode()) if numbers[0, 0] else None
+                pairs[row] = [_summed(found)]
+            sizes = np.cumsum([0] + [sum(len(k) for k, _ in p) for p in pairs])
+            lists = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(
+                [np.zeros(0, dtype=np.int64), *(x[i] for p in pairs for x in p)]))) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *[pa.array(totals[:, i]) for i in range(4)],
+                 pa.array([h.hexdigest() if h else "" for h in hashes], pa.string()), *lists],
+                names=[f.split()[0] for f in ROWS.split(", ")])
+
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return store(source.mapInArrow(measure, ROWS.format(key=source.schema["doc_id"].dataType.simpleString())), "aligned")
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """(row, pair, times) of aligned rows."""
+    found = rows.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("l"))
+    return found.select("row", F.col("l.pairs").alias("pair"), F.col("l.times").alias("times"))
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(pair, n, best): links of all documents per pair of ids; ``best`` if no pair of the
+    same B id has more. There are at most as many B ids as entries in B's vocabulary."""
+    counts = store(links(rows).groupBy("pair").agg(F.sum("times").alias("n")), "pair-counts")
     b = F.col("pair").bitwiseAND(F.lit((1 << B_BITS) - 1))
     highest = counts.groupBy(b.alias("b")).agg(F.max("n").alias("highest"))
     marked = counts.withColumn("b", b).join(F.broadcast(highest), "b")
@@ -285,101 +356,29 @@ def with_best(counts: DataFrame) -> DataFrame:
 def frequent(counts: DataFrame, most: int = HEAD) -> int:
     """The least power of two that at most ``most`` counts reach."""
     sizes = {r["bits"]: r["n"] for r in counts.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, limit = 0, 63
+    total, limit = 0, 1 << 63
     for bits in range(63, 0, -1):
         total += sizes.get(bits, 0)
         if total > most:
             break
-        limit = bits - 1
-    return 1 << limit
-
+        limit = 1 << (bits - 1)
+    return limit
 
-ROWS = ("row bigint, doc_id {key}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, "
-        "count_sum bigint, groups_sha256 string, rare array<bigint>, rare_n array<bigint>")
 
-
-def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text", doc_id: str = "doc_id",
-          head: int = HEAD) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and
-    groups_sha256 (see the module). Null, empty and lossy texts have no tokens: zeros
-    and an empty ``groups_sha256``. Rows of equal id or text are all counted and all
-    returned; a null id stays; other columns are not read; an empty table gives no rows.
-    """
-    spark: SparkSession = docs.sparkSession
-    counts = with_best(pair_counts(docs, path_a, path_b, text))
+def with_counts(rows: DataFrame, head: int = HEAD) -> DataFrame:
+    """Aligned rows (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256):
+    ``n_best`` links have a pair that is the most frequent of its B id, and
+    ``count_sum`` adds up the counts of all links' pairs."""
+    counts = pair_counts(rows)
     limit = frequent(counts, head)
-    top = counts.filter(F.col("n") >= limit).toArrow()  # ``head`` rows at most
-    order = np.argsort(top["pair"].to_numpy())
-    known = spark.sparkContext.broadcast((top["pair"].to_numpy()[order], top["n"].to_numpy()[order],
-                                          top["best"].to_numpy(zero_copy_only=False)[order]))
-
-    def look_up(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts, best marks and rare marks of pairs."""
-        keys, n, best = known.value
-        if not len(keys):
-            return np.zeros(len(pairs), dtype=np.int64), np.zeros(len(pairs), dtype=np.int64), np.ones(len(pairs), dtype=bool)
-        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-        found = keys[at] == pairs
-        return np.where(found, n[at], 0), (found & best[at]).astype(np.int64), ~found
-
-    def per_piece(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate(([0], np.cumsum(values)))[first])
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _aligned(path_a, path_b)
-        sums = np.zeros((0, 3), dtype=np.int64)  # per piece: counts, best links, rare links
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            if table.full:
-                table.clear()
-                sums = np.zeros((0, 3), dtype=np.int64)
-            totals = np.zeros((len(texts), 6), dtype=np.int64)  # A, B, groups, links, best, counts
-            hashes: list[Any] = [None] * len(texts)
-            rare: dict[int, list[np.ndarray]] = {}
-            rows = _Rows(table, texts)
-            for row, at in rows.parts():
-                if len(sums) < len(table.groups):
-                    begin = table.first[len(sums)]
-                    found = look_up(table.pairs[begin:])
-                    sums = np.concatenate((sums, np.column_stack([per_piece(v, table.first[len(sums):] - begin) for v in found])))
-                if hashes[row] is None:
-                    hashes[row] = hashlib.sha256()
-                elif row not in rows.failed:
-                    hashes[row].update(b";")
-                hashes[row].update(";".join(map(table.groups.__getitem__, at.tolist())).encode())
-                totals[row, :4] += table.numbers[at].sum(axis=0)
-                mine = sums[at].sum(axis=0)
-                totals[row, 4] += mine[1]
-                totals[row, 5] += mine[0]
-                if mine[2]:
-                    for piece in at[sums[at, 2] > 0].tolist():
-                        pairs = table.pairs[table.first[piece]:table.first[piece + 1]]
-                        rare.setdefault(row, []).append(pairs[look_up(pairs)[2]])
-            for row in rows.failed:
-                groups, numbers, pairs = _whole(table, texts[row])
-                n, best, unknown = look_up(pairs)
-                totals[row] = [*numbers[0], best.sum(), n.sum()]
-                hashes[row] = hashlib.sha256(groups[0].encode()) if numbers[0, 0] else None
-                rare[row] = [pairs[unknown]]
-            keys, counted = [], []
-            for row in range(len(texts)):
-                k = np.concatenate(rare[row]) if row in rare else np.zeros(0, dtype=np.int64)
-                k, c = _summed(k, np.ones(len(k), dtype=np.int64))
-                keys.append(k)
-                counted.append(c)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(totals[:, i]) for i in range(6)],
-                 pa.array([h.hexdigest() if h else "" for h in hashes], pa.string()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(counted, pa.list_(pa.int64()))],
-                names=[f.split()[0] for f in ROWS.split(", ")])
-
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = store(source.mapInArrow(measure, ROWS.format(key=source.schema["doc_id"].dataType.simpleString())), "aligned")
-    links = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("l"))
-    links = links.select("row", F.col("l.rare").alias("pair"), F.col("l.rare_n").alias("times"))
-    late = links.join(counts.filter(F.col("n") < limit), "pair").groupBy("row").agg(
-        F.sum(F.col("times") * F.col("n")).alias("more"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"))
-    out = rows.drop("rare", "rare_n").join(late, "row", "left")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links",
-                      (F.col("n_best") + F.coalesce("more_best", F.lit(0))).alias("n_best"),
-                      (F.col("count_sum") + F.coalesce("more", F.lit(0))).alias("count_sum"), "groups_sha256")
+    reached = F.lit(False) if limit > 1 << 62 else F.col("n") >= limit
+    top = F.broadcast(counts.filter(reached))  # ``head`` rows at most
+    known = links(rows).join(top, "pair")
+    if limit > 1:  # else every pair is among the frequent ones
+        rest = links(rows).join(F.broadcast(counts.filter(reached).select("pair")), "pair", "left_anti")
+        known = known.unionByName(rest.join(counts.filter(~reached), "pair"))
+    sums = known.groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("count_sum"),
+                                    F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"))
+    out = rows.drop("pairs", "times").join(sums, "row", "left")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).alias("n_best"),
+                      F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups_sha256")

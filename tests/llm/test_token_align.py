@@ -68,7 +68,7 @@ def test_equals_brute_force(spark, head):
     """With all pairs broadcast, the most frequent only, and none."""
     rows = corpus(4, 60)
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, row int, n_a int").repartition(3)
-    got = sorted((tuple(r) for r in ta.align(frame, A, B, head=head).collect()), key=str)
+    got = sorted((tuple(r) for r in ta.with_counts(ta.align(frame, A, B), head).collect()), key=str)
     assert got == brute(rows)
 
 
@@ -76,15 +76,18 @@ def test_small_table_and_units(spark, monkeypatch):
     """The table of pieces is emptied and long texts come in parts: same result."""
     monkeypatch.setattr(ta, "KEPT_PIECES", 30)
     monkeypatch.setattr(ta, "UNIT", 25)
+    monkeypatch.setattr(ta, "LONG", 200)
+    monkeypatch.setattr(ta, "CHUNK", 3)
     rows = corpus(9, 40) + [(5000, "word and more, " * 400)]
     texts = [t for _, t in rows]
     table = ta.Aligned(ta.Tokenizers(A, B))
     pattern = table.tokenizers.pieces
     parts = list(ta._units(texts, pattern))
     assert sum(len(p) for u in parts for r, p in u if r == len(rows) - 1) == len(pattern.findall(" " + texts[-1]))
-    assert max(sum(map(len, (p for _, p in u))) for u in parts) <= 25
+    assert max(len(p) for u in parts for _, p in u) <= 100
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    got = sorted((tuple(r) for r in ta.align(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), A, B).collect()), key=str)
+    got = sorted((tuple(r) for r in ta.with_counts(ta.align(spark.createDataFrame(
+        rows, "doc_id long, text string").coalesce(1), A, B)).collect()), key=str)
     assert got == brute(rows)
 
 
@@ -93,10 +96,15 @@ def test_whole_texts_equal_cut_texts():
     for _, text in corpus(11, 80):
         if text:
             pieces = tokens.pieces.findall(" " + text)
-            a, b = tokens.encode(pieces)
-            assert [i for x in a for i in x] == tokens.a.encode(" " + text, add_special_tokens=False).ids
-            got, want = [i for x in b for i in x], tokens.b.encode(text)
-            assert got == want or any(b"".join(map(tokens.bytes_b.__getitem__, x)) != p.encode() for x, p in zip(b, pieces))
+            one_by_one = [tokens.encode_one(p) for p in pieces]
+            assert [i for a, _ in one_by_one for i in a] == tokens.a.encode(" " + text, add_special_tokens=False).ids
+            good, n_a, n_b, ids_a, ids_b = tokens.encode(pieces)
+            kept = [one_by_one[i] for i in good.tolist()]
+            assert ids_a.tolist() == [i for a, _ in kept for i in a] and n_b.tolist() == [len(b) for _, b in kept]
+            assert ids_b.tolist() == [i for _, b in kept for i in b]
+            lossy = b"".join(map(tokens.bytes_b.__getitem__, tokens.b.encode(text))) != (" " + text).encode()
+            if not lossy:
+                assert len(good) == len(pieces) and [i for _, b in one_by_one for i in b] == tokens.b.encode(text)
 
 
 def test_frequent_limit(spark):
@@ -108,4 +116,4 @@ def test_frequent_limit(spark):
 
 
 def test_empty_table(spark):
-    assert ta.align(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
+    assert ta.with_counts(ta.align(spark.createDataFrame([], "doc_id long, text string"), A, B)).count() == 0
