@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Between a line's header and its body.
+SEPARATOR = "  "
 # Placeholders used while splitting; neither occurs in log text.
 _COMMA_IN_QUOTES = "\u0001"
 _ESCAPED_QUOTE = "\u0002"
@@ -24,10 +26,10 @@ def split_header(value: Column | str, parity: bool = False) -> tuple[Column, Col
     double space; with ``parity=True`` it is cut at a second double space
     (the reference keeps only the second piece). No separator -> body NULL."""
     v = _c(value)
-    pos = F.instr(v, "  ")
+    pos = F.instr(v, SEPARATOR)
     header = F.when(pos > 0, F.substring(v, F.lit(1), pos - 1))
     if parity:
-        parts = F.split(v, "  ")
+        parts = F.split(v, SEPARATOR)
         body = F.when(pos > 0, F.get(parts, 1))
     else:
         body = F.when(pos > 0, F.substring(v, pos + 2, F.lit(2147483647)))

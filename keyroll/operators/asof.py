@@ -73,3 +73,19 @@ def ordinal_within(df: DataFrame, by: list[str], pos: str, block: int = DEFAULT_
     within = F.row_number().over(Window.partitionBy(*by, blk).orderBy(pos))
     d = d.withColumn("_rn", within).join(offsets, [*by, blk])
     return d.withColumn(out, (F.col("_off") + F.col("_rn")).cast("bigint")).drop(blk, "_rn", "_off")
+
+
+def next_row(df: DataFrame, by: list[str], pos: str, value_cols: list[str], block: int = DEFAULT_BLOCK,
+             out: str = "next") -> DataFrame:
+    """Attach a struct column ``out`` with ``value_cols`` (and ``_pos``) of the row that
+    follows in the ``by`` group by ``pos`` (positions unique within a group); NULL for
+    the last one. A block hands its first row to the rows of the blocks before it, so
+    no window spans a group."""
+    blk = "_next_blk"
+    here = F.struct(*[F.col(c) for c in value_cols], F.col(pos).alias("_pos"))
+    d = df.withColumn(blk, F.floor(F.col(pos) / block)).withColumn("_here", here)
+    firsts = d.groupBy(*by, blk).agg(F.min_by("_here", pos).alias("_first"))
+    later = firsts.select(*by, blk, F.lead("_first").over(Window.partitionBy(*by).orderBy(blk)).alias("_later"))
+    inside = F.lead("_here").over(Window.partitionBy(*by, blk).orderBy(pos))
+    d = d.withColumn("_inside", inside).join(later, [*by, blk])
+    return d.withColumn(out, F.coalesce("_inside", "_later")).drop(blk, "_here", "_inside", "_later")

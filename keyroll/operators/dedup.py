@@ -91,12 +91,16 @@ def ledger_entries(kept: DataFrame, created_at: _dt.datetime, batch_id: int) ->
                        hash_bucket(F.col("run_hash")).alias("bucket"))
 
 
+def hash_rows(runs: DataFrame) -> DataFrame:
+    """Per upload its run hashes, how often each occurs in it, and whether all of
+    these runs were duplicates; one row per (upload, hash), so an upload of any length is spread."""
+    return runs.groupBy("upload_id", "run_hash").agg(F.count(F.lit(1)).alias("n"), F.min("duplicate").alias("duplicate"))
+
+
 def hash_lists(runs: DataFrame) -> DataFrame:
-    """Per upload, all run hashes and the duplicate ones (one upload holds
-    a bounded number of runs)."""
-    return runs.groupBy("upload_id").agg(
-        F.array_sort(F.collect_set("run_hash")).alias("all_hashes"),
-        F.array_sort(F.collect_set(F.when(F.col("duplicate"), F.col("run_hash")))).alias("duplicate_hashes"))
+    """The numbers of hashes and of duplicate hashes per upload."""
+    some = runs.groupBy("upload_id", "run_hash").agg(F.max("duplicate").alias("duplicate"))
+    return some.groupBy("upload_id").agg(F.count(F.lit(1)).alias("n_hashes"), F.count_if("duplicate").alias("n_duplicates"))
 
 
 def delete_from_ledger(ledger: DataFrame, hashes: DataFrame) -> DataFrame:

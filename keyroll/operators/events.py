@@ -54,6 +54,11 @@ def tokenize(lines: DataFrame, parity: bool = False, events=READ_EVENTS, value:
              .withColumn("error", F.when(F.col("body").isNull(), F.lit("no_separator"))))
 
 
+def line_text() -> Column:
+    """A tokenised line's text: its header, the separator and its tokens."""
+    return F.concat(F.col("ts_text"), F.lit(T.SEPARATOR), F.array_join("p", ","))
+
+
 def _first_error(*checks: tuple[Column, str]) -> Column:
     expr = None
     for cond, reason in checks:

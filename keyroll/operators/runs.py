@@ -1,44 +1,43 @@
 """Run segmentation, run assignment and pet attribution.
 
-A run is a START..END interval of one upload. Only the marker lines
-(two per run) are windowed per upload; every other line finds its run with
-the block-wise as-of lookup of :mod:`keyroll.operators.asof`, so no task
-ever holds a whole upload.
+A run is a START..END interval of one upload. The marker behind each marker and
+the run of every other line are found block by block
+(:mod:`keyroll.operators.asof`), so no task ever holds a whole upload.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyroll.operators import events as E
-from keyroll.operators.asof import asof_lookup
+from keyroll.operators.asof import asof_lookup, next_row
 
 # Upper bound used for a run left open until the end of its upload.
 OPEN_END = (1 << 62)
 
 
-def segment_runs(markers: DataFrame, upload: str = "upload_id", pos: str = "pos") -> DataFrame:
+def segment_runs(markers: DataFrame, upload: str = "upload_id", pos: str = "pos", keep=()) -> DataFrame:
     """START opens a run, the next END closes it; a START while a run is
     open closes that run just before itself (``closed`` false, Q3); an END
     with no open run is ignored. ``markers`` holds START/END lines only.
 
-    Returns ``upload_id, run_id, start_pos, end_pos, closed`` with
-    ``run_id = upload_id:start_pos`` (deterministic under task retries)."""
-    w = Window.partitionBy(upload).orderBy(pos)
-    m = (markers.select(upload, pos, "event")
-                .withColumn("_next_pos", F.lead(pos).over(w))
-                .withColumn("_next_event", F.lead("event").over(w)))
+    Returns ``upload_id, run_id, start_pos, end_pos, closed`` and the columns ``keep``
+    of the START line, with ``run_id = upload_id:start_pos`` (deterministic under
+    task retries)."""
+    m = next_row(markers.select(upload, pos, "event", *keep), [upload], pos, ["event"])
     starts = m.filter(F.col("event") == E.START)
-    end_pos = (F.when(F.col("_next_event") == E.END, F.col("_next_pos"))
-                .when(F.col("_next_event") == E.START, F.col("_next_pos") - 1)
+    after = F.col("next.event")
+    end_pos = (F.when(after == E.END, F.col("next._pos"))
+                .when(after == E.START, F.col("next._pos") - 1)
                 .otherwise(F.lit(OPEN_END)))
     return starts.select(
         upload,
         F.concat(F.col(upload), F.lit(":"), F.col(pos).cast("string")).alias("run_id"),
         F.col(pos).alias("start_pos"),
         end_pos.cast("bigint").alias("end_pos"),
-        F.coalesce(F.col("_next_event") == E.END, F.lit(False)).alias("closed"),
+        F.coalesce(after == E.END, F.lit(False)).alias("closed"),
+        *keep,
     )
 
 
@@ -71,13 +70,11 @@ def encounter_segments(encounters: DataFrame, pos: str = "pos") -> DataFrame:
     """O1: boss encounters inside a run. An ``ENCOUNTER_START`` is closed by
     the next encounter marker if that is an ``ENCOUNTER_END`` (its kill flag
     is kept); otherwise it stays open. ``encounters`` holds the in-run
-    encounter lines with ``run_id``, ``event``, ``kill`` and ``time_ms``; the
-    window runs over these marker lines of one run only."""
-    w = Window.partitionBy("run_id").orderBy(pos)
-    m = (encounters.withColumn("_ne", F.lead("event").over(w)).withColumn("_nkill", F.lead("kill").over(w))
-                   .withColumn("_nt", F.lead("time_ms").over(w)))
-    closed = F.coalesce(F.col("_ne") == E.ENCOUNTER_END, F.lit(False))
+    encounter lines with ``run_id``, ``event``, ``kill`` and ``time_ms``."""
+    m = next_row(encounters.select("run_id", pos, "event", "encounter_id", "encounter_name", "kill", "time_ms"),
+                 ["run_id"], pos, ["event", "kill", "time_ms"])
+    closed = F.coalesce(F.col("next.event") == E.ENCOUNTER_END, F.lit(False))
     return (m.filter(F.col("event") == E.ENCOUNTER_START)
              .select("run_id", "encounter_id", "encounter_name", F.col(pos).alias("start_pos"), closed.alias("closed"),
-                     F.when(closed, F.col("_nkill")).alias("kill"),
-                     F.when(closed, F.col("_nt") - F.col("time_ms")).alias("duration_ms")))
+                     F.when(closed, F.col("next.kill")).alias("kill"),
+                     F.when(closed, F.col("next.time_ms") - F.col("time_ms")).alias("duration_ms")))

@@ -23,6 +23,10 @@ META_FIELDS = ("dungeon_name", "dungeon_id", "challenge_mode_id", "key_level", "
                "four_affix_id", "seven_affix_id", "ten_affix_id")
 
 
+# What a run takes from its upload, where the lines have it.
+UPLOAD_COLUMNS = ("upload_date",)
+
+
 class Ingested:
     """The outputs of :func:`ingest`. ``runs`` and ``in_run`` are stored
     when the plan is built; the per-run dedup decisions and run meta are
@@ -50,8 +54,13 @@ class Ingested:
 
     @cached_property
     def hashes(self) -> DataFrame:
-        """run_id, upload_id, start_pos, run_hash, hashed_lines, duplicate."""
+        """run_id, upload_id, start_pos, run_hash, hashed_lines, duplicate, cut (its file
+        broke off inside it: what it holds is stored, but the ledger must not know it)."""
         hashed_runs = self.runs.join(self.fingerprints, "run_id", "inner")
+        broken = self._line_rejects.filter(F.col("path").isNotNull()).select("upload_id", F.lit(True).alias("_broken")).distinct()
+        open_end = ~F.col("closed") & (F.col("end_pos") == R.OPEN_END)
+        hashed_runs = (hashed_runs.join(broken, "upload_id", "left")
+                       .withColumn("cut", F.coalesce(open_end & F.col("_broken"), F.lit(False))).drop("_broken"))
         if self._mode == "failfast":
             failed = self._line_rejects.select("upload_id").distinct()
             hashed_runs = hashed_runs.join(failed, "upload_id", "left_anti")
@@ -59,13 +68,13 @@ class Ingested:
 
     @cached_property
     def _tags(self) -> DataFrame:
-        return self.hashes.select("run_id", "run_hash", "duplicate")
+        return self.hashes.select("run_id", "run_hash", "duplicate", *[c for c in UPLOAD_COLUMNS if c in self.hashes.columns])
 
     @cached_property
     def run_meta(self) -> DataFrame:
         """One row per hashed run (+ run_hash, duplicate); stored on first use
         (small, and read by several consumers)."""
-        return _stored(self._meta.join(self._tags, "run_id", "inner"), "run-meta", self._materialize)
+        return _stored(self._meta.drop(*UPLOAD_COLUMNS).join(self._tags, "run_id", "inner"), "run-meta", self._materialize)
 
     @property
     def damage(self) -> DataFrame:
@@ -77,9 +86,9 @@ class Ingested:
 
     @property
     def rejects(self) -> DataFrame:
-        """upload_id, pos, event, reason, path — rejected lines, runs without a
-        hashed line (Q8, reason ``no_hash``), archives that could not be read on
-        from ``pos``, and refused files; only the last two have the path."""
+        """upload_id, pos, event, reason, path, line — rejected lines with their text,
+        runs without a hashed line (Q8, reason ``no_hash``), archives that could not be
+        read on from ``pos``, and refused files; only the last two have the path."""
         no_hash = (self.runs.join(self.fingerprints, "run_id", "left_anti")
                    .select("upload_id", F.col("start_pos").alias("pos"), F.lit(E.START).alias("event"),
                            F.lit("no_hash").alias("reason")))
@@ -132,14 +141,16 @@ def ingest(lines: DataFrame, log_year: int | None = None, parity: bool = False,
         fault_path = F.when(F.col("fault").isNotNull(), F.col("path"))
     # The text is read and split once; later steps need the tokens and, for the
     # fingerprint, two hashes of the body, not the text itself.
+    t = t.withColumn("line", F.when(F.col("error").isNotNull(), F.col("value")))
     t = _stored(D.with_body_hashes(t).drop("value", "body"), "tokens", materialize)
     bad_lines = t.filter(F.col("error").isNotNull()).select("upload_id", "pos", "event", F.col("error").alias("reason"),
-                                                            fault_path.alias("path"))
-    t = t.filter(F.col("error").isNull())
+                                                            fault_path.alias("path"), "line")
+    t = t.filter(F.col("error").isNull()).drop("line")
     if "fault" in lines.columns:
         t = t.drop("fault")
 
-    runs = _stored(R.segment_runs(t.filter(F.col("event").isin(E.START, E.END))), "runs", materialize)
+    runs = _stored(R.segment_runs(t.filter(F.col("event").isin(E.START, E.END)),
+                                  keep=[c for c in UPLOAD_COLUMNS if c in t.columns]), "runs", materialize)
     # Seven consumers read the in-run lines; they are written once as a
     # Parquet table in the shared checkpoint folder instead of recomputing two
     # shuffles per consumer (this also cuts the lineage a lost executor would
@@ -177,7 +188,8 @@ def ingest(lines: DataFrame, log_year: int | None = None, parity: bool = False,
     def errors(df: DataFrame) -> DataFrame:
         return df.filter(F.col("error").isNotNull()).select("upload_id", "pos", "event",
                                                             F.col("error").alias("reason"),
-                                                            F.lit(None).cast("string").alias("path"))
+                                                            F.lit(None).cast("string").alias("path"),
+                                                            E.line_text().alias("line"))
 
     rejects = (bad_lines.unionByName(errors(starts)).unionByName(errors(ends)).unionByName(errors(versions))
                .unionByName(errors(summons)).unionByName(errors(hits)))

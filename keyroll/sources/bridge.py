@@ -15,9 +15,10 @@ The rules below are the bridge *specification*; the DuckDB oracles in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyroll.operators.asof import ordinal_within
 from keyroll.session import scratch_path
 
 # --- Fixed values that must equal the reference's -------------------------
@@ -236,8 +237,10 @@ def log_lines(spark: SparkSession, sf_dir: str, with_copies: bool = False) -> Da
         value = F.concat(header, F.lit("  "), render_body(F.col("event_id"), F.col("kind"), F.col("amount")))
         path = scratch_path(spark, "b4-lines")
         # Stored with explicit line numbers, whatever the files' sizes.
-        line = F.row_number().over(Window.partitionBy("upload_id").orderBy("pos")).cast("bigint")
-        b3.select("upload_id", line.alias("pos"), "event_id", "ts", value.alias("value")).write.parquet(path)
+        # An upload's events are spread over time, so blocks are one day of microseconds.
+        numbered = ordinal_within(b3.select("upload_id", "pos", "event_id", "ts", value.alias("value")), ["upload_id"], "pos",
+                                  block=86_400_000_000, out="line")
+        numbered.select("upload_id", F.col("line").alias("pos"), "event_id", "ts", "value").write.parquet(path)
         _RENDERED[key] = path
     return spark.read.parquet(path)
 
