@@ -219,6 +219,39 @@ T1 = f"""SELECT * EXCLUDE (upload_id) FROM ({E2E})"""
 
 ORACLES["t1_stream_keys_result"] = T1
 
+T2 = f"""SELECT start_event, patch, CAST(dungeon_id AS INTEGER) AS dungeon_id, CAST(key_level AS INTEGER) AS keylevel,
+  caster_id AS player_id, damage FROM ({E2E})"""
+
+# An upload and its copy: file types as in the fixtures, every run of the copy a duplicate.
+S13 = f"""WITH {_base(True)},
+f AS (SELECT upload_id, regexp_extract(upload_id, '^[0-9]+') AS upload, CAST(count(*) AS BIGINT) AS records FROM x GROUP BY upload_id),
+t AS (SELECT *, CASE (CAST(upload AS BIGINT) + CASE WHEN upload <> upload_id THEN 1 ELSE 0 END) % 5
+        WHEN 1 THEN 'gz' WHEN 2 THEN 'zip' ELSE 'txt' END AS file_type FROM f),
+n AS (SELECT upload_id, CAST(count(*) AS BIGINT) AS runs FROM hashed GROUP BY upload_id)
+SELECT upload, CAST(count(*) AS BIGINT) AS files, string_agg(DISTINCT file_type, '+' ORDER BY file_type) AS types,
+  CAST(sum(records) AS BIGINT) AS records, CAST(sum(coalesce(runs, 0)) AS BIGINT) AS runs,
+  CAST(sum(CASE WHEN upload <> t.upload_id THEN coalesce(runs, 0) ELSE 0 END) AS BIGINT) AS duplicate_runs, true AS sized
+FROM t LEFT JOIN n ON n.upload_id = t.upload_id GROUP BY upload"""
+
+T3 = """SELECT CAST(u AS VARCHAR) || CASE u % 5 WHEN 0 THEN '.log' WHEN 1 THEN '.txt.gz' WHEN 2 THEN '.zip' ELSE '.txt' END AS file,
+  CASE u % 5 WHEN 0 THEN 'suffix' WHEN 3 THEN 'key' ELSE 'archive' END AS reason
+FROM (SELECT DISTINCT user_id AS u FROM events) WHERE u % 5 <> 4"""
+
+# Hour of an upload's first line; the watermark before a batch is the highest hour of the
+# earlier ones, of which the latest upload decides what the retention keeps.
+T5 = f"""WITH {_base(False)},
+u AS (SELECT upload_id, date_trunc('hour', min(ts)) AS h, CAST(upload_id AS BIGINT) % 4 AS batch FROM x GROUP BY upload_id),
+s AS (SELECT *, coalesce(h < (SELECT max(v.h) FROM u v WHERE v.batch < u.batch) - INTERVAL 12 HOUR, false) AS late FROM u),
+top AS (SELECT CAST(max(h) - INTERVAL 18 HOUR AS DATE) AS oldest FROM u),
+n AS (SELECT upload_id, CAST(count(*) AS BIGINT) AS runs FROM hashed GROUP BY upload_id),
+d AS (SELECT upload_id, CAST(sum(damage) AS BIGINT) AS damage FROM booked JOIN hashed USING (upload_id, start_event) GROUP BY upload_id)
+SELECT upload_id, 'late' AS state, CAST(0 AS BIGINT) AS runs, CAST(0 AS BIGINT) AS damage FROM s WHERE late
+UNION ALL
+SELECT s.upload_id, 'kept', n.runs, coalesce(d.damage, 0) FROM s JOIN n ON n.upload_id = s.upload_id
+LEFT JOIN d ON d.upload_id = s.upload_id, top WHERE NOT late AND CAST(h AS DATE) >= oldest"""
+
+ORACLES.update({"t2_stream_documents": T2, "s13_upload_metrics": S13, "t3_stream_rejects": T3, "t5_late_and_expired": T5})
+
 O1 = f"""WITH {_base(False)},
 em AS (
  SELECT upload_id, start_event, ts, e, event, lead(event) OVER w AS ne, lead(e) OVER w AS nexte,

@@ -9,6 +9,8 @@ ids and hashes are positions / fingerprints the oracle cannot know.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,8 +98,6 @@ def d3_kept_runs(spark, sf_dir):
 def _two_batches(spark, sf_dir):
     """The uploads in two batches: originals with an even number first, then all
     others (copies included) against the ledger the first batch wrote."""
-    import datetime as dt
-
     from keyroll.operators import dedup as D
     from keyroll.session import scratch_path
     lines = B.log_lines(spark, sf_dir, with_copies=True)
@@ -217,20 +217,33 @@ QUERIES.update({
 STREAM_FILES_PER_TRIGGER = 64
 
 
-def t1_stream_keys_result(spark, sf_dir):
-    """S8 + T1 - T5 + D4 + S9 + S10 + S13: the B4 + B5 uploads as files,
-    ingested by the text and zip file streams (``availableNow``, whole files
-    per micro-batch, ledger shared across batches), facts read back and
-    queried. Which copy of a duplicate survives depends on batch order, so
-    the upload id is left out; everything else equals the batch result."""
+_STREAMED: dict[tuple[str, str], str] = {}
+
+
+def _stream_tables(spark, sf_dir: str) -> str:
+    """The tables of the file streams over the B4 + B5 uploads (``availableNow``, whole
+    files per micro-batch, ledger shared across batches); run once per session."""
     from keyroll.session import scratch_path
     from keyroll.sources.fixtures import write_upload_files
-    from keyroll.streaming.uploads import gold_table, start_upload_streams
-    landing = write_upload_files(spark, sf_dir, with_copies=True)
-    out_root = scratch_path(spark, "stream-out")
-    start_upload_streams(spark, landing, out_root, scratch_path(spark, "stream-ckpt"),
-                         max_files_per_trigger=STREAM_FILES_PER_TRIGGER, log_year=LOG_YEAR,
-                         patch_fallback="file", sequential=True)
+    from keyroll.streaming.uploads import start_upload_streams
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STREAMED:
+        landing = write_upload_files(spark, sf_dir, with_copies=True)
+        out_root = scratch_path(spark, "stream-out")
+        start_upload_streams(spark, landing, out_root, scratch_path(spark, "stream-ckpt"),
+                             max_files_per_trigger=STREAM_FILES_PER_TRIGGER, log_year=LOG_YEAR,
+                             patch_fallback="file", sequential=True)
+        _STREAMED[key] = out_root
+    return _STREAMED[key]
+
+
+def t1_stream_keys_result(spark, sf_dir):
+    """S8 + T1 + D4 + S9: the B4 + B5 uploads as files, ingested by the text and the
+    packed file stream, facts read back and queried. Which copy of a duplicate
+    survives depends on batch order, so the upload id is left out; everything
+    else equals the batch result."""
+    from keyroll.streaming.uploads import gold_table
+    out_root = _stream_tables(spark, sf_dir)
     meta = gold_table(spark, out_root, "run_meta")
     damage = gold_table(spark, out_root, "damage")
     keys = R.keys_result(damage, meta)
@@ -238,6 +251,77 @@ def t1_stream_keys_result(spark, sf_dir):
     return keys.join(ident, "combatlog_hash").drop("combatlog_hash")
 
 
+def t2_stream_documents(spark, sf_dir):
+    """T2 + S10: the players of the board that the streams keep by upserts; the board equals
+    a rebuild from all facts."""
+    from keyroll.sources import documents as DT
+    from keyroll.streaming.uploads import gold_table
+    out_root = _stream_tables(spark, sf_dir)
+    ident = gold_table(spark, out_root, "run_meta").select(
+        F.col("run_hash").alias("combatlog_hash"), F.col("challenge_mode_id").alias("start_event"))
+    docs = DT.leaderboard(spark, f"{out_root}/top_keys").read()
+    players = docs.select("combatlog_hash", "patch", "dungeon_id", "keylevel", F.explode("player_damage").alias("p"))
+    return players.join(ident, "combatlog_hash").select(
+        "start_event", "patch", "dungeon_id", "keylevel", F.col("p.player_id").alias("player_id"), F.col("p.damage").alias("damage"))
+
+
+def s13_upload_metrics(spark, sf_dir):
+    """S13 + D5: what the streams recorded of every upload and its copy together (which of
+    the two is the duplicate depends on batch order): files, their types, records, runs,
+    duplicates, and whether every file has a size."""
+    from keyroll.streaming.uploads import gold_table
+    m = gold_table(spark, _stream_tables(spark, sf_dir), "upload_metrics")
+    return m.groupBy(F.regexp_extract("upload_id", "^[0-9]+", 0).alias("upload")).agg(
+        F.count(F.lit(1)).alias("files"), F.array_join(F.array_sort(F.collect_set("file_type")), "+").alias("types"),
+        F.sum("records").cast("bigint").alias("records"), F.sum("runs").cast("bigint").alias("runs"),
+        F.sum("duplicate_runs").cast("bigint").alias("duplicate_runs"), F.min(F.col("bytes") > 0).alias("sized"))
+
+
+def t3_stream_rejects(spark, sf_dir):
+    """T3 + S5 + S7: of every upload a file that is cut, has another suffix or a bad key
+    (or is whole), through the streams; the files in ``rejects``, with the reason."""
+    from keyroll.session import scratch_path
+    from keyroll.sources.fixtures import write_refused_files
+    from keyroll.streaming.uploads import gold_table, start_upload_streams
+    out_root = scratch_path(spark, "refused-out")
+    start_upload_streams(spark, write_refused_files(spark, sf_dir), out_root, scratch_path(spark, "refused-ckpt"),
+                         max_files_per_trigger=STREAM_FILES_PER_TRIGGER, log_year=LOG_YEAR)
+    rejects = gold_table(spark, out_root, "rejects").filter(F.col("path").isNotNull())
+    return rejects.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.substring_index("reason", ":", 1).alias("reason"))
+
+
+# The late bound and the retention of the query below.
+LATE_AFTER, RETAIN = dt.timedelta(hours=12), dt.timedelta(hours=18)
+
+
+def t5_late_and_expired(spark, sf_dir):
+    """T5 + F5: the B4 uploads in four batches (number modulo 4) under a late bound and a
+    retention: per upload whether it came too late, or how many runs and how much
+    damage the fact tables still hold of it."""
+    from keyroll.session import scratch_path
+    from keyroll.streaming.uploads import gold_table, process_batch
+    lines = B.log_lines(spark, sf_dir)
+    first = lines.groupBy("upload_id").agg(F.min("ts").alias("first"))
+    folder = F.concat_ws("/", F.lit("s3://landing/upload"), F.year("first"), F.month("first"), F.dayofmonth("first"), F.hour("first"))
+    paths = first.select("upload_id", F.concat(folder, F.lit("/"), F.col("upload_id"), F.lit(".txt")).alias("path"))
+    lines = lines.join(paths, "upload_id").select("path", "pos", "value", F.pmod(F.col("upload_id").cast("bigint"), F.lit(4)).alias("batch"))
+    out_root = scratch_path(spark, "late-out")
+    for batch in range(4):
+        process_batch(spark, lines.filter(F.col("batch") == batch).drop("batch"), batch, out_root, log_year=LOG_YEAR,
+                      late_after=LATE_AFTER, retain=RETAIN)
+    late = gold_table(spark, out_root, "rejects").filter("reason = 'late'")
+    late = late.select(F.regexp_extract("path", "([^/]+)[.]txt$", 1).alias("upload_id"), F.lit("late").alias("state"),
+                       F.lit(0).cast("bigint").alias("runs"), F.lit(0).cast("bigint").alias("damage"))
+    runs = gold_table(spark, out_root, "run_meta").groupBy("upload_id").agg(F.count(F.lit(1)).alias("runs"))
+    damage = gold_table(spark, out_root, "damage").groupBy("upload_id").agg(F.sum("damage").cast("bigint").alias("damage"))
+    kept = runs.join(damage, "upload_id", "left").select(
+        F.col("upload_id").cast("string").alias("upload_id"), F.lit("kept").alias("state"), "runs",
+        F.coalesce("damage", F.lit(0).cast("bigint")).alias("damage"))
+    return late.unionByName(kept)
+
+
+QUERIES.update({"t2_stream_documents": t2_stream_documents, "s13_upload_metrics": s13_upload_metrics,
+                "t3_stream_rejects": t3_stream_rejects, "t5_late_and_expired": t5_late_and_expired})
 QUERIES["t1_stream_keys_result"] = t1_stream_keys_result
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from keyroll.session import scratch_path
 from keyroll.sources.sinks import latest_documents, read_table
 
 # Rows of an index entry, and bytes of a row group (a page reads a few of them).
@@ -54,6 +55,9 @@ class DocumentTable:
         with _WRITING:
             names = list(self.partitions)
             docs = docs.withColumns({c: F.col(c).cast(t) for c, t in self.partitions.items()})
+            given = scratch_path(self.spark, "given")
+            docs.write.parquet(given)  # made once; read to find the partitions, their ranges and to write
+            docs = self.spark.read.schema(docs.schema).parquet(given)
             touched = docs.select(names).distinct().collect()  # boards or hash buckets
             if not touched:
                 return

@@ -29,6 +29,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def read_batch(spark: SparkSession, path: str, batch_id: int, stream: str = "main") -> DataFrame | None:
+    """What one batch of a stream has written (a partition filter)."""
+    table = read_table(spark, path)
+    return None if table is None else table.filter((F.col("stream") == stream) & (F.col("batch_id") == batch_id))
+
+
 def latest_documents(docs: DataFrame) -> DataFrame:
     """S10 read side: the newest version of each (pk, sk) document. Keys are
     unique per run, so each window group holds the versions of one key."""
