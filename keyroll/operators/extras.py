@@ -1,5 +1,6 @@
 """Documented-but-unbuilt reads of the reference.
 
+The player reads are in :mod:`keyroll.operators.players`.
 All are expressed on the gold documents; grouped results use aggregates
 with map-side partials (``max`` of a struct instead of a window), and the
 top-k per player is a ``row_number() <= k`` filter that Spark turns into a
@@ -47,12 +48,6 @@ def recent_runs(docs: DataFrame, k: int = 5) -> DataFrame:
             .select("player_id", "recent", "combatlog_hash", "date"))
 
 
-def find_players(docs: DataFrame, prefix: str) -> DataFrame:
-    """Players whose name starts with ``prefix`` (with their run count)."""
-    return (player_runs(docs).filter(F.col("player_name").startswith(prefix))
-            .groupBy("player_id", "player_name").agg(F.count(F.lit(1)).alias("runs")))
-
-
 def dungeon_statistics(docs: DataFrame) -> DataFrame:
     """Per dungeon — runs, in-time runs, mean / min / max duration share
     and mean group damage (algebraic aggregates only)."""
@@ -65,3 +60,32 @@ def dungeon_statistics(docs: DataFrame) -> DataFrame:
                 F.round(F.min("percent"), 6).alias("min_percent"),
                 F.round(F.max("percent"), 6).alias("max_percent"),
                 F.round(F.avg("total_damage"), 3).alias("avg_damage")))
+
+
+# Relative rank error of a quantile sketch grows as 1 / SKETCH_K.
+SKETCH_K = 800
+
+
+def dungeon_sketches(docs: DataFrame, *by: str) -> DataFrame:
+    """Mergeable state per ``by``: number of runs and quantile sketches of the group
+    damage and of the share of the timer. A few kilobytes a row, whatever the runs."""
+    total = F.aggregate("player_damage", F.lit(0).cast("bigint"), lambda acc, p: acc + p["damage"])
+    rows = docs.select(*by, total.cast("double").alias("total"), F.col("percent").cast("double").alias("percent"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"),
+                                 F.kll_sketch_agg_double("total", F.lit(SKETCH_K)).alias("damage_sketch"),
+                                 F.kll_sketch_agg_double("percent", F.lit(SKETCH_K)).alias("percent_sketch"))
+
+
+def merge_sketches(states: DataFrame, *by: str) -> DataFrame:
+    """States of parts (partitions, batches, patches) to one state per ``by``."""
+    return states.groupBy(*by).agg(F.sum("runs").alias("runs"), *[
+        F.kll_merge_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in ("damage_sketch", "percent_sketch")])
+
+
+def percentiles(states: DataFrame, ranks: tuple[float, ...]) -> DataFrame:
+    """One row per state and rank: the values of the two sketches there."""
+    at = F.array(*[F.lit(r) for r in ranks])
+    keys = [c for c in states.columns if not c.endswith("_sketch")]
+    values = {"damage": F.kll_sketch_get_quantile_double("damage_sketch", at), "percent": F.kll_sketch_get_quantile_double("percent_sketch", at)}
+    rows = states.select(*keys, at.alias("rank"), *[v.alias(n) for n, v in values.items()])
+    return rows.select(*keys, F.inline(F.arrays_zip("rank", *values)))

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyroll.operators import gold as G
+from keyroll.operators.players import PlayerIndex
 from keyroll.session import scratch_path
 from keyroll.sources import bridge as B
 from keyroll.sources import documents as DT
 
-_BUILT: dict[tuple[str, str, str], DT.DocumentTable] = {}
+_BUILT: dict[tuple[str, str, str], DT.DocumentTable | PlayerIndex] = {}
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame]]:
@@ -31,7 +32,7 @@ def _batches(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFram
     return [(damage.filter(first & seen), meta.filter(first)), (damage.filter(late), meta.filter(late))]
 
 
-def _built(spark: SparkSession, sf_dir: str, name: str, table, docs) -> DT.DocumentTable:
+def _built(spark: SparkSession, sf_dir: str, name: str, table, docs):
     """Filled once per session and input folder; the pages are reads of what is stored."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUILT:
@@ -49,3 +50,7 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DT.DocumentTable:
 
 def run_details(spark: SparkSession, sf_dir: str) -> DT.DocumentTable:
     return _built(spark, sf_dir, "details", DT.run_details, lambda damage, meta: DT.with_bucket(G.breakdown_docs(damage, meta)))
+
+
+def players(spark: SparkSession, sf_dir: str) -> PlayerIndex:
+    return _built(spark, sf_dir, "players", PlayerIndex, G.leaderboard_docs)

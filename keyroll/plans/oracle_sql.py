@@ -336,3 +336,28 @@ FROM damage_b WHERE {PLAYER}
 GROUP BY run_hash, caster_name, caster_id"""
 
 RELATIONAL.update({"a1_filter_runs": A1, "a2_fresh_damage": A2})
+
+_ONE_PLAYER = _DOCS + """,
+mine AS (SELECT docs.*, substr(docs.pk, 9) AS patch, d.damage FROM docs JOIN d ON d.run_hash = docs.combatlog_hash
+         WHERE d.caster_id = 'Player-1')"""
+
+RELATIONAL.update({
+    "o4_player_dungeon_runs": _ONE_PLAYER + """
+SELECT combatlog_hash, sk, keylevel, damage, date FROM mine WHERE patch = '9.0.2' AND dungeon_id = 2291""",
+    "o4_player_best": _ONE_PLAYER + """
+SELECT dungeon_id, sk, combatlog_hash, keylevel, damage, runs FROM (
+ SELECT *, row_number() OVER (PARTITION BY dungeon_id ORDER BY sk DESC, combatlog_hash DESC) AS rn,
+  CAST(count(*) OVER (PARTITION BY dungeon_id) AS BIGINT) AS runs FROM mine WHERE patch = '9.0.2') WHERE rn = 1""",
+    "o5_player_recent": _ONE_PLAYER + """
+SELECT combatlog_hash, patch, dungeon_id, date, damage FROM mine ORDER BY date DESC, combatlog_hash LIMIT 10""",
+    "o5_player_by_id": _ONE_PLAYER + """
+SELECT 'Player-1' AS player_id, 'name1' AS player_name, CAST(count(*) AS BIGINT) AS runs, max(date) AS last_date FROM mine
+HAVING count(*) > 0""",
+    "o5_player_search": _DOCS + """
+SELECT lower(caster_name) || '#' || caster_id AS sk, caster_name AS player_name, caster_id AS player_id
+FROM (SELECT DISTINCT caster_name, caster_id FROM d WHERE run_hash IN (SELECT combatlog_hash FROM docs))
+WHERE lower(caster_name) LIKE 'name%' ORDER BY sk LIMIT 3 OFFSET 3""",
+    "o7_dungeon_percentiles": _DOCS + """
+SELECT dungeon_id, CAST(rank AS DOUBLE) AS rank, CAST(count(*) AS BIGINT) AS runs, true AS damage_near, true AS percent_near
+FROM docs, (SELECT unnest([0.1, 0.5, 0.9, 0.99]) AS rank) GROUP BY dungeon_id, rank""",
+})

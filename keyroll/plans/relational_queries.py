@@ -224,7 +224,60 @@ def o7_dungeon_statistics(spark, sf_dir):
     return X.dungeon_statistics(_docs(spark, sf_dir))
 
 
+# Fixed request parameters of the player reads.
+PLAYER, RECENT, PREFIX, FOUND = "Player-1", 10, "NAME", 3
+RANKS = (0.1, 0.5, 0.9, 0.99)
+# Highest distance of a sketch's value from the rank it was asked for (99 % confidence is below 0.4 %).
+RANK_ERROR = 0.01
+
+
+def o4_player_dungeon_runs(spark, sf_dir):
+    found = PB.players(spark, sf_dir).dungeon_runs(PLAYER, PATCH, DUNGEON)
+    return found.select("combatlog_hash", F.col("board_sk").alias("sk"), "keylevel", "damage", "date")
+
+
+def o4_player_best(spark, sf_dir):
+    return PB.players(spark, sf_dir).best_per_dungeon(PLAYER, PATCH)
+
+
+def o5_player_recent(spark, sf_dir):
+    return PB.players(spark, sf_dir).recent(PLAYER, RECENT).select("combatlog_hash", "patch", "dungeon_id", "date", "damage")
+
+
+def o5_player_by_id(spark, sf_dir):
+    return PB.players(spark, sf_dir).by_id(PLAYER)
+
+
+def o5_player_search(spark, sf_dir):
+    """The second page of a search whatever the case."""
+    index = PB.players(spark, sf_dir)
+    last = index.search(PREFIX, FOUND).agg(F.max("sk")).first()[0]
+    return index.search(PREFIX, FOUND, after=last)
+
+
+def o7_dungeon_percentiles(spark, sf_dir):
+    """Percentiles per dungeon from the sketches of its boards, merged over patches, and
+    whether the rank of each among all runs is within the bound."""
+    from keyroll.operators import extras as X
+    board = PB.leaderboard(spark, sf_dir)
+    found = X.percentiles(X.merge_sketches(board.summaries(), "dungeon_id"), RANKS)
+    total = F.aggregate("player_damage", F.lit(0).cast("bigint"), lambda acc, p: acc + p["damage"])
+    rows = board.read().select("dungeon_id", total.alias("total"), F.col("percent").alias("share"))
+    checked = rows.join(F.broadcast(found), "dungeon_id").groupBy("dungeon_id", "rank", "runs").agg(*[
+        F.avg((F.col(a) < F.col(b)).cast("double")).alias(f"below_{b}") for a, b in (("total", "damage"), ("share", "percent"))], *[
+        F.avg((F.col(a) <= F.col(b)).cast("double")).alias(f"upto_{b}") for a, b in (("total", "damage"), ("share", "percent"))])
+    near = [(F.col(f"below_{b}") <= F.col("rank") + RANK_ERROR) & (F.col(f"upto_{b}") >= F.col("rank") - RANK_ERROR)
+            for b in ("damage", "percent")]
+    return checked.select("dungeon_id", "rank", "runs", near[0].alias("damage_near"), near[1].alias("percent_near"))
+
+
 QUERIES.update({
+    "o4_player_dungeon_runs": o4_player_dungeon_runs,
+    "o4_player_best": o4_player_best,
+    "o5_player_recent": o5_player_recent,
+    "o5_player_by_id": o5_player_by_id,
+    "o5_player_search": o5_player_search,
+    "o7_dungeon_percentiles": o7_dungeon_percentiles,
     "o3_affix_filter": o3_affix_filter,
     "o4_best_run_per_dungeon": o4_best_run_per_dungeon,
     "o5_recent_runs": o5_recent_runs,

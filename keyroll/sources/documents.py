@@ -19,12 +19,14 @@ replayed gives the same table.
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from keyroll.operators.extras import dungeon_sketches
 from keyroll.session import scratch_path
 from keyroll.sources.sinks import latest_documents, read_table
 
@@ -43,9 +45,12 @@ class DocumentTable:
     """Documents (pk, sk, ..., created_at, batch_id) under ``path``, partitioned by the
     columns of ``partitions`` (name: type) and sorted by ``sort`` within them."""
 
-    def __init__(self, spark: SparkSession, path: str, partitions: dict[str, str], sort: str = "sk"):
-        self.spark, self.path, self.index_path = spark, path, f"{path}_index"
-        self.partitions, self.sort = partitions, sort
+    def __init__(self, spark: SparkSession, path: str, partitions: dict[str, str], sort: str = "sk",
+                 summary: Callable[[DataFrame, list[str]], DataFrame] | None = None):
+        """``summary`` makes one row per partition from its documents and the names of the
+        partition columns; it is kept beside the table for the partitions that change."""
+        self.spark, self.path, self.index_path, self.summary_path = spark, path, f"{path}_index", f"{path}_summary"
+        self.partitions, self.sort, self.summary = partitions, sort, summary
 
     # ------------------------------------------------------------- writing
     def upsert(self, docs: DataFrame) -> None:
@@ -66,6 +71,8 @@ class DocumentTable:
             kept = latest_documents(both)
             self._write(kept.repartitionByRange(*names, self.sort).sortWithinPartitions(*names, self.sort), self.path)
             self._index(touched)
+            if self.summary is not None:
+                self._write(self.summary(self.read().filter(self._in(touched)), names), self.summary_path)
 
     def _write(self, rows: DataFrame, path: str) -> None:
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -73,10 +80,10 @@ class DocumentTable:
 
     def _index(self, touched: list) -> None:
         place = F.struct(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / SLOT))
-        slots = self._table(self.path).filter(self._in(touched)).select(*self.partitions, self.sort, place.alias("place"))
-        slots = slots.groupBy(*self.partitions, "place").agg(
+        slots = self._table(self.path).filter(self._in(touched)).select(*self.partitions, self.sort, place.alias("_slot"))
+        slots = slots.groupBy(*self.partitions, "_slot").agg(
             F.min(self.sort).alias("first"), F.max(self.sort).alias("last"), F.count(F.lit(1)).alias("n"))
-        self._write(slots.drop("place").sortWithinPartitions(*self.partitions, "first"), self.index_path)
+        self._write(slots.drop("_slot").sortWithinPartitions(*self.partitions, "first"), self.index_path)
 
     def _in(self, touched: list) -> Column:
         """A filter on the partition columns only: read from the folder names."""
@@ -102,6 +109,9 @@ class DocumentTable:
     def index(self) -> DataFrame | None:
         return self._table(self.index_path)
 
+    def summaries(self) -> DataFrame | None:
+        return self._table(self.summary_path)
+
     def get(self, where: Column, pk: str, sk: str) -> DataFrame:
         """The document of a key in the partition that ``where`` names; empty if none."""
         return self.read().filter(where & (F.col("pk") == pk) & (F.col("sk") == sk))
@@ -135,8 +145,9 @@ def _edge(slots: list[tuple[str, int]], limit: int) -> str | None:
 
 
 def leaderboard(spark: SparkSession, path: str) -> DocumentTable:
-    """N1 documents, one partition per board: (patch, dungeon)."""
-    return DocumentTable(spark, path, {"patch": "string", "dungeon_id": "int"})
+    """N1 documents, one partition per board: (patch, dungeon), with its sketches."""
+    return DocumentTable(spark, path, {"patch": "string", "dungeon_id": "int"},
+                         summary=lambda docs, by: dungeon_sketches(docs, *by))
 
 
 DETAIL_BUCKETS = 64
