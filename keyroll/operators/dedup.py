@@ -92,9 +92,12 @@ def ledger_entries(kept: DataFrame, created_at: _dt.datetime, batch_id: int) ->
 
 
 def hash_rows(runs: DataFrame) -> DataFrame:
-    """Per upload its run hashes, how often each occurs in it, and whether all of
-    these runs were duplicates; one row per (upload, hash), so an upload of any length is spread."""
-    return runs.groupBy("upload_id", "run_hash").agg(F.count(F.lit(1)).alias("n"), F.min("duplicate").alias("duplicate"))
+    """Per upload its run hashes, how often each occurs in it, whether all of these
+    runs were duplicates, and the upload's date as event time; one row per
+    (upload, hash), so an upload of any length is spread."""
+    time = F.max(F.col("upload_date").cast("timestamp")) if "upload_date" in runs.columns else F.lit(None).cast("timestamp")
+    return runs.groupBy("upload_id", "run_hash").agg(F.count(F.lit(1)).alias("n"), F.min("duplicate").alias("duplicate"),
+                                                     time.alias("event_time"))
 
 
 def hash_lists(runs: DataFrame) -> DataFrame:

@@ -250,7 +250,10 @@ UNION ALL
 SELECT s.upload_id, 'kept', n.runs, coalesce(d.damage, 0) FROM s JOIN n ON n.upload_id = s.upload_id
 LEFT JOIN d ON d.upload_id = s.upload_id, top WHERE NOT late AND CAST(h AS DATE) >= oldest"""
 
-ORACLES.update({"t2_stream_documents": T2, "s13_upload_metrics": S13, "t3_stream_rejects": T3, "t5_late_and_expired": T5})
+T4 = f"""WITH {_base(True)}
+SELECT start_event, CAST(1 AS BIGINT) AS in_stream, true AS in_ledger FROM dec WHERE NOT duplicate"""
+
+ORACLES.update({"t2_stream_documents": T2, "t4_stream_dedup": T4, "s13_upload_metrics": S13, "t3_stream_rejects": T3, "t5_late_and_expired": T5})
 
 O1 = f"""WITH {_base(False)},
 em AS (

@@ -265,6 +265,19 @@ def t2_stream_documents(spark, sf_dir):
         "start_event", "patch", "dungeon_id", "keylevel", F.col("p.player_id").alias("player_id"), F.col("p.damage").alias("damage"))
 
 
+def t4_stream_dedup(spark, sf_dir):
+    """T4: the first runs that keyed streaming state finds among the run hashes of the upload
+    streams, against those that the ledger kept: one row per run, in both exactly once."""
+    from keyroll.session import scratch_path
+    from keyroll.streaming import first_runs as FR
+    from keyroll.streaming.uploads import gold_table
+    out_root, first = _stream_tables(spark, sf_dir), scratch_path(spark, "first-runs")
+    FR.start_first_runs(spark, f"{out_root}/upload_hashes", first, scratch_path(spark, "first-ckpt"),
+                        max_files=STREAM_FILES_PER_TRIGGER).awaitTermination()
+    ident = gold_table(spark, out_root, "run_meta").select("run_hash", F.col("challenge_mode_id").alias("start_event"))
+    return FR.against_ledger(spark, first, f"{out_root}/ledger").join(ident, "run_hash", "left").drop("run_hash")
+
+
 def s13_upload_metrics(spark, sf_dir):
     """S13 + D5: what the streams recorded of every upload and its copy together (which of
     the two is the duplicate depends on batch order): files, their types, records, runs,
@@ -320,7 +333,7 @@ def t5_late_and_expired(spark, sf_dir):
     return late.unionByName(kept)
 
 
-QUERIES.update({"t2_stream_documents": t2_stream_documents, "s13_upload_metrics": s13_upload_metrics,
+QUERIES.update({"t2_stream_documents": t2_stream_documents, "t4_stream_dedup": t4_stream_dedup, "s13_upload_metrics": s13_upload_metrics,
                 "t3_stream_rejects": t3_stream_rejects, "t5_late_and_expired": t5_late_and_expired})
 QUERIES["t1_stream_keys_result"] = t1_stream_keys_result
 
