@@ -2,13 +2,18 @@
 
 A page is a sequence of words (positive scores) and tags (negative scores). One
 linear scan finds the run with the greatest sum, the content region. The scores
-are learned from labelled pages, those that mark their main text themselves (a
-single ``article`` or ``main`` element): the log-odds of a kind of token inside
-and outside the marked text, a word's kind being its nearest sectioning element.
+are learned from labelled pages, those that mark their main text themselves (an
+``article`` or ``main`` element): the log-odds of a kind of token inside and
+outside the marked text. A word's kind is the block it stands in, the block
+around that, and whether it is a link; a tag's is its name; blocks go with their
+class or id. The mark itself is no part of a kind, so what is learned holds for
+pages without one, and no list of names takes part in the search.
 
-Parts that are never main text, wherever they are (menus, headers and footers of
-the page, sidebars, notices, adverts, forms, scripts, styles, reader comments),
-score nothing and are left out of the region's text.
+Kinds are hashed to ``KINDS`` numbers: any class name has its score, and the table
+has a fixed size.
+
+Inside the region the parts that are not main text (menus, headers and footers,
+sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out.
 """
 
 from __future__ import annotations
@@ -16,8 +21,10 @@ from __future__ import annotations
 import html
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +33,7 @@ from pyspark.sql import functions as F
 # Element names and class words of HTML pages.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split())
@@ -33,7 +41,7 @@ NEVER = frozenset(
     "head nav footer aside form button select option datalist fieldset menu menuitem dialog svg math canvas object "
     "audio video map".split()) | RAW
 MARKS = frozenset(("article", "main"))
-SECTIONS = frozenset("article main section div td body".split())
+MARKED = re.compile(r"<(?:article|main)[\s>]", re.I)
 ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 # A class or id names such a part if it is one of these words, or starts or
@@ -48,14 +56,17 @@ PARTS = (
 PART = re.compile(r"(?:^|[-_])(?:%s)(?:[-_]\w+)*$|^(?:%s)[-_]" % (("|".join(PARTS),) * 2))
 WRAPPER = re.compile(r"(?:^|[-_])(?:has|with|no|without|hide|show)[-_]")
 
+# No part of it looks further than the next tag or its own closing mark, so a page is read once.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+NAMED = re.compile(r"\b(?:class|id)\s*=\s*[\"']?\s*([^\s\"'>]+)", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w=-])(hidden)(?![\w=-])")
 
 # Scores of kinds that no labelled page has: words and tags.
 WORD_DEFAULT, TAG_DEFAULT, INLINE_DEFAULT = 1.0, -2.0, -0.1
-LEAST = 0.05
+LEAST, MOST_WORD, MOST_TAG = 0.05, 2.0, 4.0
+KINDS = 1 << 17
 
 
 def _left_out(name: str, attributes: str, inside: bool) -> bool:
@@ -77,90 +88,120 @@ def _left_out(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(kind, text, marked) of a page in order. Kinds: ``word@section`` with the
-    decoded text between two tags, ``name`` for a tag; marked tells whether the
-    token lies in an article or main element. Left-out parts give no tokens."""
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are left out
-    out = marks = 0
-    section = ["body"]
+class Token(NamedTuple):
+    """A tag, or the text between two; ``kind`` is its number. ``marked``: in an article
+    or main element. ``dropped``: in a part that is never main text."""
+
+    kind: int
+    name: str
+    text: str
+    words: int
+    marked: bool
+    dropped: bool
+
+
+def _number(kind: str) -> int:
+    return zlib.crc32(kind.encode(errors="replace")) % KINDS
+
+
+def tokens(page: str) -> Iterator[Token]:
+    """The tokens of a page in order; raw elements (scripts, styles, titles) give none."""
+    stack: list[tuple[str, str, bool]] = []  # open elements: name, name with class, left out
+    blocks: list[str] = []                   # of these the blocks, without marks and the page's own
+    opened: Counter[str] = Counter()
+    out = marks = links = 0
     at, end = 0, len(page)
 
-    def close(count: int) -> None:
-        nonlocal out, marks
-        for _ in range(count):
-            name, dropped = stack.pop()
-            out -= dropped
-            marks -= name in MARKS
-            if name in SECTIONS:
-                section.pop()
+    def close() -> str:
+        nonlocal out, marks, links
+        name, sign, dropped = stack.pop()
+        opened[name] -= 1
+        out -= dropped
+        marks -= name in MARKS
+        links -= name == "a"
+        if _is_block(name):
+            blocks.pop()
+        return sign
+
+    def words(text: str) -> Token:
+        near = f"{blocks[-1] if blocks else ''}@{blocks[-2] if len(blocks) > 1 else ''}"
+        return Token(_number(f"word {near}{'+a' if links else ''}"), "", text, len(text.split()), marks > 0, out > 0)
 
     while at < end:
         m = TOKEN.search(page, at)
         text = page[at:m.start() if m else end]
-        if text and not out:
-            decoded = html.unescape(text)
-            yield "word@" + ("mark" if marks else section[-1]), decoded, marks > 0
+        if text:
+            yield words(html.unescape(text))
         if not m:
             break
         at = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA[") and not out:
-                yield "word@" + ("mark" if marks else section[-1]), m[0][9:].removesuffix("]]>"), marks > 0
+            if m[0].startswith("<![CDATA["):
+                yield words(m[0][9:].removesuffix("]]>"))
             continue
-        name, closing = m[2].lower(), bool(m[1])
-        if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if not out:
-                yield "/" + name, "", marks > 0
-            if depth is not None:
-                close(len(stack) - depth)
+        name = m[2].lower()
+        if m[1]:
+            sign = name
+            if opened[name]:
+                while stack[-1][0] != name:
+                    close()
+                sign = close()
+            yield Token(_number(f"/{sign}"), name, "", 0, marks > 0, out > 0)
             continue
         if name in RAW and not m[0].endswith("/>"):
-            found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            found = RAW_END[name].search(page, at)
             at = found.end() if found else end
             continue
         if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-            close(1)  # these elements end where the next of them starts
-        dropped = not out and _left_out(name, m[3] or "", marks > 0)
-        if not out and not dropped:
-            yield name, "", marks > 0
+            close()  # these elements end where the next of them starts
+        attributes = m[3] or ""
+        named = NAMED.search(attributes) if attributes else None
+        sign = f"{name}.{named[1].lower()}" if named else name
+        dropped = not out and _left_out(name, attributes, marks > 0)
+        yield Token(_number(sign), name, "", 0, marks > 0, out > 0 or dropped)
         if name not in VOID and not m[0].endswith("/>"):
-            stack.append((name, dropped))
+            stack.append((name, sign, dropped))
+            opened[name] += 1
             out += dropped
             marks += name in MARKS
-            if name in SECTIONS:
-                section.append(name)
+            links += name == "a"
+            if _is_block(name):
+                blocks.append(sign)
+
 
+def _is_block(name: str) -> bool:
+    return name not in INLINE and name not in MARKS and name not in ("html", "body")
 
-def learn(pages: DataFrame, column: str = "html") -> dict[str, float]:
-    """Scores per kind of token from all pages that mark a main text: log-odds of
-    being inside, words kept positive and tags negative. Counting needs one row
-    per kind and task."""
+
+def learn(pages: DataFrame, column: str = "html") -> dict[int, float]:
+    """Score per number of a kind, from all pages that mark a main text: log-odds of
+    being inside, words kept positive and tags negative. Counting needs at most one
+    row per number and task."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inner, outer = Counter(), Counter()
+        inner, outer, tags = Counter(), Counter(), set()
         for batch in batches:
             for page in batch.column(0):
                 page = page.as_py() or ""
-                if not re.search(r"<(?:article|main)[\s>]", page, re.I):
+                if not MARKED.search(page):
                     continue
-                for kind, text, marked in tokens(page):
-                    (inner if marked else outer)[kind] += len(text.split()) if kind[:5] == "word@" else 1
+                for t in tokens(page):
+                    if t.name:
+                        tags.add(t.kind)
+                    (inner if t.marked else outer)[t.kind] += 1 if t.name else t.words
         kinds = sorted({*inner, *outer})
         if kinds:
             yield pa.RecordBatch.from_pydict({
-                "kind": kinds, "inside": pa.array([inner[k] for k in kinds], pa.int64()),
+                "kind": pa.array(kinds, pa.int64()), "tag": [k in tags for k in kinds],
+                "inside": pa.array([inner[k] for k in kinds], pa.int64()),
                 "outside": pa.array([outer[k] for k in kinds], pa.int64())})
 
-    sums = (pages.select(column).mapInArrow(count, "kind string, inside long, outside long")
-            .groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-            # Element names are free text: keep the kinds that were seen often.
-            .orderBy(F.desc(F.col("inside") + F.col("outside")), "kind").limit(2_000).collect())
+    sums = (pages.select(column).mapInArrow(count, "kind long, tag boolean, inside long, outside long").groupBy("kind")
+            .agg(F.max("tag").alias("tag"), F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+            .filter("inside + outside > 0").collect())  # KINDS rows at most
     scores = {}
     for r in sums:
         odds = math.log((r["inside"] + 0.5) / (r["outside"] + 0.5))
-        word = r["kind"].startswith("word@")
-        scores[r["kind"]] = max(LEAST, min(2.0, odds)) if word else min(-LEAST, max(-4.0, odds))
+        scores[r["kind"]] = min(-LEAST, max(-MOST_TAG, odds)) if r["tag"] else max(LEAST, min(MOST_WORD, odds))
     return scores
 
 
@@ -177,28 +218,30 @@ def best_run(values: list[float]) -> tuple[int, int]:
     return where
 
 
-def _score(kind: str, text: str, scores: dict[str, float]) -> float:
-    if kind.startswith("word@"):
-        return scores.get(kind, WORD_DEFAULT) * len(text.split())
-    name = kind.removeprefix("/")
-    return scores.get(kind, INLINE_DEFAULT if name in INLINE and name != "a" else TAG_DEFAULT)
+def _score(t: Token, scores: dict[int, float]) -> float:
+    if not t.name:
+        return scores.get(t.kind, WORD_DEFAULT) * t.words
+    return scores.get(t.kind, INLINE_DEFAULT if t.name in INLINE and t.name != "a" else TAG_DEFAULT)
 
 
-def extract(page: str | None, scores: dict[str, float]) -> str:
-    """Main text of one page; empty if it has no positive run."""
-    found = list(tokens(page or ""))
-    values = [_score(k, t, scores) for k, t, _ in found]
-    start, end = best_run(values)
-    parts = []
-    for kind, text, _ in found[start:end]:
-        if kind[:5] == "word@":
-            parts.append(text)
-        elif kind.removeprefix("/") not in INLINE:
-            parts.append(" ")
+def region(found: list[Token], scores: dict[int, float]) -> list[Token]:
+    """The tokens of the best run."""
+    start, end = best_run([_score(t, scores) for t in found])
+    return found[start:end]
+
+
+def text_of(found: list[Token]) -> str:
+    """The text of tokens without the parts that are left out, blocks joined by a space."""
+    parts = [t.text if not t.name else " " for t in found if not t.dropped and t.name not in INLINE]
     return " ".join("".join(parts).split())
 
 
-def main_text(pages: DataFrame, scores: dict[str, float], column: str = "html") -> DataFrame:
+def extract(page: str | None, scores: dict[int, float]) -> str:
+    """Main text of one page; empty if it has no positive run."""
+    return text_of(region(list(tokens(page or "")), scores))
+
+
+def main_text(pages: DataFrame, scores: dict[int, float], column: str = "html") -> DataFrame:
     """``row`` (a struct of the other columns) and ``text`` per page. A null page
     is empty and has the text ''; equal rows give equal rows; an empty table
     gives none. Scores are a bounded table of kinds."""
