@@ -7,13 +7,14 @@ are learned from labelled pages, those that mark their main text themselves (an
 outside the marked text. A word's kind is the block it stands in, the block
 around that, and whether it is a link; a tag's is its name; blocks go with their
 class or id. The mark itself is no part of a kind, so what is learned holds for
-pages without one, and no list of names takes part in the search.
+pages without one.
 
 Kinds are hashed to ``KINDS`` numbers: any class name has its score, and the table
 has a fixed size.
 
 Inside the region the parts that are not main text (menus, headers and footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out.
+sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out;
+where a page names them, their words earn nothing in the search either.
 """
 
 from __future__ import annotations
@@ -220,7 +221,7 @@ def best_run(values: list[float]) -> tuple[int, int]:
 
 def _score(t: Token, scores: dict[int, float]) -> float:
     if not t.name:
-        return scores.get(t.kind, WORD_DEFAULT) * t.words
+        return 0.0 if t.dropped else scores.get(t.kind, WORD_DEFAULT) * t.words
     return scores.get(t.kind, INLINE_DEFAULT if t.name in INLINE and t.name != "a" else TAG_DEFAULT)
 
 
