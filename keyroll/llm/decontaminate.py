@@ -1,17 +1,21 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Inverse document frequencies of hashed words, counted over all documents.
-2. A singular value decomposition of the TF-IDF matrix of every block of ``RANK``
-   passages of the benchmark, at its full rank: what is kept is at most ``RANK``
-   numbers per bucket that the block uses, however large the benchmark is.
+2. A randomised singular value decomposition of the TF-IDF matrix A of the benchmark's
+   passages: tasks multiply A'A with a random matrix, then ``POWERS`` times with the
+   orthonormal basis of the result; the driver holds one matrix of buckets x rank and
+   takes its QR. The rank is below the number of passages, so words that occur
+   together in the benchmark share directions.
 3. Every whole text is cut into overlapping windows; a window's latent vector is
    the sum of its words' vectors, and a window with a cosine of ``COSINE`` or more
-   to a passage is a candidate (benchmark items are compared in blocks), and so is
-   one that holds ``COVER`` of a passage whatever its other words are. A window's
-   norm is that of its full TF-IDF vector, so words outside the benchmark lower
-   the cosine; a passage's is its latent one. Vectors are only added up where the
-   words' greatest possible shares can reach the cosine.
-4. Around a candidate the longest common subsequence of words with the item is
+   to a passage is a candidate. A window's norm is that of its full TF-IDF vector, so
+   words outside the benchmark lower the cosine; a passage's is its latent one.
+   Vectors are only added up where the words' greatest possible shares can
+   reach the cosine.
+4. Beside it, for passages that the projection loses or that are outweighed by the
+   other words of a window, the exact product: from an inverted index of the passages'
+   words a window that holds ``COVER`` of a passage is a candidate too.
+5. Around a candidate the longest common subsequence of words with the item is
    taken. A share of ``COPY`` of the item's words is a leak; from ``PARAPHRASE``
    on it is one if the item's answer (its last sentence) is there as well.
 """
@@ -28,9 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyroll.llm.common import store
+
 DIMENSIONS = 1 << 16
-# Passages of a block, and so the most directions its basis can have.
-RANK = 256
+# Most directions of the basis, further ones while it is sought, and rounds of power iteration.
+RANK, OVERSAMPLE, POWERS = 64, 16, 2
+SEED = 20
 # Window and step in words, and the words of a text that are handled at a time.
 BLOCK = 8
 WINDOW = 4 * BLOCK
@@ -39,7 +46,8 @@ CHUNK = 1 << 15
 ROWS = 1024
 # Words of a benchmark passage.
 PASSAGE = 48
-ITEMS = 2_048
+# Items that are searched for at a time: their index is broadcast (under 100 MB).
+ITEMS = 16_384
 COSINE = 0.42
 # Share of a passage's length that a window's product with it has to reach, for
 # passages that are outweighed by the other words of a window.
@@ -51,12 +59,17 @@ _NO_WORD = np.uint64(xxhash.xxh3_64_intdigest(b""))
 MATCH = "array<struct<item_id:{0},cosine:double,lcs:bigint,item_words:bigint,answer:double,start:bigint>>"
 
 
-def buckets(text: str | None) -> np.ndarray:
-    """Buckets of the words of a text in order, without their case and outer
+def hashed(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text in order, without their case and outer
     punctuation; words of punctuation only are left out."""
     words = [w.strip(_MARKS) for w in (text or "").lower().encode().split()]
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    return (h[h != _NO_WORD] % np.uint64(DIMENSIONS)).astype(np.int64)
+    return h[h != _NO_WORD]
+
+
+def buckets(words: np.ndarray) -> np.ndarray:
+    """Dimensions of hashed words."""
+    return (words % np.uint64(DIMENSIONS)).astype(np.int64)
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -65,7 +78,7 @@ def document_frequency(docs: DataFrame, text: str = "text") -> np.ndarray:
         df, n = np.zeros(DIMENSIONS + 1, np.int64), 0
         for batch in batches:
             for t in batch.column(0):
-                b = np.unique(buckets(t.as_py()))
+                b = np.unique(buckets(hashed(t.as_py())))
                 df[b] += 1
                 n += 1
         df[DIMENSIONS] = n
@@ -88,45 +101,61 @@ def passages(words: np.ndarray) -> list[np.ndarray]:
 
 
 def vector(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """TF-IDF vector of a passage, of length one."""
-    index, tf = np.unique(words, return_counts=True)
+    """TF-IDF vector of a passage (of hashed words), of length one."""
+    index, tf = np.unique(buckets(words), return_counts=True)
     value = tf * idf[index]
     return index, value / np.linalg.norm(value)
 
 
-def owned_passages(items: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
-    """(place of the item, passage) of all passages of a list of items' words."""
-    return [(k, p) for k, words in enumerate(items) for p in passages(words)]
-
-
-def block_basis(block: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets that a block of passages uses, sorted, and per bucket its row
-    of the right singular vectors of the block's TF-IDF matrix. A block of at most
-    ``RANK`` passages keeps its full rank, so no passage is lost in projection."""
-    if not block:
-        return np.zeros(0, np.int64), np.zeros((0, 1))
-    used = np.unique(np.concatenate(block))
-    matrix = np.zeros((len(block), len(used)))
-    for i, p in enumerate(block):
-        index, value = vector(p, idf)
-        matrix[i, np.searchsorted(used, index)] = value
-    values, left = np.linalg.eigh(matrix @ matrix.T)
-    # Equal passages share a direction.
-    keep = values > 1e-6
-    basis, _ = np.linalg.qr(matrix.T @ (left[:, keep] / np.sqrt(values[keep])))
-    return used, basis
+def passage_vectors(items: DataFrame, idf: np.ndarray, text: str = "text") -> DataFrame:
+    """The rows of the TF-IDF matrix: (index, value) of every passage."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [vector(p, idf) for t in batch.column(0) for p in passages(hashed(t.as_py()))]
+            yield pa.RecordBatch.from_pydict({"index": pa.array([i for i, _ in rows], pa.list_(pa.int64())),
+                                              "value": pa.array([v for _, v in rows], pa.list_(pa.float64()))})
 
+    return store(items.select(F.col(text).alias("text")).mapInArrow(run, "index array<bigint>, value array<double>"), "passages")
 
-def latent_bases(items: list[tuple], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """One basis per block of ``RANK`` passages of (key, text) items, in order."""
-    owned = [p for _, p in owned_passages([buckets(t) for _, t in items])]
-    return [block_basis(owned[at:at + RANK], idf) for at in range(0, max(1, len(owned)), RANK)]
 
+def multiply(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """A'A times ``basis`` (dimensions x columns). A task adds up its passages; the sums of
+    all tasks are added by Spark, a row per dimension that a passage uses."""
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+    width = basis.shape[1]
+    names = [f"c{i}" for i in range(width)]
 
-def latent_basis(items: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The basis of a frame of few items: its passages as one block."""
-    words = [buckets(r["text"]) for r in items.select("text").collect()]
-    return block_basis([p for _, p in owned_passages(words)], idf)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, out = shared.value, np.zeros((DIMENSIONS, width))
+        for batch in batches:
+            for index, value in zip(batch.column(0), batch.column(1), strict=True):
+                i, v = index.values.to_numpy(), value.values.to_numpy()
+                out[i] += np.outer(v, v @ q[i])
+        used = np.flatnonzero(out.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(out[used, k]) for k in range(width)]], names=["b", *names])
+
+    product = rows.mapInArrow(run, "b bigint, " + ", ".join(f"{n} double" for n in names))
+    found = product.groupBy("b").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # DIMENSIONS rows at most
+    shared.destroy()
+    out = np.zeros((DIMENSIONS, width))
+    if found.num_rows:
+        out[found["b"].to_numpy()] = np.column_stack([found[n].to_numpy() for n in names])
+    return out
+
+
+def latent_basis(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Leading right singular vectors of the passages' TF-IDF matrix (dimensions x rank);
+    at most half as many as there are passages."""
+    rows = passage_vectors(items, idf)
+    count = rows.count()
+    rank = min(rank, max(1, count // 2))
+    if not count:
+        return np.zeros((DIMENSIONS, 1))
+    q = np.random.default_rng(SEED).standard_normal((DIMENSIONS, min(count, rank + OVERSAMPLE)))
+    for _ in range(1 + POWERS):
+        q, _ = np.linalg.qr(multiply(rows, q))
+    values, inner = np.linalg.eigh(q.T @ multiply(rows, q))
+    return q @ inner[:, np.argsort(values)[::-1][:rank]]
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -146,46 +175,53 @@ def answer_words(text: str, idf: np.ndarray) -> np.ndarray:
     """Words of the answer: of the last sentence, or of the last third of an item
     of one sentence, those at least as rare as the middle one."""
     sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
-    words = buckets(sentences[-1]) if len(sentences) > 1 else buckets(text)[-max(1, len(buckets(text)) // 3):]
+    words = hashed(sentences[-1]) if len(sentences) > 1 else hashed(text)[-max(1, len(hashed(text)) // 3):]
     words = np.unique(words)
-    return words[idf[words] >= np.median(idf[words])] if len(words) else words
+    rarity = idf[buckets(words)]
+    return words[rarity >= np.median(rarity)] if len(words) else words
 
 
-class Block:
-    """Finds one block of the benchmark's passages in texts."""
+class Searcher:
+    """Finds a list of (key, text) items in texts, given the basis of their passages."""
 
-    def __init__(self, owned: list[tuple[int, np.ndarray]], idf: np.ndarray, latent: tuple[np.ndarray, np.ndarray]):
-        used, basis = latent
-        # Row of a bucket; buckets that the block does not use have the last, empty one.
+    def __init__(self, items: list[tuple], idf: np.ndarray, basis: np.ndarray):
+        self.items = [(key, hashed(t), answer_words(t, idf)) for key, t in items]
+        owned = [(k, p) for k, (_, words, _) in enumerate(self.items) for p in passages(words)]
+        self.owner = np.array([k for k, _ in owned], dtype=np.int64)
+        rows = [vector(p, idf) for _, p in owned]
+        used = np.unique(np.concatenate([i for i, _ in rows])) if rows else np.zeros(0, dtype=np.int64)
+        # Row of a bucket; buckets that no passage uses have the last, empty one.
         self.row = np.full(DIMENSIONS, len(used), dtype=np.int64)
         self.row[used] = np.arange(len(used))
-        self.vectors = np.vstack([basis * idf[used][:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-        self.owner = np.array([k for k, _ in owned], dtype=np.int64)
-        rows, size = [], []
-        for _, p in owned:
-            index, value = vector(p, idf)
-            size.append(np.linalg.norm(np.unique(p, return_counts=True)[1] * idf[index]))
-            rows.append(value @ basis[np.searchsorted(used, index)])
-        rows = np.array(rows, dtype=np.float32).reshape(len(rows), basis.shape[1])
-        self.rows = (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-6)).T
-        self.size = np.array(size, dtype=np.float32)
+        self.vectors = np.vstack([basis[used] * idf[used][:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
+        latent = np.array([v @ basis[i] for i, v in rows], dtype=np.float32).reshape(len(rows), basis.shape[1])
+        self.rows = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-6)).T
         self.energy = (idf ** 2).astype(np.float32)
+        # The inverted index: per bucket the passages that hold it, how often, and the share
+        # of the passage that one such word brings; the shares of all its words sum up to 1.
+        held = np.concatenate([self.row[i] for i, _ in rows]) if rows else used
+        times = [np.unique(buckets(p), return_counts=True)[1] for _, p in owned]
+        share = [v * idf[i] / np.linalg.norm(t * idf[i]) for (i, v), t in zip(rows, times, strict=True)]
+        which = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows]).astype(np.int64)
+        order = np.argsort(held, kind="stable")
+        self.first = np.searchsorted(held[order], np.arange(len(used) + 2))
+        none = np.zeros(0)
+        self.holder, self.share = which[order], np.concatenate([none, *share])[order]
+        self.times = np.concatenate([none, *times])[order]
         # Per used bucket the most it can add to the product with any passage, and
-        # to its share of the passage's length.
-        self.most = np.zeros(len(used) + 1, dtype=np.float32)
-        self.cover = np.zeros(len(used) + 1, dtype=np.float32)
+        # to the share of one.
+        self.most, self.cover = (np.zeros(len(used) + 1, dtype=np.float32) for _ in range(2))
+        np.maximum.at(self.cover, held[order], self.share.astype(np.float32))
         for at in range(0, len(used) if len(rows) else 0, ROWS):
             end = min(at + ROWS, len(used))
-            product = self.vectors[at:end] @ self.rows
-            self.most[at:end] = product.max(axis=1).clip(0)
-            self.cover[at:end] = (product / self.size).max(axis=1).clip(0)
+            self.most[at:end] = (self.vectors[at:end] @ self.rows).max(axis=1).clip(0)
 
     def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(item, first word, cosine) of every window that is near an item."""
+        """(item, first word, cosine) of every window of hashed words that is near an item."""
         if not len(self.owner) or not len(words):
             return
         for at in range(0, max(1, len(words) - WINDOW + BLOCK), CHUNK):
-            part = words[at:at + CHUNK + WINDOW - BLOCK]
+            part = buckets(words[at:at + CHUNK + WINDOW - BLOCK])
             n = -(-len(part) // BLOCK)
             pad = n * BLOCK - len(part)
 
@@ -201,44 +237,41 @@ class Block:
 
             norm = np.sqrt(windows(blocks(self.energy[part])))
             row = self.row[part]
-            open_ = np.flatnonzero((windows(blocks(self.most[row])) >= COSINE * norm - 1e-3)
-                                   | (windows(blocks(self.cover[row])) >= COVER - 1e-3))
-            if not len(open_):
-                continue
-            need = np.unique((open_[:, None] + np.arange(WINDOW // BLOCK)).ravel())
-            need = need[need < n]
-            sums = np.zeros((n, self.vectors.shape[1]), dtype=np.float32)
-            index = (need[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            inside = index < len(part)
-            rows = np.zeros((len(index), self.vectors.shape[1]), dtype=np.float32)
-            rows[inside] = self.vectors[self.row[part[index[inside]]]]
-            sums[need] = rows.reshape(len(need), BLOCK, -1).sum(axis=1)
-            product = windows(sums)[open_] @ self.rows
-            cosine = product / norm[open_, None]
-            for i, j in zip(*np.nonzero((cosine >= COSINE) | (product >= COVER * self.size)), strict=True):
-                yield int(self.owner[j]), at + int(open_[i]) * BLOCK, float(cosine[i, j])
-
-
-class Searcher(Block):
-    """Finds a list of (key, text) items in texts, given the bases of the blocks
-    of their passages; it is itself the first block."""
-
-    def __init__(self, items: list[tuple], idf: np.ndarray, *latent: tuple[np.ndarray, np.ndarray]):
-        self.items = [(key, buckets(t), answer_words(t, idf)) for key, t in items]
-        owned = owned_passages([words for _, words, _ in self.items])
-        super().__init__(owned[:RANK], idf, latent[0])
-        self.blocks = [Block(owned[k * RANK:(k + 1) * RANK], idf, latent[k]) for k in range(1, len(latent))]
-
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        yield from super().candidates(words)
-        for block in self.blocks:
-            yield from block.candidates(words)
+            found: dict[tuple[int, int], float] = {}
+            open_ = np.flatnonzero(windows(blocks(self.most[row])) >= COSINE * norm - 1e-3)
+            if len(open_):
+                need = np.unique((open_[:, None] + np.arange(WINDOW // BLOCK)).ravel())
+                need = need[need < n]
+                sums = np.zeros((n, self.vectors.shape[1]), dtype=np.float32)
+                index = (need[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                inside = index < len(part)
+                rows = np.zeros((len(index), self.vectors.shape[1]), dtype=np.float32)
+                rows[inside] = self.vectors[row[index[inside]]]
+                sums[need] = rows.reshape(len(need), BLOCK, -1).sum(axis=1)
+                cosine = windows(sums)[open_] @ self.rows / norm[open_, None]
+                for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                    place = int(open_[i]), int(self.owner[j])
+                    found[place] = max(found.get(place, 0.0), float(cosine[i, j]))
+            for i in np.flatnonzero(windows(blocks(self.cover[row])) >= COVER - 1e-3).tolist():
+                for j in self.covered(row[i * BLOCK:i * BLOCK + WINDOW]).tolist():
+                    found.setdefault((i, int(self.owner[j])), 0.0)
+            for (i, item), cosine in sorted(found.items()):
+                yield item, at + i * BLOCK, cosine
+
+    def covered(self, row: np.ndarray) -> np.ndarray:
+        """Passages of which a window (rows of its words) holds the share ``COVER``, from the
+        inverted index; words count as often as the passage has them at most."""
+        own, times = np.unique(row, return_counts=True)
+        n = self.first[own + 1] - self.first[own]
+        place = np.repeat(self.first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        seen = np.minimum(np.repeat(times, n), self.times[place])
+        held = np.bincount(self.holder[place], weights=self.share[place] * seen, minlength=len(self.owner))
+        return np.flatnonzero(held >= COVER - 1e-6)
 
     def matches(self, text: str | None) -> list[dict]:
-        words = buckets(text)
+        words = hashed(text)
         spans: dict[int, list[list]] = {}
-        # An item's passages can be in two blocks: its windows are taken in order.
-        for item, start, cosine in sorted(self.candidates(words), key=lambda c: c[1]):
+        for item, start, cosine in self.candidates(words):
             reach = len(self.items[item][1])
             low, high = max(0, start - reach), min(len(words), start + WINDOW + reach)
             found = spans.setdefault(item, [])
@@ -280,8 +313,9 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                       F.array().cast(MATCH.format(kind)).alias("matches"))
     schema = f"row {out.schema['row'].dataType.simpleString()}, text string, matches {MATCH.format(kind)}"
     for k in range(blocks):
-        part = [(r["item_id"], r["text"]) for r in items.filter(block == k).collect()]  # about ITEMS rows
-        shared = docs.sparkSession.sparkContext.broadcast((part, idf, *latent_bases(part, idf)))
+        mine = items.filter(block == k)
+        part = [(r["item_id"], r["text"]) for r in mine.collect()]  # about ITEMS rows
+        shared = docs.sparkSession.sparkContext.broadcast((part, idf, latent_basis(mine, idf).astype(np.float32)))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(*shared.value)

@@ -31,17 +31,58 @@ def words(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
 
 
+def tfidf(items, idf):
+    """The TF-IDF matrix of the items' passages, dense."""
+    rows = [dc.vector(p, idf) for _, t in items for p in dc.passages(dc.hashed(t))]
+    full = np.zeros((len(rows), dc.DIMENSIONS))
+    for k, (index, value) in enumerate(rows):
+        full[k, index] = value
+    return full
+
+
+def topics(rng, count, size):
+    """Items of a few topics: each takes half of its topic's words."""
+    vocabulary = [[words(rng, 1) + f"t{t}w{i}" for i in range(60)] for t in range(count)]
+    return [(k, " ".join(rng.sample(vocabulary[k % count], 30))) for k in range(size)], vocabulary
+
+
 def test_basis_matches_exact_svd(spark):
+    """The leading directions of numpy's full decomposition, by products and small QRs."""
     rng = random.Random(3)
-    items = [(i, words(rng, 30)) for i in range(20)]
+    items, _ = topics(rng, 6, 90)
+    idf = np.ones(dc.DIMENSIONS)
+    basis = dc.latent_basis(bench(spark, items).repartition(4), idf, rank=6)
+    full = tfidf(items, idf)
+    _, exact, right = np.linalg.svd(full, full_matrices=False)
+    assert basis.shape == (dc.DIMENSIONS, 6) and np.abs(basis.T @ basis - np.eye(6)).max() < 1e-6
+    got = np.linalg.svd(full @ basis, compute_uv=False)
+    assert np.abs(got - exact[:6]).max() < 1e-3 * exact[0]
+    assert np.linalg.svd(right[:6] @ basis, compute_uv=False).min() > 0.99
+    assert dc.latent_basis(bench(spark, items[:5]), idf).shape[1] == 2  # below the number of passages
+
+
+def test_latent_cosine_finds_what_tf_idf_misses(spark):
+    """A rewording by the topic's other words: near in the latent space, far in TF-IDF."""
+    rng = random.Random(4)
+    items, vocabulary = topics(rng, 8, 160)
     idf = np.ones(dc.DIMENSIONS)
-    used, basis = dc.latent_basis(bench(spark, items), idf)
-    full = np.zeros((20, len(used)))
-    for i, t in items:
-        index, value = dc.vector(dc.buckets(t), idf)
-        full[i, np.searchsorted(used, index)] = value
-    assert basis.shape[1] == 20 and np.abs(basis.T @ basis - np.eye(20)).max() < 1e-3
-    assert np.abs(full @ basis @ basis.T - full).max() < 1e-3
+    searcher = dc.Searcher(items, idf, dc.latent_basis(bench(spark, items), idf, rank=8))
+    found = missed = 0
+    for key, text in items[:40]:
+        own = text.split()
+        kept = set(rng.sample(own, 8))
+        others = [w for w in vocabulary[key % 8] if w not in own]
+        reworded = " ".join(w if w in kept else others.pop() for w in own)
+        w = dc.hashed(reworded)
+        window, passage = np.zeros(dc.DIMENSIONS), np.zeros(dc.DIMENSIONS)
+        np.add.at(window, dc.buckets(w), 1.0)
+        np.add.at(passage, dc.buckets(dc.hashed(text)), 1.0)
+        plain = window @ passage / np.linalg.norm(window) / np.linalg.norm(passage)
+        held = searcher.owner[searcher.covered(searcher.row[dc.buckets(w)])]
+        missed += plain < dc.COSINE and key not in held
+        cosine = {item: c for item, _, c in searcher.candidates(w)}
+        found += cosine.get(key, 0) >= dc.COSINE and cosine[key] > plain + 0.1
+    assert missed == 40 and found == 40
 
 
 def test_leaks_and_clean_documents(spark, docs):
@@ -88,13 +129,19 @@ def test_windows_match_brute_force(spark, monkeypatch):
     idf = np.ones(dc.DIMENSIONS)
     searcher = dc.Searcher(items, idf, dc.latent_basis(bench(spark, items), idf))
     text = " ".join([words(rng, 200), items[2][1], words(rng, 90), items[4][1], words(rng, 33)])
-    w = dc.buckets(text)
-    want = set()
+    w = dc.hashed(text)
+    latent, exact = set(), set()
+    passages = tfidf(items, idf)
     for at in range(0, len(w) - dc.WINDOW + dc.BLOCK, dc.BLOCK):
-        part = w[at:at + dc.WINDOW]
+        part = dc.buckets(w[at:at + dc.WINDOW])
         for p, owner in zip(searcher.rows.T, searcher.owner, strict=True):
             if searcher.vectors[searcher.row[part]].sum(0) @ p / np.sqrt(len(part)) >= dc.COSINE + 1e-6:
-                want.add((int(owner), at))
+                latent.add((int(owner), at))
+        for p, owner in zip(passages, searcher.owner, strict=True):
+            if p[np.unique(part)].sum() / p.sum() >= dc.COVER:  # all weights are equal here
+                exact.add((int(owner), at))
+    want = latent | exact
+    assert latent and exact
     for chunk in (1 << 15, 64):
         monkeypatch.setattr(dc, "CHUNK", chunk)
         assert {(k, at) for k, at, _ in searcher.candidates(w)} >= want and want
@@ -129,26 +176,35 @@ def test_copies_of_a_large_benchmark(spark, docs):
     assert got == leaked
 
 
-def test_long_item_over_several_blocks(spark, monkeypatch):
-    """An item whose passages fill more than one block gives one match."""
-    monkeypatch.setattr(dc, "RANK", 4)
+def test_long_item_of_many_passages(spark):
+    """An item of many passages gives one match."""
     rng = random.Random(17)
     items = [(i, words(rng, n)) for i, n in enumerate((30, 400, 40, 45))]
     idf = np.ones(dc.DIMENSIONS)
-    searcher = dc.Searcher(items, idf, *dc.latent_bases(items, idf))
-    assert len(searcher.blocks) >= 4
+    searcher = dc.Searcher(items, idf, dc.latent_basis(bench(spark, items), idf))
+    assert len(searcher.owner) > 15
     for key, text in items:
         found = searcher.matches(f"{words(rng, 300)} {text} {words(rng, 300)}")
         assert [(m["item_id"], m["lcs"]) for m in found] == [(key, len(text.split()))]
 
 
+def test_items_in_several_parts(spark, docs, monkeypatch):
+    """A benchmark beyond the broadcast's size is searched part by part."""
+    rng = random.Random(21)
+    items = [(i, words(rng, 20)) for i in range(50)]
+    rows = [(i, f"{words(rng, 100)} {items[i][1]} {words(rng, 50)} {items[i + 1][1]}") for i in range(30)]
+    monkeypatch.setattr(dc, "ITEMS", 15)
+    for r in dc.find(docs(rows), bench(spark, items)).collect():
+        assert {m["item_id"] for m in r["matches"]} == {r["row"]["doc_id"], r["row"]["doc_id"] + 1}
+
+
 def test_short_items_in_long_texts(spark):
     """Copies of items of 4 to 16 words are found among words that are rarer than theirs."""
     rng = random.Random(19)
     items = [(i, words(rng, rng.randint(4, 16))) for i in range(80)]
     idf = np.full(dc.DIMENSIONS, 3.0)
-    idf[np.concatenate([dc.buckets(t) for _, t in items])] = 1.5
-    searcher = dc.Searcher(items, idf, *dc.latent_bases(items, idf))
+    idf[np.concatenate([dc.buckets(dc.hashed(t)) for _, t in items])] = 1.5
+    searcher = dc.Searcher(items, idf, dc.latent_basis(bench(spark, items), idf))
     for key, text in items:
         body = words(rng, 300).split()
         at = rng.randint(0, len(body))
