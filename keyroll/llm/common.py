@@ -12,9 +12,8 @@ from keyroll.session import scratch_path
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-# Rows up to which a key set is broadcast (tens of MB); beyond it the same
-# join is planned as a shuffle.
-BROADCAST_MAX_IDS = 1_000_000
+# Bytes of a stored table up to which it is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,7 +33,8 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def sized(keys: DataFrame, limit: int = BROADCAST_MAX_IDS) -> DataFrame:
-    """``keys`` (a stored table of a few longs) with a broadcast hint if it has
-    at most ``limit`` rows; unchanged, for a shuffled join, otherwise."""
-    return F.broadcast(keys) if keys.count() <= limit else keys
+def sized(keys: DataFrame) -> DataFrame:
+    """``keys`` (read from a stored table of a few short columns) with a broadcast hint if
+    its files hold ``BROADCAST_BYTES`` at most; unchanged, for a shuffled join, otherwise."""
+    size = keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(keys) if int(str(size)) <= BROADCAST_BYTES else keys

@@ -75,21 +75,21 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _probes(docs: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
-    """doc_id, n (set size), fp (128-bit digest of the set), cl (its first 64
-    bits) and probe tokens per row; fp is null for an empty set."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    """doc_id, written (hash of the text as it is), n (set size), fp (128-bit digest of the
+    set), cl (its first 64 bits) and probe tokens per row; fp is null for an empty set."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("written"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
             fps = [_digest(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "n": pa.array([len(s) for s in sets], pa.int64()),
+                "doc_id": batch.column(0), "written": batch.column(2), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "fp": pa.array(fps, pa.binary()),
                 "cl": pa.array([int.from_bytes(f[:8], "little", signed=True) if f else None for f in fps], pa.int64()),
                 "probe": _lists([_probe(s, percent) for s in sets])})
 
-    return store(rows.mapInArrow(run, "doc_id bigint, n bigint, fp binary, cl bigint, probe array<bigint>"), "probes")
+    return store(rows.mapInArrow(run, "doc_id bigint, written bigint, n bigint, fp binary, cl bigint, probe array<bigint>"), "probes")
 
 
 def _need(n: Column, percent: int) -> Column:
@@ -251,8 +251,14 @@ def _matrix_links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent:
 
 
 def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """The rows of :func:`labelled` without ``written``: one row per row of ``docs``."""
+    return labelled(docs, text, doc_id, percent).drop("written")
+
+
+def labelled(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``
-    (smallest ``doc_id`` reachable by links, itself included).
+    (smallest ``doc_id`` reachable by links, itself included) and ``written``, a
+    hash of the text.
 
     A null or wordless text has an empty set and is linked to nothing, its own
     id is its component. Rows with equal texts are linked, whatever their ids;
@@ -271,17 +277,19 @@ def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     least = linked.groupBy("label").agg(F.min("first_id").alias("least"))
     named = first.join(linked.join(least, "label").select(F.col("node").alias("fp"), "least"), "fp", "left")
     named = store(named.select("fp", F.coalesce("least", "first_id").alias("component_id")), "components")
-    return probes.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return probes.select("doc_id", F.col("n").alias("n_shingles"), "fp", "written").join(named, "fp", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "written")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows whose component holds a smaller ``doc_id``.
 
-    Rows with a null ``doc_id`` or without words stay. Of repeated rows (one id
+    A row is meant by its id and text: of rows that share an id each goes or stays
+    by its own text. A row without id goes if its component holds a row with one,
+    otherwise all such rows stay. Rows without words stay. Of repeated rows (one id
     and one text) all stay: they are one document.
     """
-    found = components_of(docs, text, doc_id, percent)
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped_id")).distinct()
-    drop = sized(store(drop, "dropped-ids"))
-    return docs.join(drop, docs[doc_id].cast("bigint") == drop["_dropped_id"], "left_anti")
+    found = labelled(docs, text, doc_id, percent).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    drop = sized(store(found.select(F.col("doc_id").alias("_id"), F.col("written").alias("_written")).distinct(), "dropped-rows"))
+    same = docs[doc_id].cast("bigint").eqNullSafe(drop["_id"]) & (F.xxhash64(docs[text]) == drop["_written"])
+    return docs.join(drop, same, "left_anti")

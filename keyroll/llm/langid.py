@@ -13,11 +13,11 @@ languages only.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +29,8 @@ UNKNOWN = "und"
 # Letters read at a time: bounds a task's memory for texts of any length.
 CHUNK = 1 << 18
 
-_OTHER = re.compile(r"[\W\d_]+")
+# Letters, and the marks that may stand on them; what has no letter is no text.
+_OTHER, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 _BLANK = np.uint64(32)
 
 
@@ -44,6 +45,8 @@ def _codes(padded: str) -> np.ndarray:
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a whole text and their counts."""
     letters = _OTHER.sub(" ", (text or "").lower()).strip()
+    if not _LETTER.search(letters):
+        letters = ""
     codes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
     at = 0
     while at < len(letters):

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyroll.llm.common import SPACE, store
+from keyroll.llm.common import SPACE, sized, store
 
 LEVELS = ("domain", "lang", "source")
 DIGITS = 4
@@ -123,7 +123,7 @@ def select_mix(docs: DataFrame, domain: Column, total: Column, weights: dict[str
     plan = plan.select(*LEVELS, "budget", F.expr("budget div greatest(tokens, 1L)").alias("whole"),
                        F.expr("budget % greatest(tokens, 1L)").alias("part"))
     plan = store(plan, "mix-plan")
-    last = slim.join(F.broadcast(plan) if plan.count() <= 100_000 else plan, list(LEVELS)).filter("part > 0")
+    last = slim.join(sized(plan), list(LEVELS)).filter("part > 0")
     last = last.withColumn("key", _key(seed, "whole", "id")).withColumn("bucket", F.substring("key", 1, DIGITS))
     sums = last.groupBy(*LEVELS, "part", "bucket").agg(F.sum("tokens").alias("n"))
     ahead = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,7 +135,7 @@ def select_mix(docs: DataFrame, domain: Column, total: Column, weights: dict[str
     cut = (within.withColumn("start", F.col("before") + F.coalesce(F.sum("tokens").over(run), F.lit(0)))
            .filter("start < part").groupBy(*LEVELS).agg(F.max(F.struct("key", "tokens")).alias("cut")))
     full = store(plan.join(cut, list(LEVELS), "left"), "mix-cuts")
-    out = rows.join(F.broadcast(full) if full.count() <= 100_000 else full, list(LEVELS))
+    out = rows.join(sized(full), list(LEVELS))
     key = F.struct(_key(seed, "whole", "id").alias("key"), F.col("tokens"))
     epochs = F.col("whole") + F.when(F.col("cut").isNotNull() & (key <= F.col("cut")), 1).otherwise(0)
     out = out.withColumn("epochs", epochs.cast("int")).filter("epochs > 0")

@@ -5,7 +5,8 @@ that returns match positions, so they are rebuilt from lengths: the pieces
 between the matches (``split``) and the matches (``regexp_extract_all``)
 alternate, and their running sum gives every start and end in code points.
 
-Entropy candidates are long runs of token characters outside the fixed spans.
+Entropy candidates are long runs of token characters outside the fixed spans; of a
+run that a fixed span cuts, the pieces beside it.
 A window of ``WINDOW`` characters slides over each candidate; the counts per
 character of the candidate's class and ``S = sum(c * log2 c)`` are updated for
 the character that enters and the one that leaves, and the window's entropy is
@@ -37,14 +38,17 @@ CLASSES = (
     (r"^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.45),
     (r"^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.65),
 )
+# A word: lower case, capitalised, capitals, or several put together, each with a capital
+# and two small letters at least. Letters in any other order of cases are no word.
+WORD = "([a-z]+([A-Z]{1,5}[a-z]{2,})*|[A-Z][a-z]*([A-Z]{1,5}[a-z]{2,})*|[A-Z]+)"
 # Candidates that are never secrets: words and joined words, numbers, UUIDs,
 # dates and times, and paths of words.
 ALLOWED = (
-    r"^[A-Za-z]+([+/_=-]+[A-Za-z]+)*[+/_=-]*$",
+    rf"^[+/_=-]*{WORD}([+/_=-]+{WORD})*[+/_=-]*$",
     r"^[0-9+/_=-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9]{0,6}Z?$",
-    r"^/?([A-Za-z]+[0-9]{0,4}[/_=-]+)+[A-Za-z]*[0-9]{0,4}$",
+    rf"^/?({WORD}[0-9]{{0,4}}[/_=-]+)+({WORD}[0-9]{{0,4}})?$",
 )
 SCALE = 10 ** 9
 BLOCK = 128
@@ -130,13 +134,30 @@ def _secret_like(word: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(verdict)
 
 
+def _beside(run: Column, base: Column) -> Column:
+    """The pieces of a run outside the fixed spans that are long enough: where a span
+    covers the run's word, blanks take its place."""
+    def blank(word: Column, b: Column) -> Column:
+        begin = F.greatest(b["start"] - run["start"], F.lit(0).cast("bigint")).cast("int")
+        end = (F.least(b["end"], run["end"]) - run["start"]).cast("int")
+        return F.concat(F.substring(word, F.lit(1), begin), F.repeat(F.lit(" "), end - begin),
+                        F.substring(word, end + 1, F.length(word)))
+
+    inside = F.filter(base, lambda b: (b["start"] < run["end"]) & (b["end"] > run["start"]))
+    left = F.aggregate(inside, run["word"], blank)
+    pieces = F.transform(_matches(left, CANDIDATE, "entropy"), lambda p: F.struct(
+        (p["start"] + run["start"]).alias("start"), p["kind"].alias("kind"), (p["end"] + run["start"]).alias("end"),
+        p["word"].alias("word"), p["value"].alias("value")))
+    return F.when(F.size(inside) == 0, F.array(run)).otherwise(pieces)
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``row`` (a struct of the input columns) with ``base`` and ``found``:
     arrays of (start, kind, end, word) in code points, end exclusive, ordered by
     start, then kind as listed in ``KINDS``.
 
-    ``base`` are the pattern spans; ``found`` adds entropy candidates that
-    overlap none of them. A null text is empty and has no spans; repeated rows
+    ``base`` are the pattern spans; ``found`` adds the entropy candidates outside
+    them. A null text is empty and has no spans; repeated rows
     are scanned one by one; an empty table gives no rows.
     """
     t = F.col("t")
@@ -147,8 +168,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         _matches(t, ACCESS, "access").alias("access"), _matches(t, HEX, "hex").alias("hex"),
         _matches(t, CANDIDATE, "entropy").alias("runs"))
     parts = parts.select("row", "runs", F.array_sort(F.concat("assign", "access", "hex")).alias("base"))
-    fresh = F.filter("runs", lambda r: ~F.exists(
-        F.col("base"), lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"])) & _secret_like(r["word"]))
+    fresh = F.filter(F.flatten(F.transform("runs", lambda r: _beside(r, F.col("base")))), lambda r: _secret_like(r["word"]))
     found = F.when((F.size("runs") > 0), F.array_sort(F.concat("base", fresh))).otherwise(F.col("base"))
     return parts.select("row", "base", found.alias("found"))
 

@@ -64,8 +64,18 @@ FROM (SELECT doc_id, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS (SELECT * FROM ({spans('assign', secrets.ASSIGN, 2)}) WHERE length(val) >= {secrets.ASSIGN_VALUE}
  UNION ALL {spans('access', secrets.ACCESS, 0)} UNION ALL {spans('hex', secrets.HEX, 0)}),
-run AS (SELECT * FROM ({spans('entropy', secrets.CANDIDATE, 0)}) r WHERE NOT ({allowed})
- AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s < r.s + r.n AND b.s + b.n > r.s)),
+whole AS ({spans('entropy', secrets.CANDIDATE, 0)}),
+cut AS (SELECT DISTINCT r.doc_id, r.s, r.word, r.n FROM whole r JOIN base b ON b.doc_id = r.doc_id AND b.s < r.s + r.n AND b.s + b.n > r.s),
+letter AS (SELECT doc_id, s, n, i, substr(word, i, 1) AS c FROM (SELECT *, unnest(range(1, (n + 1)::BIGINT)) AS i FROM cut)),
+hid AS (SELECT DISTINCT l.doc_id, l.s, l.i FROM letter l JOIN base b ON b.doc_id = l.doc_id AND l.s + l.i - 1 >= b.s AND l.s + l.i - 1 < b.s + b.n),
+masked AS (SELECT l.doc_id, l.s, string_agg(CASE WHEN h.i IS NULL THEN c ELSE ' ' END, '' ORDER BY l.i) AS t
+ FROM letter l LEFT JOIN hid h ON h.doc_id = l.doc_id AND h.s = l.s AND h.i = l.i GROUP BY l.doc_id, l.s),
+piece AS (SELECT doc_id, s0 + (list_sum(list_transform(list_slice(g, 1, i), lambda x: length(x)))
+   + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0))::BIGINT AS s, m[i] AS word, length(m[i]) AS n
+ FROM (SELECT doc_id, s0, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, s AS s0,
+  regexp_extract_all(t, {_quoted(secrets.CANDIDATE)}, 0) AS m, string_split_regex(t, {_quoted(secrets.CANDIDATE)}) AS g FROM masked))),
+run AS (SELECT doc_id, s, word, n FROM (SELECT doc_id, s, word, n FROM piece UNION ALL
+  SELECT r.doc_id, r.s, r.word, r.n FROM whole r WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.doc_id = r.doc_id AND c.s = r.s)) WHERE NOT ({allowed})),
 win AS (SELECT doc_id, s, word, n, i, substr(word, i, {secrets.WINDOW}) AS x
  FROM (SELECT *, unnest(range(1, (n - {secrets.WINDOW} + 2)::BIGINT)) AS i FROM run)),
 chars AS (SELECT doc_id, s, word, n, i, c, count(*) AS k FROM (SELECT *, unnest(string_split(x, '')) AS c FROM win) GROUP BY ALL),
@@ -166,7 +176,8 @@ hurt AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS k, turn, CASE WHEN fate
   CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, fate FROM src),
 twice AS (SELECT k, turn, role, text, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM hurt WHERE fate <> 0),
 num AS (SELECT k, turn, role, text, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i,
-  right(regexp_replace(text, '[ 	-]+$', ''), 1) AS tail FROM twice),
+  right(regexp_replace(text, '[ 	-
+]+$', ''), 1) AS tail FROM twice),
 seen AS (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY i) AS nth, left(role, 1) AS r1 FROM num),
 f AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated'
   ELSE '' END AS fault, lead(r1) OVER (PARTITION BY k ORDER BY i) AS r2 FROM seen),

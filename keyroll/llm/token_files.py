@@ -40,6 +40,8 @@ from keyroll.session import scratch_path
 MAGIC = b"KRTOK1"
 MASK = 0xA282EAD8
 CACHE_WORDS = 1_000_000
+# Capitals, accents, marks on words, white space of every kind, digits, other scripts.
+PROBE = " ab,  Cd\n\tEF. don't Été (ÀÉÎ) x-y z... \"Quoted\" A1b2 ab\x0bAB\x0cab #tag e.g. 日本 ЯЮ ß İ a\u0301b "
 MANIFEST = "part int, path string, index_path string, n_records bigint, n_tokens bigint, n_bytes bigint"
 ROWS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 HEAD, CHECK, PAYLOAD, ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?q"), struct.Struct("<qq")
@@ -139,9 +141,9 @@ def load_encoder(path: str) -> tuple[Callable[[str], bytes], int]:
 
         tokenizer = Tokenizer.from_file(path)
         words = WordIds(tokenizer, 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4)
-        whole = tokenizer.encode(" ab,  cd\n\tef. ", add_special_tokens=False).ids
-        parts = [i for w in ("ab", ",", "cd", "ef", ".") for i in tokenizer.encode(w, add_special_tokens=False).ids]
-        _ENCODERS[path] = (words.ids if whole == parts else lambda text: words.one(text.encode()), words.kind.itemsize)
+        # Encoding by words has to give what encoding the whole gives.
+        whole = words.one(PROBE.encode())
+        _ENCODERS[path] = (words.ids if words.ids(PROBE) == whole else lambda text: words.one(text.encode()), words.kind.itemsize)
     return _ENCODERS[path]
 
 

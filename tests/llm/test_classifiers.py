@@ -29,6 +29,36 @@ def test_ftrl_learns_and_shrinks():
     assert w[3] > 1 and w[4] < -1 and abs(w[5]) < 0.5 and np.count_nonzero(w) <= 4
 
 
+def test_training_equals_a_plain_replay():
+    """Follow-the-regularised-leader update by update, one number at a time."""
+    import math
+    rng = random.Random(5)
+    rows = [(prose(rng, rng.randint(3, 30)) + rng.choice((" |", "")), rng.randint(0, 1)) for _ in range(60)]
+    model, z, n = quality.Ftrl(), {}, {}
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        if abs(zi) <= quality.L1:
+            return 0.0
+        return (math.copysign(quality.L1, zi) - zi) / ((quality.BETA + math.sqrt(ni)) / quality.ALPHA + quality.L2)
+
+    for text, label in rows:
+        index, value = quality.features(text)
+        model.update(index, value, label)
+        x = {quality._SIZE: 1.0}
+        for i, v in zip(index.tolist(), value.tolist()):
+            x[i] = x.get(i, 0.0) + v
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[i] * v for i, v in x.items())))))
+        for i, v in x.items():
+            g = (p - label) * v
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    got = model.weights(slice(None))
+    assert len(z) > 300 and all(abs(got[i] - weight(i)) < 1e-9 for i in z)
+    assert np.count_nonzero(got) == sum(weight(i) != 0 for i in z)
+
+
 def test_quality_held_out(docs):
     rng = random.Random(2)
     rows = []
@@ -80,6 +110,14 @@ def test_ngram_counts_do_not_depend_on_chunks(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
 
 
+def test_what_is_no_letter(docs):
+    """Superscripts, fractions, roman numerals, marks without a letter and symbols are no text."""
+    profiles = [("en", langid.ranked(*langid.ngrams("word")))]
+    rows = list(enumerate(["\u00b2 \u00bd", "\u2167 \u2460", "\u0301\u0301", "\u20ac \u221e _ 12", "\u00b2a", "e\u0301t\u00e9", "\u65e5\u672c"]))
+    got = {r[0]: r[1] for r in langid.predict(docs(rows), profiles).collect()}
+    assert [got[i] for i in range(7)] == ["und"] * 4 + ["en"] * 3
+
+
 def test_language_edges(docs):
     profiles = langid.learn(docs([(1, "the cat", None)]))
     assert profiles == []

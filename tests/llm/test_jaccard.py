@@ -75,11 +75,20 @@ def test_null_and_repeated_ids(docs):
     assert run(docs(rows)) == brute(rows)
 
 
+def test_keep_one_goes_by_id_and_text(docs):
+    """A row is dropped for its own text, not for another row of its id; a copy without
+    id goes where a document with one has its text."""
+    rng = random.Random(6)
+    a, own = prose(rng, 80), prose(rng, 80)
+    kept = jj.keep_one(docs([(1, a), (5, a), (5, own), (None, a), (None, "alone without an id here")])).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == sorted([(1, a), (5, own), (-1, "alone without an id here")])
+
+
 def test_keep_one_and_empty_table(docs):
     rng = random.Random(4)
     a = prose(rng, 100)
     frame = docs([(2, a), (1, a + " more"), (9, "short"), (8, ""), (7, None), (None, a)])
     kept = jj.keep_one(frame)
     assert kept.columns == frame.columns
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 7, 8, 9]
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [1, 7, 8, 9]
     assert jj.components_of(docs([])).count() == 0 and jj.keep_one(docs([])).count() == 0

@@ -3,6 +3,7 @@ import random
 import corpus_pipeline as cp
 from keyroll.llm import decontaminate, mixing, rules
 from tests.llm.conftest import prose
+from tests.llm.test_jaccard import brute as brute_components
 from tests.llm.test_jaccard import edited
 from tests.llm.test_mixing import brute as brute_mix
 from tests.llm.test_token_files import expected
@@ -30,8 +31,12 @@ def test_stages_against_brute_force(spark, docs, table):
         seen.append({r["doc_id"] for r in frame.collect()})
     ids = set(range(60))
     assert seen[0] == ids | set(range(100, 105)) | {110, 300, 301}
-    assert seen[1] == ids | {300, 301} and seen[2] == ids
-    plain = [(i, f"d{int(s[3:]) % 3}", l, s, len(t.split())) for i, t, l, s in rows[:60]]
+    # One document of every component of what the rules left.
+    left = brute_components([(i, t) for i, t, *_ in rows if i in seen[0]])
+    assert seen[1] == {i for i, _, component in left if i == component} and seen[1] >= ids | {300, 301}
+    assert 110 not in seen[1] and len(seen[1]) < len(seen[0]) - 1
+    assert seen[2] == seen[1] - {300, 301}
+    plain = [(i, f"d{int(s[3:]) % 3}", lang, s, len(t.split())) for i, t, lang, s in rows[:65] if i in seen[2]]
     want = brute_mix(plain, cp.WEIGHTS, (9, 10), 1)
     assert seen[3] == {i for i, _, _ in want} and 30 < len(seen[3]) < 60
 

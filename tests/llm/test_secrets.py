@@ -24,8 +24,11 @@ def base(text):
 
 
 def entropy_spans(text, fixed):
-    for m in re.finditer(secrets.CANDIDATE, text or ""):
-        if any(s < m.end() and e > m.start() for s, _, e in fixed) or any(re.search(p, m[0]) for p in secrets.ALLOWED):
+    masked = list(text or "")
+    for start, _, end in fixed:
+        masked[start:end] = " " * (end - start)
+    for m in re.finditer(secrets.CANDIDATE, "".join(masked)):
+        if any(re.search(p, m[0]) for p in secrets.ALLOWED):
             continue
         bits = next(b for p, _, b in secrets.CLASSES if re.search(p, m[0]))
         best = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(m[0][i:i + 20]).values()) for i in range(len(m[0]) - 19))
@@ -45,7 +48,9 @@ def sample():
         "é😀 secret : zzzzzzzz and PASSWD='qwerty1'", "AKIA" + "A" * 16, "AKIA" + "B" * 15, "xAKIAAKIA" + "C1" * 8,
         "0123456789abcdef01234567", "0123456789abcdef0123456", "DEADBEEF" * 4, key, f"{key}!{key}", f"a {key[:19]} b",
         "internationalization-and-localization", "123e4567-e89b-12d3-a456-426614174000", "2024-01-01T00:00:00Z",
-        "aaaaaaaaaaaaaaaaaaaa1", "token=" + "ab" * 200, f"password={key} {key}", "ſecret=abcdefgh toKen=abcdefgh",
+        "aaaaaaaaaaaaaaaaaaaa1", "token=" + "ab" * 200, f"password={key} {key}",
+        f"AKIA{'Q7' * 8}/{key}", f"{key}/AKIA{'Q7' * 8}={key}", f"{key[:21]}AKIA{'Q7' * 8}", "qWeRtYuIoPaSdFgHjKlZxCvBnM",
+        "parseHTMLDocumentFromString/andOtherCamelCaseWords", "THE_QUICK_BROWN_FOX-jumps/Over", "aBcD/eFgHiJkL/mNoPqRsTuVwXyZ", "ſecret=abcdefgh toKen=abcdefgh",
         " ".join(f"token={i:06d}" for i in range(700)), ("word " * 3000) + key + (" word" * 3000), key * 60]
     for _ in range(40):
         texts.append("".join(rng.choice(["token", "=", ":", " ", '"', "abc", "AKIA", "9f" * 6, "Z1" * 5, key[:12], "é", "\n"])
