@@ -14,9 +14,12 @@ other under any fixed order of the tokens (here: rare before frequent).
    other with all their tokens: lonely ones first, as above, then the shared ones
    counted exactly, rarest first; the prefix is their beginning, a shorter one
    against sets that are not smaller.
-3. Groups: classes are put next to a leader found by minimum hash and join its
-   group if the exact similarity holds. Members are linked through the leader,
-   so no pair inside a group is ever formed.
+3. Groups: classes are put next to a leader found by minimum hash and are linked to it
+   if the exact similarity holds. Linked classes, and those that reach ``LOOSE`` per
+   cent with a leader, form a group; what is linked already needs no pair inside it.
+   The rest of a group's classes are held against each other by blocks: a task
+   takes two blocks, passes over pairs by bitmaps, and gives back the links that join
+   parts that were not yet joined, so never more than it has classes.
 4. The token-group matrix: (token, group) rows, the union of the members'
    tokens. A class queries the groups its prefix meets; a group qualifies if the
    class's overlap with its union reaches ``ceil(t n)``; only qualifying groups
@@ -33,6 +36,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -48,6 +52,10 @@ PERCENT = 80
 PROBE = 0.27
 # Rounds of grouping, each with another minimum hash.
 ROUNDS = 3
+# Similarity per cent with a leader from which a class belongs to its group.
+LOOSE = 50
+# Classes and tokens of a block of a group, and bits of a bitmap per token.
+BLOCK_CLASSES, BLOCK_TOKENS, SPREAD = 2048, 1 << 20, 8
 
 _LIMIT = np.uint64(int(PROBE * 2 ** 64))
 _SEEDS = [np.uint64(0xD1B54A32D192ED03 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF) for i in range(ROUNDS)]
@@ -198,10 +206,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def _group_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links member - leader. In each round the classes without a leader meet
-    the class of their bucket (equal minimum hash) with the fewest own tokens."""
-    keyed = store(nodes.select("fp", "n", "alone").join(sets.select("fp", "keys"), "fp"), "keyed")
+def _leader_links(keyed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links member - leader of the classes of ``keyed`` (fp, n, alone, keys). In each round
+    those without a leader meet the class of their bucket (equal minimum hash) with
+    the fewest own tokens."""
     links = None
     for r in range(ROUNDS):
         bucket = keyed.select("fp", "n", "alone", F.get("keys", F.lit(r)).alias("key"))
@@ -215,6 +223,85 @@ def _group_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return links
 
 
+def _groups(nodes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links to leaders, the part (node, label) that they join, and the groups (node,
+    label) of parts whose first classes are loosely similar to a leader."""
+    keyed = store(nodes.select("fp", "n", "alone").join(sets.select("fp", "keys"), "fp"), "keyed")
+    near = store(_leader_links(keyed, sets, percent), "near-links")
+    parts = components(near)
+    firsts = keyed.join(parts.filter("node <> label").select(F.col("node").alias("fp")), "fp", "left_anti")
+    loose = store(_leader_links(store(firsts, "firsts"), sets, min(LOOSE, percent)), "loose-links")
+    return near, parts, components(near.unionByName(loose))
+
+
+def _spread(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Parity bitmap of ``size`` bits."""
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def block_links(left: list[tuple], right: list[tuple] | None, percent: int) -> list[tuple]:
+    """Links between the classes (fp, part, tokens) of two blocks, or of one, such that
+    every two similar classes are joined by parts and links; at most one per join."""
+    every = left + (right or [])
+    if len(every) < 2:
+        return []
+    sizes = np.array([len(t) for _, _, t in every])
+    size = max(64, 1 << int(SPREAD * sizes.max() - 1).bit_length())
+    bits = np.array([_spread(t, size) for _, _, t in every])
+    parent = {p: p for _, p, _ in every}
+
+    def root(p):
+        while parent[p] != p:
+            parent[p] = p = parent[parent[p]]
+        return p
+
+    out = []
+    begin = len(left) if right is not None else 0
+    for x in range(len(left) if right is not None else len(every)):
+        fp, part, tokens = every[x]
+        ys = np.arange(max(begin, x + 1) if right is None else begin, len(every))
+        ys = ys[100 * np.minimum(sizes[ys], sizes[x]) >= percent * np.maximum(sizes[ys], sizes[x])]
+        if not len(ys):
+            continue
+        apart = np.bitwise_count(bits[ys] ^ bits[x]).sum(axis=1, dtype=np.int64)
+        for y in ys[(100 + percent) * apart <= (100 - percent) * (sizes[ys] + sizes[x])].tolist():
+            if root(part) == root(every[y][1]):
+                continue
+            shared = len(np.intersect1d(tokens, every[y][2], assume_unique=True))
+            if 100 * shared >= percent * (len(tokens) + len(every[y][2]) - shared):
+                parent[root(part)] = root(every[y][1])
+                out.append((fp, every[y][0]))
+    return out
+
+
+def _inner_links(sets: DataFrame, parts: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Links between the parts of a group, block by block."""
+    placed = groups.select("node", F.col("label").alias("g")).join(parts.select("node", F.col("label").alias("part")), "node", "left")
+    placed = store(placed.withColumn("part", F.coalesce("part", "node")), "group-parts")
+    members = placed.join(sets.select(F.col("fp").alias("node"), "n"), "node")
+    split = members.groupBy("g").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    split = split.filter("p <> q").select("g", F.greatest(
+        F.ceil(F.col("size") / BLOCK_CLASSES), F.ceil(F.col("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    rows = placed.join(sized(store(split, "split-groups")), "g").join(sets.select(F.col("fp").alias("node"), "tokens"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "part", "tokens")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [(bytes(f), bytes(p), np.asarray(t, dtype=np.int64).view(np.uint64))
+               for f, p, t in zip(pdf["node"], pdf["part"], pdf["tokens"], strict=True)]
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        if i == j:
+            links = block_links(own, None, percent)
+        else:
+            here = (pdf["block"] == i).tolist()
+            links = block_links([r for r, h in zip(own, here, strict=True) if h], [r for r, h in zip(own, here, strict=True) if not h], percent)
+        return pd.DataFrame({"a": pd.Series([a for a, _ in links], dtype="object"), "b": pd.Series([b for _, b in links], dtype="object")})
+
+    return store(rows.groupBy("g", "i", "j").applyInPandas(compare, "a binary, b binary"), "inner-links")
+
+
 def _matrix_links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between classes of different groups, by the token-group matrix. Of
     two classes the one that is not smaller asks."""
@@ -269,8 +356,8 @@ def labelled(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percen
     probes = _probes(docs, text, doc_id, percent)
     sets = _sets(docs, _survivors(probes, percent), text, doc_id, percent)
     nodes = _prefixes(sets, percent)
-    near = _group_links(nodes, sets, percent)
-    links = near.unionByName(_matrix_links(nodes, components(near), sets, percent))
+    near, parts, groups = _groups(nodes, sets, percent)
+    links = near.unionByName(_inner_links(sets, parts, groups, percent)).unionByName(_matrix_links(nodes, groups, sets, percent))
     labels = components(links)
     first = probes.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     linked = labels.join(first, labels.node == first.fp).select("node", "label", "first_id")

@@ -92,3 +92,85 @@ def test_keep_one_and_empty_table(docs):
     assert kept.columns == frame.columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [1, 7, 8, 9]
     assert jj.components_of(docs([])).count() == 0 and jj.keep_one(docs([])).count() == 0
+
+
+def family(seed, n, length=200, changes=3):
+    """Edits of one text that is not among them: all pairs are just below the similarity."""
+    rng = random.Random(seed)
+    base = prose(rng, length).split()
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for at in rng.sample(range(length), changes):
+            own[at] = f"changed{i}x{at}" if rng.random() < 0.9 else "changed"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def pairs_made(monkeypatch, docs, rows):
+    """Pairs that are held against each other one by one, beside the result."""
+    made = []
+    verified = jj._verified
+
+    def counting(pairs, sets, percent):
+        pairs = jj.store(pairs, "counted")
+        made.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(jj, "_verified", counting)
+    got = run(docs(rows))
+    monkeypatch.setattr(jj, "_verified", verified)
+    return sum(made), got
+
+
+def test_families_below_the_similarity(docs, monkeypatch):
+    """Pairs grow with the rows, not with their square; the links that there are stay."""
+    small, large = family(1, 150), family(1, 300)
+    few, got = pairs_made(monkeypatch, docs, small)
+    assert got == brute(small)
+    many, got = pairs_made(monkeypatch, docs, large)
+    assert got == brute(large)
+    assert many <= 2.2 * few + 20 and many <= 8 * len(large)
+
+
+def test_groups_of_several_blocks(docs, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK_CLASSES", 16)
+    rows = family(2, 60, length=60, changes=2) + [(100 + i, t) for i, t in family(3, 40, length=80, changes=4)]
+    assert run(docs(rows)) == brute(rows)
+
+
+def test_block_links_join_what_is_similar():
+    """Against all pairs: the same joined parts, and no link that joins nothing."""
+    import numpy as np
+    rng = random.Random(4)
+    for _ in range(30):
+        base = rng.sample(range(1, 1 << 40), rng.randint(5, 60))
+        classes = []
+        for i in range(rng.randint(1, 14)):
+            own = sorted({*rng.sample(base, max(1, len(base) - rng.randint(0, 9))), *(rng.randrange(1 << 40) for _ in range(rng.randint(0, 5)))})
+            classes.append((bytes([i]), bytes([rng.randint(0, i)]), np.array(own, dtype=np.uint64)))
+
+        def joined(links):
+            label = {p: p for _, p, _ in classes}
+
+            def find(p):
+                while label[p] != p:
+                    p = label[p]
+                return p
+            part = {f: p for f, p, _ in classes}
+            for a, b in links:
+                x, y = find(part[a]), find(part[b])
+                label[max(x, y)] = min(x, y)
+            return {p: find(p) for p in label}
+
+        def similar(pairs):
+            for (a, _, s), (b, _, t) in pairs:
+                shared = len(set(s.tolist()) & set(t.tolist()))
+                if 100 * shared >= 80 * (len(s) + len(t) - shared):
+                    yield a, b
+
+        half = len(classes) // 2
+        whole = [(x, y) for k, x in enumerate(classes) for y in classes[k + 1:]]
+        cross = [(x, y) for x in classes[:half] for y in classes[half:]]
+        for links, pairs in ((jj.block_links(classes, None, 80), whole), (jj.block_links(classes[:half], classes[half:], 80), cross)):
+            assert joined(links) == joined(similar(pairs)) and len(links) < len({p for _, p, _ in classes}) + 1
