@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,9 @@ MATCH = "array<struct<item_id:{0},cosine:double,lcs:bigint,item_words:bigint,ans
 def hashed(text: str | None) -> np.ndarray:
     """64-bit hashes of the words of a text in order, without their case and outer
     punctuation; words of punctuation only are left out."""
-    words = [w.strip(_MARKS) for w in (text or "").lower().encode().split()]
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    words = (text or "").lower().encode().split()
+    stripped = map(bytes.strip, words, repeat(_MARKS))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, stripped), dtype=np.uint64, count=len(words))
     return h[h != _NO_WORD]
 
 
@@ -186,6 +188,7 @@ class Searcher:
 
     def __init__(self, items: list[tuple], idf: np.ndarray, basis: np.ndarray):
         self.items = [(key, hashed(t), answer_words(t, idf)) for key, t in items]
+        self.lists = [words.tolist() for _, words, _ in self.items]
         owned = [(k, p) for k, (_, words, _) in enumerate(self.items) for p in passages(words)]
         self.owner = np.array([k for k, _ in owned], dtype=np.int64)
         rows = [vector(p, idf) for _, p in owned]
@@ -285,9 +288,15 @@ class Searcher:
             best = None
             for low, high, cosine in found:
                 near = words[low:high]
+                there = set(near.tolist())
+                # No longer than the item's words that occur at all.
+                if sum(w in there for w in self.lists[item]) < PARAPHRASE * len(own):
+                    continue
                 shared = common(own, near)
+                if shared < PARAPHRASE * len(own):
+                    continue
                 told = float(np.isin(answer, near).mean()) if len(answer) else 1.0
-                if shared >= COPY * len(own) or (shared >= PARAPHRASE * len(own) and told >= ANSWER):
+                if shared >= COPY * len(own) or told >= ANSWER:
                     row = {"item_id": key, "cosine": cosine, "lcs": shared, "item_words": len(own), "answer": told, "start": low}
                     if best is None or shared > best["lcs"]:
                         best = row
