@@ -164,6 +164,11 @@ def run_detail_pk(run_hash: Column) -> Column:
     return F.concat(F.lit("LOG#KEY#"), run_hash, F.lit("#OVERALL_PLAYER_DAMAGE"))
 
 
+def run_healing_pk(run_hash: Column) -> Column:
+    """O2: key of the per-run healing document."""
+    return F.concat(F.lit("LOG#KEY#"), run_hash, F.lit("#OVERALL_PLAYER_HEALING"))
+
+
 def dedup_pk(run_hash: Column) -> Column:
     """Key of a ledger entry."""
     return F.concat(F.lit("DEDUP#"), run_hash)

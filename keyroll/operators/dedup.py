@@ -71,14 +71,16 @@ def known_hashes(batch_runs: DataFrame, ledger: DataFrame) -> DataFrame:
     return ledger.select("run_hash").join(hashes, "run_hash", "left_semi")
 
 
-def drop_known(batch_runs: DataFrame, ledger: DataFrame | None) -> DataFrame:
-    """Runs whose hash is already in the ledger are skipped."""
+def drop_known(batch_runs: DataFrame, ledger) -> DataFrame:
+    """Runs whose hash is already in the ledger (a table, or an
+    :class:`keyroll.operators.ledger.Ledger`) are skipped."""
     if ledger is None:
         return batch_runs
-    return batch_runs.join(known_hashes(batch_runs, ledger).distinct(), "run_hash", "left_anti")
+    known = known_hashes(batch_runs, ledger) if isinstance(ledger, DataFrame) else ledger.known(batch_runs)
+    return batch_runs.join(known.distinct(), "run_hash", "left_anti")
 
 
-def decide(runs: DataFrame, ledger: DataFrame | None) -> DataFrame:
+def decide(runs: DataFrame, ledger) -> DataFrame:
     """D2 + D3: add ``duplicate`` (bool) to every hashed run of the batch."""
     fresh = first_of_batch(drop_known(runs, ledger)).select("run_id", F.lit(False).alias("duplicate"))
     return runs.join(fresh, "run_id", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(True)))

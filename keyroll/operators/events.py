@@ -32,7 +32,7 @@ OPTIONAL_EVENTS = (ENCOUNTER_START, ENCOUNTER_END, *HEAL_EVENTS)
 # Token counts (arity) and token positions, 0-based.
 VERSION_ARITY, END_ARITY, SUMMON_ARITY, ENCOUNTER_ARITY = 8, 5, 12, 6
 SPELL_DAMAGE_ARITY, SWING_DAMAGE_ARITY = 39, 36
-SPELL_AMOUNT_AT, SWING_AMOUNT_AT = 29, 26
+SPELL_AMOUNT_AT, SWING_AMOUNT_AT, HEAL_ABSORBED_AT = 29, 26, 30
 # --------------------------------------------------------------------------
 
 
@@ -167,11 +167,18 @@ def damage_fields(d: DataFrame, owner: str = "owner") -> DataFrame:
 
 
 def heal_fields(d: DataFrame) -> DataFrame:
-    """O2: heal events — spell id 9, amount 28, overhealing 29, absorbed 30."""
-    return d.select("*", tok(1).alias("caster_id"), T.trim_one_quote(tok(2)).alias("caster_name"),
-                    T.trim_one_quote(tok(3)).alias("caster_type"), T.parse_int64(tok(9)).alias("spell_id"),
-                    T.trim_one_quote(tok(10)).alias("spell_name"), T.parse_int64(tok(28)).alias("heal"),
-                    T.parse_int64(tok(29)).alias("overheal"), T.parse_int64(tok(30)).alias("absorbed"))
+    """O2: heal events — spell id 9, amount 28, overhealing 29, absorbed 30. ``keep``: a
+    player's heal; ``error``: a line that is too short, or a player's without numbers."""
+    d = d.select("*", tok(1).alias("caster_id"), T.trim_one_quote(tok(2)).alias("caster_name"),
+                 T.trim_one_quote(tok(3)).alias("caster_type"), T.parse_int64(tok(9)).alias("spell_id"),
+                 T.trim_one_quote(tok(10)).alias("spell_name"), T.parse_int64(tok(28)).alias("heal"),
+                 T.parse_int64(tok(29)).alias("overheal"), T.parse_int64(tok(30)).alias("absorbed"))
+    player = S.is_player_flag(F.col("caster_type"))
+    numbers = [F.col(c).isNull() for c in ("spell_id", "heal", "overheal", "absorbed")]
+    bad = _first_error((F.size("p") <= HEAL_ABSORBED_AT, "arity"), (~player, None),
+                       (numbers[0] | numbers[1] | numbers[2] | numbers[3], "bad_int"))
+    d = d.withColumn("error", F.coalesce(F.col("error"), bad))
+    return d.withColumn("keep", F.col("error").isNull() & player)
 
 
 def encounter_fields(d: DataFrame) -> DataFrame:

@@ -111,6 +111,18 @@ def breakdown_docs(damage: DataFrame, meta: DataFrame, join_mode: str = "inner",
     return j.select(key.alias("pk"), key.alias("sk"), "player_damage", *_doc_meta(j, corrected))
 
 
+def healing_docs(heals: DataFrame, meta: DataFrame, corrected: bool = False) -> DataFrame:
+    """O2: the healing document of every run, built as the damage one: players by healing,
+    tie by name, each with the spells."""
+    docs = breakdown_docs(heals.withColumnRenamed("heal", "damage"), meta, corrected=corrected)
+    spell = lambda s: F.struct(s["spell_id"].alias("spell_id"), s["spell_name"].alias("spell_name"), s["damage"].alias("healing"))
+    player = F.transform("player_damage", lambda p: F.struct(
+        p["damage"].alias("healing"), F.transform(p["damage_per_spell"], spell).alias("healing_per_spell"),
+        p["player_name"].alias("player_name"), p["player_id"].alias("player_id"), p["class"].alias("class"), p["specc"].alias("specc")))
+    key = S.run_healing_pk(F.col("combatlog_hash"))
+    return docs.withColumn("player_healing", player).drop("player_damage").withColumns({"pk": key, "sk": key})
+
+
 def merge_spells_by_name(docs_rows: DataFrame) -> DataFrame:
     """Merge a player's spells that share a name, keeping the smallest id."""
     return (docs_rows.groupBy("run_hash", "caster_name", "spell_name")

@@ -35,7 +35,8 @@ class Ingested:
 
     def __init__(self, runs: DataFrame, in_run: DataFrame, meta: DataFrame, hits: DataFrame,
                  line_rejects: DataFrame, fingerprints: DataFrame, mode: str, ledger: DataFrame | None,
-                 materialize: bool, refused: DataFrame | None = None) -> None:
+                 materialize: bool, refused: DataFrame | None = None, heals: DataFrame | None = None,
+                 encounters: DataFrame | None = None) -> None:
         self.runs = runs              # every run: upload_id, run_id, start_pos, end_pos, closed
         self.in_run = in_run          # tokenised lines inside a run (+ run_id, start_pos)
         self._meta = meta
@@ -46,6 +47,8 @@ class Ingested:
         self._ledger = ledger
         self._materialize = materialize
         self._refused = refused
+        self._heals = heals
+        self.encounters = None if encounters is None else encounters.filter(F.col("error").isNull())
 
     @cached_property
     def fingerprints(self) -> DataFrame:
@@ -84,6 +87,18 @@ class Ingested:
                         "spell_name", "damage")
                 .join(self._tags, "run_id", "inner"))
 
+    @property
+    def all_heals(self) -> DataFrame:
+        """O2: the heals of players in every run, hashed or not."""
+        return self._heals.filter(F.col("keep")).select(
+            "upload_id", "run_id", "pos", "caster_id", "caster_name", "caster_type", "spell_id", "spell_name",
+            "heal", "overheal", "absorbed")
+
+    @property
+    def heals(self) -> DataFrame:
+        """O2: the heals of players in every hashed run (+ run_hash, duplicate)."""
+        return self.all_heals.join(self._tags, "run_id", "inner")
+
     @property
     def rejects(self) -> DataFrame:
         """upload_id, pos, event, reason, path, line — rejected lines with their text,
@@ -191,9 +206,16 @@ def ingest(lines: DataFrame, log_year: int | None = None, parity: bool = False,
                                                             F.lit(None).cast("string").alias("path"),
                                                             E.line_text().alias("line"))
 
+    heals = E.heal_fields(in_run.filter(F.col("event").isin(*E.HEAL_EVENTS)))
+    encounters = E.encounter_fields(in_run.filter(F.col("event").isin(E.ENCOUNTER_START, E.ENCOUNTER_END)))
     rejects = (bad_lines.unionByName(errors(starts)).unionByName(errors(ends)).unionByName(errors(versions))
                .unionByName(errors(summons)).unionByName(errors(hits)))
+    # Only where they are read: other plans stay as small as they are.
+    if set(events) & set(E.HEAL_EVENTS):
+        rejects = rejects.unionByName(errors(heals))
+    if set(events) & {E.ENCOUNTER_START, E.ENCOUNTER_END}:
+        rejects = rejects.unionByName(errors(encounters))
     if mode not in ("quarantine", "failfast"):
         raise ValueError("mode must be 'quarantine' or 'failfast'")
     return Ingested(runs=runs, in_run=in_run, meta=meta, hits=hits, line_rejects=rejects, fingerprints=fp,
-                    mode=mode, ledger=ledger, materialize=materialize, refused=refused)
+                    mode=mode, ledger=ledger, materialize=materialize, refused=refused, heals=heals, encounters=encounters)

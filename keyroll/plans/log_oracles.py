@@ -196,6 +196,7 @@ ORACLES = {
     "d1_duplicate_groups": D1,
     "d3_kept_runs": D3,
     "d2_ledger_skips": D2,
+    "d4_compacted_ledger": D2,
     "d6_ledger_delete": D6,
     "d5_hash_lists": D5,
     "e2e_keys_result": E2E,
@@ -294,3 +295,29 @@ SELECT * EXCLUDE (c) FROM (
   FROM pd JOIN kept k USING (upload_id, start_event))"""
 
 ORACLES["e2e_keys_result_fanout"] = E2E_FANOUT
+
+O2_DOCS = f"""WITH {_base(False)},
+k AS (SELECT m.* FROM meta m JOIN hashed h USING (upload_id, start_event) WHERE finished IS NOT NULL AND duration IS NOT NULL
+      AND ten_affix_id IS NOT NULL AND date IS NOT NULL),
+sp AS (SELECT upload_id, start_event, 'Player-' || CAST(e % 5 AS VARCHAR) AS player_id, 'name' || CAST(e % 5 AS VARCHAR) || '-Realm' AS player_name,
+   CAST(2000 + e % 7 AS BIGINT) AS spell_id, CAST(sum(amount) AS BIGINT) AS spell_healing
+ FROM la WHERE event = 'SPELL_HEAL' AND e % 1000 <> 999 GROUP BY upload_id, start_event, e % 5, e % 7),
+pl AS (SELECT upload_id, start_event, player_id, player_name, CAST(sum(spell_healing) AS BIGINT) AS player_total FROM sp GROUP BY ALL)
+SELECT k.start_event, CAST(k.key_level AS INTEGER) AS keylevel, CAST(k.dungeon_id AS INTEGER) AS dungeon_id,
+  CAST(dense_rank() OVER (PARTITION BY k.upload_id, k.start_event ORDER BY pl.player_total DESC, pl.player_name) - 1 AS INTEGER) AS player_pos,
+  pl.player_id, pl.player_total,
+  CAST(row_number() OVER (PARTITION BY k.upload_id, k.start_event, pl.player_id ORDER BY sp.spell_healing DESC, sp.spell_id) - 1 AS INTEGER) AS spell_pos,
+  sp.spell_id, sp.spell_healing
+FROM k JOIN pl USING (upload_id, start_event) JOIN sp USING (upload_id, start_event, player_id)"""
+
+P13_ALL = f"""WITH {_base(False)},
+rej AS (
+ SELECT upload_id, event, 'bad_int' AS reason, 1 AS line FROM dmg
+   WHERE kind = 'HIT' AND NOT friendly AND own_flag IN ('0x511', '0x512') AND bad_amount
+ UNION ALL SELECT upload_id, event, 'bad_int', 1 FROM pet WHERE se IS NOT NULL AND NOT friendly AND bad_amount
+ UNION ALL SELECT upload_id, event, 'bad_int', 1 FROM la WHERE event = 'SPELL_HEAL' AND e % 1000 = 999
+ UNION ALL SELECT upload_id, 'CHALLENGE_MODE_START', 'no_hash', 0 FROM runs r
+   WHERE NOT EXISTS (SELECT 1 FROM hashed h WHERE h.upload_id = r.upload_id AND h.start_event = r.start_event))
+SELECT upload_id, event, reason, CAST(count(*) AS BIGINT) AS n, CAST(sum(line) AS BIGINT) AS lines FROM rej GROUP BY upload_id, event, reason"""
+
+ORACLES.update({"o2_healing_docs": O2_DOCS, "p13_rejects_all_events": P13_ALL})

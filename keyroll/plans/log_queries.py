@@ -119,6 +119,29 @@ def d2_ledger_skips(spark, sf_dir):
     return batches[1].hashes.join(_start_events(batches[1]), "run_id").select("upload_id", "start_event", "duplicate")
 
 
+def d4_compacted_ledger(spark, sf_dir):
+    """D2 + D4: the decisions of ``d2_ledger_skips`` from a ledger that was compacted after its
+    first batches: even uploads whose number is divisible by 4, then the other even
+    ones, a compaction, then all others, by the Bloom filter, the base and the batch behind it."""
+    from keyroll.operators import dedup as D
+    from keyroll.operators.ledger import Ledger
+    from keyroll.session import scratch_path
+    from keyroll.sources import sinks as SK
+    lines = B.log_lines(spark, sf_dir, with_copies=True)
+    number = F.try_to_number(F.col("upload_id"), F.lit("999999999999999999"))
+    early = ~F.col("upload_id").endswith(B.COPY_SUFFIX) & (number % 2 == 0)
+    path, res = scratch_path(spark, "ledger"), None
+    parts = (early & (number % 4 == 0), early & (number % 4 != 0), ~early)
+    for n, part in enumerate(parts):
+        ledger = Ledger(spark, path, skip=("main", n))
+        if n == 2:
+            ledger.compact()
+        res = ingest(lines.filter(part), log_year=LOG_YEAR, ledger=ledger)
+        entries = D.ledger_entries(res.hashes.filter(~F.col("duplicate")), dt.datetime(2024, 2, n + 1), n)
+        SK.write_batch(entries.drop("batch_id"), path, n, lead_partitions=("bucket",))
+    return res.hashes.join(_start_events(res), "run_id").select("upload_id", "start_event", "duplicate")
+
+
 def d6_ledger_delete(spark, sf_dir):
     """D4 + D6: the ledger after both batches, less the runs of the uploads whose
     number is divisible by 5; one row per run it still holds."""
@@ -160,6 +183,7 @@ QUERIES = {
     "d1_duplicate_groups": d1_duplicate_groups,
     "d3_kept_runs": d3_kept_runs,
     "d2_ledger_skips": d2_ledger_skips,
+    "d4_compacted_ledger": d4_compacted_ledger,
     "d6_ledger_delete": d6_ledger_delete,
     "d5_hash_lists": d5_hash_lists,
     "e2e_keys_result": e2e_keys_result,
@@ -343,25 +367,43 @@ def o1_encounters(spark, sf_dir):
     """O1: boss-encounter segments inside runs, with kill flag and length."""
     from keyroll.operators.runs import encounter_segments
     res = _ingest(spark, sf_dir, events=E.READ_EVENTS + (E.ENCOUNTER_START, E.ENCOUNTER_END))
-    enc = E.encounter_fields(res.in_run.filter(F.col("event").isin(E.ENCOUNTER_START, E.ENCOUNTER_END)))
-    enc = enc.filter(F.col("error").isNull()).withColumn("time_ms", T.log_time_millis(F.col("ts_text"), LOG_YEAR))
+    enc = res.encounters.withColumn("time_ms", T.log_time_millis(F.col("ts_text"), LOG_YEAR))
     seg = (encounter_segments(enc).join(_all_start_events(res), "run_id")
            .join(res.runs.select("run_id", "upload_id"), "run_id"))
     return seg.select("upload_id", "start_event", "encounter_id", "encounter_name", "closed", "kill", "duration_ms")
 
 
 def o2_healing(spark, sf_dir):
-    """O2: healing per player and run (heal, overhealing, absorbed)."""
-    from keyroll.functions import scoring as S
+    """O2: healing per player and hashed or unhashed run (heal, overhealing, absorbed)."""
     res = _ingest(spark, sf_dir, events=E.READ_EVENTS + E.HEAL_EVENTS)
-    h = E.heal_fields(res.in_run.filter(F.col("event").isin(*E.HEAL_EVENTS)))
-    h = h.filter(S.is_player_flag(F.col("caster_type")) & F.col("heal").isNotNull())
-    return (h.join(_all_start_events(res), "run_id")
+    return (res.all_heals.join(_all_start_events(res), "run_id")
             .groupBy("upload_id", "start_event", "caster_id", "caster_name")
             .agg(F.sum("heal").cast("bigint").alias("heal"), F.sum("overheal").cast("bigint").alias("overheal"),
                  F.sum("absorbed").cast("bigint").alias("absorbed"), F.count(F.lit(1)).alias("n")))
 
 
+def o2_healing_docs(spark, sf_dir):
+    """O2: the healing documents of the kept runs, one row per player and spell."""
+    from keyroll.operators import gold as G
+    res = _ingest(spark, sf_dir, events=E.READ_EVENTS + E.HEAL_EVENTS)
+    docs = G.healing_docs(res.heals.filter(~F.col("duplicate")), res.kept_meta())
+    ident = res.run_meta.select(F.col("run_hash").alias("combatlog_hash"), F.col("challenge_mode_id").alias("start_event"))
+    p = docs.join(ident, "combatlog_hash").select("start_event", "keylevel", "dungeon_id", F.posexplode("player_healing").alias("player_pos", "p"))
+    s = p.select("start_event", "keylevel", "dungeon_id", "player_pos", "p.player_id", F.col("p.healing").alias("player_total"),
+                 F.posexplode("p.healing_per_spell").alias("spell_pos", "s"))
+    return s.select("start_event", "keylevel", "dungeon_id", "player_pos", "player_id", "player_total", "spell_pos", "s.spell_id",
+                    F.col("s.healing").alias("spell_healing"))
+
+
+def p13_rejects_all_events(spark, sf_dir):
+    """P13 with heal and encounter lines read too: the reason, and the line as it was written."""
+    res = _ingest(spark, sf_dir, events=E.READ_EVENTS + E.OPTIONAL_EVENTS)
+    body = F.regexp_extract("line", "^[^ ]+ [^ ]+  (.*)$", 1)
+    return res.rejects.groupBy("upload_id", "event", "reason").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("line").isNotNull() & (F.substring_index(body, ",", 1) == F.col("event"))).alias("lines"))
+
+
+QUERIES.update({"o2_healing_docs": o2_healing_docs, "p13_rejects_all_events": p13_rejects_all_events})
 QUERIES.update({"o1_encounters": o1_encounters, "o2_healing": o2_healing})
 
 
