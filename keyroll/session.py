@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
@@ -70,10 +73,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCOPES = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder inside the shared checkpoint location."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    if getattr(_SCOPES, "paths", None) is not None:
+        _SCOPES.paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the folders that :func:`scratch_path` names in the block when it ends: for a
+    micro-batch, whose results are written elsewhere by then."""
+    outer, _SCOPES.paths = getattr(_SCOPES, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _SCOPES.paths = _SCOPES.paths, outer
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shared_fs(uri: str) -> tuple[fs.FileSystem, str]:

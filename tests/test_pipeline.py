@@ -140,6 +140,83 @@ def test_stream_batch_replay_is_idempotent(spark, tmp_path):
     assert docs.count() == 1
 
 
+def test_a_batch_leaves_no_scratch_tables(spark, tmp_path):
+    """The tables of a batch stay, what it stored on the way does not."""
+    from keyroll.session import ensure_checkpoint_dir, scratch_path, scratch_scope
+    from keyroll.streaming.uploads import gold_table, process_batch
+    shared = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    lines = spark.createDataFrame([("s3://b/upload/2021/1/24/16/dddd.txt", i, v) for i, v in enumerate(SAMPLE)],
+                                  "path string, pos long, value string")
+    process_batch(spark, lines, 0, str(tmp_path / "out"), log_year=2021)
+    assert set(os.listdir(shared)) == before
+    assert gold_table(spark, str(tmp_path / "out"), "run_meta").count() == 1
+    with scratch_scope(spark):
+        inner = scratch_path(spark, "inner")
+        spark.range(3).write.parquet(inner)
+    kept = scratch_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    assert not os.path.exists(inner.removeprefix("file:")) and spark.read.parquet(kept).count() == 3
+
+
+def test_a_cut_gzip_leaves_its_lines_and_one_reject(spark, tmp_path):
+    """The run that breaks off is stored, but not in the ledger; its whole upload is no duplicate."""
+    from keyroll.streaming.uploads import gold_table, start_upload_streams
+    folder = tmp_path / "landing" / "upload" / "2021" / "1" / "24" / "16"
+    folder.mkdir(parents=True)
+    import random
+    rng = random.Random(3)
+    hits = [SAMPLE[3].replace(",4321,", f",{rng.randrange(10 ** 9)},") for _ in range(400)]
+    text = "\n".join([SAMPLE[0], SAMPLE[1], *hits, SAMPLE[9]]) + "\n"
+    whole = gzip.compress(text.encode())
+    (folder / "cut.txt.gz").write_bytes(whole[:len(whole) * 2 // 3])
+    (folder / "good.txt").write_text("\n".join(SAMPLE) + "\n")
+    out = str(tmp_path / "out")
+
+    def run():
+        start_upload_streams(spark, str(tmp_path / "landing"), out, str(tmp_path / "ckpt"), max_files_per_trigger=10, log_year=2021)
+    run()
+    rejects = [(r.path.rsplit("/", 1)[1], r.reason) for r in gold_table(spark, out, "rejects").collect() if r.path]
+    assert rejects == [("cut.txt.gz", "archive: EOFError")]
+    cut = gold_table(spark, out, "upload_metrics").filter("upload_id = 'cut'").first()
+    assert cut.fault == "archive: EOFError" and 100 < cut.records < 402 and cut.runs == 1 and cut.file_type == "gz"
+    assert gold_table(spark, out, "ledger").count() == 1            # that of good.txt
+    again = folder.parent / "17"
+    again.mkdir()
+    (again / "cut2.txt.gz").write_bytes(whole)
+    run()
+    metrics = {m.upload_id: (m.runs, m.duplicate_runs) for m in gold_table(spark, out, "upload_metrics").collect()}
+    assert metrics == {"good": (1, 0), "cut": (1, 0), "cut2": (1, 0)}
+
+
+def test_late_uploads_and_retention(spark, tmp_path):
+    """Batch by batch: the watermark of the earlier batches, replays, dropped partitions."""
+    import datetime as dt
+
+    from keyroll.streaming import late as L
+    from keyroll.streaming.uploads import gold_table, process_batch
+    out = str(tmp_path / "out")
+
+    def batch(n, *uploads):
+        rows = [(f"s3://b/upload/{when:%Y/%-m/%-d/%-H}/{name}.txt", i, v.replace("4321", str(value)))
+                for name, when, value in uploads for i, v in enumerate(SAMPLE)]
+        process_batch(spark, spark.createDataFrame(rows, "path string, pos long, value string"), n, out, log_year=2021,
+                      late_after=dt.timedelta(hours=1), retain=dt.timedelta(days=2))
+
+    day = dt.datetime(2021, 1, 24, 16)
+    batch(0, ("a", day, 1), ("b", day - dt.timedelta(hours=9), 2))        # the first batch has no watermark
+    for _ in range(2):                                                    # and its replay
+        batch(1, ("c", day - dt.timedelta(hours=1), 3), ("d", day - dt.timedelta(hours=2), 4), ("e", day + dt.timedelta(days=2), 5))
+    late = [r.path.rsplit("/", 1)[1] for r in gold_table(spark, out, "rejects").filter("reason = 'late'").collect()]
+    assert late == ["d.txt"]
+    assert sorted(r.upload_id for r in gold_table(spark, out, "run_meta").collect()) == ["a", "b", "c", "e"]
+    batch(2, ("f", day + dt.timedelta(days=4), 6))                        # drops the 24th: more than two days behind
+    assert sorted(r.upload_id for r in gold_table(spark, out, "run_meta").collect()) == ["e", "f"]
+    assert {str(r.upload_date) for r in gold_table(spark, out, "damage").select("upload_date").distinct().collect()} == {"2021-01-26", "2021-01-28"}
+    assert L.expire(spark, f"{out}/damage", "upload_date", dt.date(2021, 1, 26)) == []
+    assert gold_table(spark, out, "ledger").count() == 5                  # the ledger does not expire
+
+
 def test_fanout_parity(spark):
     """Q11: two version lines inside the run -> two patch facts -> every
     player row (and document entry) twice with fanout=True, once by default."""
