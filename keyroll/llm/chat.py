@@ -24,13 +24,12 @@ def prefixes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """One row per conversation and turn number: the hash of all its turns up to
     that one, and ``last`` (the turn is its last). Equal rows count once; a null
     role or text is a value of its own, a null turn comes before all others."""
-    rows = turns.select(F.col(conv).alias("conv"), F.coalesce(F.col(turn).cast("bigint"), F.lit(-1)).alias("turn"),
-                        F.col(role).alias("role"), F.col(text).alias("text")).distinct()
-    # A hash per row, seeded twice; nulls are told apart from empty strings.
-    parts = ("turn", F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(),
-             F.coalesce("text", F.lit("")))
-    rows = rows.select("conv", "turn", F.xxhash64(F.lit("one"), *parts).alias("h1"),
-                       F.xxhash64(F.lit("two"), *parts).alias("h2"))
+    # A hash per row, seeded twice, before equal rows are merged: no text is shuffled.
+    # Nulls are told apart from empty strings.
+    at = F.coalesce(F.col(turn).cast("bigint"), F.lit(-1))
+    parts = (at, F.col(role).isNull(), F.coalesce(F.col(role), F.lit("")), F.col(text).isNull(), F.coalesce(F.col(text), F.lit("")))
+    rows = turns.select(F.col(conv).alias("conv"), at.alias("turn"), F.xxhash64(F.lit("one"), *parts).alias("h1"),
+                        F.xxhash64(F.lit("two"), *parts).alias("h2")).distinct()
     turns_ = rows.groupBy("conv", "turn").agg(*[F.bit_xor(h).alias(h) for h in HASHES])
     turns_ = store(turns_.withColumn("block", F.floor(F.col("turn") / BLOCK).cast("bigint")), "chat-turns")
     totals = turns_.groupBy("conv", "block").agg(*[F.bit_xor(h).alias(f"t_{h}") for h in HASHES], F.max("turn").alias("m"))
@@ -63,13 +62,13 @@ def render(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     """
     kept = store(maximal(turns, conv=conv, turn=turn, role=role, text=text), "chat-kept")
     rows = turns.select(F.col(conv).alias("conv"), F.coalesce(F.col(turn).cast("bigint"), F.lit(-1)).alias("turn"),
-                        F.col(role).alias("role"), F.col(text).alias("text")).distinct()
+                        F.col(role).alias("role"), F.col(text).alias("text"))
     rows = rows.alias("r").join(kept.alias("k"), F.expr("r.conv <=> k.conv")).select("r.*", "copies")
     block = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"),
                      F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n"))
     rows = rows.select("conv", "copies", F.struct(
         "turn", F.col("role").isNotNull().alias("r"), "role", F.col("text").isNotNull().alias("t"), "text",
         block.alias("block")).alias("s"))
-    out = rows.groupBy("conv", "copies").agg(F.sort_array(F.collect_list("s")).alias("s"))  # the rendered document itself
+    out = rows.groupBy("conv", "copies").agg(F.sort_array(F.collect_set("s")).alias("s"))  # the rendered document itself
     return out.select(F.col("conv").alias("conv_id"), F.size("s").cast("bigint").alias("n_turns"), "copies",
                       F.array_join(F.transform("s", lambda x: x["block"]), "").alias("rendered"))

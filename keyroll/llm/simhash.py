@@ -158,11 +158,14 @@ def counted(compared: DataFrame, query: Column) -> DataFrame:
     """``compared`` with ``n_near``: for the rows that ``query`` picks, how many other
     fingerprints of the table lie within ``RADIUS`` bits (other rows: null)."""
     compared = store(compared, "compared")
-    asked = compared.filter(query).select("f1", "f2").distinct()
+    asks = F.coalesce(query, F.lit(False))
+    asked = compared.filter(asks).select("f1", "f2").distinct()
     found = neighbours(asked, compared.select("f1", "f2").distinct()).groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n"))
-    found = asked.join(found, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("n", F.lit(0)).alias("n_near"))
-    out = compared.join(found, ["f1", "f2"], "left").withColumn("n_near", F.when(query, F.col("n_near")))
-    return out.select(*compared.columns, "n_near").drop("f1", "f2")
+    found = asked.join(found, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_near"))
+    # Only the rows that ask are dealt by fingerprint: a large group of copies shares one.
+    out = compared.filter(asks).join(found, ["f1", "f2"], "left").select(*compared.columns, "n_near")
+    rest = compared.filter(~asks).withColumn("n_near", F.lit(None).cast("bigint"))
+    return out.unionByName(rest).drop("f1", "f2")
 
 
 def _block(j: int) -> Column:
