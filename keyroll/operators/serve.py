@@ -55,36 +55,13 @@ def keys_page(docs: DataFrame, pk_value: str, next_sk: str | None = None, prev_s
     return t.select("pos", *columns, sk, "first_sk", "last_sk", "first_page", "last_page")
 
 
-def dungeon_page(docs: DataFrame, patch: str, dungeon_id: int, next_sk: str | None = None,
-                 prev_sk: str | None = None) -> DataFrame:
-    """K2: per-dungeon leaderboard page (secondary index ``gsi1``)."""
-    return keys_page(docs, f"LOG#KEY#{patch}#{dungeon_id}", next_sk, prev_sk, index="gsi1")
-
-
-def board_page(board: DT.DocumentTable, patch: str, dungeon_id: int | None = None, next_sk: str | None = None,
-               prev_sk: str | None = None, columns=PAGE_COLUMNS) -> DataFrame:
-    """K1-K7 from the stored board: the page of a patch, or of one of its dungeons."""
-    where = F.col("patch") == patch
-    if dungeon_id is not None:
-        where = where & (F.col("dungeon_id") == dungeon_id)
-    rows = board.span(where, S.PAGE_SIZE + 1, below=next_sk, above=prev_sk)
-    if dungeon_id is not None:
-        return keys_page(rows, f"LOG#KEY#{patch}#{dungeon_id}", next_sk, prev_sk, index="gsi1", columns=columns)
-    return keys_page(rows, f"LOG#KEY#{patch}", next_sk, prev_sk, columns=columns)
-
-
 def stored_run_detail(details: DT.DocumentTable, run_hash: str) -> DataFrame:
-    """K8 / S11 from the stored breakdowns: one bucket, and in it one range of keys."""
+    """Point read of one run's stored breakdown, one bucket and in it one range
+    of keys; empty when missing."""
     key = f"LOG#KEY#{run_hash}#OVERALL_PLAYER_DAMAGE"
     return details.get(DT.of_bucket(key), key, key)
 
 
-def run_detail(breakdown: DataFrame, run_hash: str) -> DataFrame:
-    """Point read of one run's breakdown; empty when missing."""
-    key = f"LOG#KEY#{run_hash}#OVERALL_PLAYER_DAMAGE"
-    return breakdown.filter((F.col("pk") == key) & (F.col("sk") == key))
-
-
 def page_numbers(docs: DataFrame, index: str = "pk") -> DataFrame:
     """K9: page number (0-based, ten rows a page) of every document on its
     board, computed for all boards at once with a skew-safe rank (a board

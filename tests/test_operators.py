@@ -92,3 +92,22 @@ def test_paging_edge_cases(spark, n, direction):
     if kept:
         assert page[0].first_page == first and page[0].last_page == last
         assert page[0].first_sk == kept[0] and page[0].last_sk == kept[-1]
+
+
+def test_next_row_matches_brute_force(spark):
+    """The row that follows in a group, over block borders and empty blocks."""
+    import random
+
+    from keyroll.operators.asof import next_row
+    rng = random.Random(12)
+    rows = [(g, p, rng.choice("ab")) for g in ("x", "y", "z") for p in sorted(rng.sample(range(400), 40 if g != "z" else 1))]
+    frame = spark.createDataFrame(rows, "g string, p long, v string").repartition(3)
+    for block in (1, 7, 64, 1 << 16):
+        got = {(r["g"], r["p"]): (r["next"]["v"], r["next"]["_pos"]) if r["next"] is not None else None
+               for r in next_row(frame, ["g"], "p", ["v"], block=block).collect()}
+        want = {}
+        for g in ("x", "y", "z"):
+            own = [r for r in rows if r[0] == g]
+            for a, b in zip(own, [*own[1:], None]):
+                want[a[:2]] = None if b is None else (b[2], b[1])
+        assert got == want
