@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     limit = int(min(1.0, sample / max(total, 1)) * (1 << 31))
     order = F.expr("shiftrightunsigned(xxhash64(doc_id), 33)")
     chosen = store(labels.withColumn("o", order).filter(F.col("o") < limit if total > sample else F.lit(True)), "labels")
-    rows = docs.join(sized(chosen), "doc_id").groupBy("doc_id", "o", "label").agg(F.min("text").alias("text"))
+    rows = docs.select("doc_id", "text").join(sized(chosen), "doc_id").groupBy("doc_id", "o", "label").agg(F.min("text").alias("text"))
     rows = rows.withColumn("shard", (F.col("o") % SHARDS).cast("int"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
