@@ -120,44 +120,51 @@ def passage_vectors(items: DataFrame, idf: np.ndarray, text: str = "text") -> Da
     return store(items.select(F.col(text).alias("text")).mapInArrow(run, "index array<bigint>, value array<double>"), "passages")
 
 
-def multiply(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """A'A times ``basis`` (dimensions x columns). A task adds up its passages; the sums of
-    all tasks are added by Spark, a row per dimension that a passage uses."""
-    shared = rows.sparkSession.sparkContext.broadcast(basis)
+def multiply(rows: DataFrame, used: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A times ``basis``, both over the ``used`` dimensions. A task adds up its passages; the
+    sums of all tasks are added by Spark, a row per dimension that a passage uses."""
+    shared = rows.sparkSession.sparkContext.broadcast((used, basis))
     width = basis.shape[1]
     names = [f"c{i}" for i in range(width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, out = shared.value, np.zeros((DIMENSIONS, width))
+        dimensions, q = shared.value
+        out = np.zeros(q.shape)
         for batch in batches:
             for index, value in zip(batch.column(0), batch.column(1), strict=True):
-                i, v = index.values.to_numpy(), value.values.to_numpy()
+                i, v = np.searchsorted(dimensions, index.values.to_numpy()), value.values.to_numpy()
                 out[i] += np.outer(v, v @ q[i])
-        used = np.flatnonzero(out.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(out[used, k]) for k in range(width)]], names=["b", *names])
+        held = np.flatnonzero(out.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(held), *[pa.array(out[held, k]) for k in range(width)]], names=["b", *names])
 
     product = rows.mapInArrow(run, "b bigint, " + ", ".join(f"{n} double" for n in names))
-    found = product.groupBy("b").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # DIMENSIONS rows at most
+    found = product.groupBy("b").agg(*[F.sum(n).alias(n) for n in names]).toArrow()  # a row per used dimension
     shared.destroy()
-    out = np.zeros((DIMENSIONS, width))
-    if found.num_rows:
-        out[found["b"].to_numpy()] = np.column_stack([found[n].to_numpy() for n in names])
+    out = np.zeros(basis.shape)
+    at = found["b"].to_numpy()
+    for k, n in enumerate(names):
+        out[at, k] = found[n].to_numpy()
     return out
 
 
 def latent_basis(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Leading right singular vectors of the passages' TF-IDF matrix (dimensions x rank);
-    at most half as many as there are passages."""
+    at most half as many as there are passages. All steps but the result are held over
+    the dimensions that passages use."""
     rows = passage_vectors(items, idf)
     count = rows.count()
     rank = min(rank, max(1, count // 2))
+    basis = np.zeros((DIMENSIONS, rank), dtype=np.float32)
     if not count:
-        return np.zeros((DIMENSIONS, 1))
-    q = np.random.default_rng(SEED).standard_normal((DIMENSIONS, min(count, rank + OVERSAMPLE)))
+        return basis
+    used = np.sort(rows.select(F.explode("index").alias("b")).distinct().toArrow()["b"].to_numpy())  # DIMENSIONS at most
+    q = np.random.default_rng(SEED).standard_normal((len(used), min(count, len(used), rank + OVERSAMPLE)))
     for _ in range(1 + POWERS):
-        q, _ = np.linalg.qr(multiply(rows, q))
-    values, inner = np.linalg.eigh(q.T @ multiply(rows, q))
-    return q @ inner[:, np.argsort(values)[::-1][:rank]]
+        q, _ = np.linalg.qr(multiply(rows, used, q))
+    values, inner = np.linalg.eigh(q.T @ multiply(rows, used, q))
+    found = q @ inner[:, np.argsort(values)[::-1][:rank]]
+    basis[used, :found.shape[1]] = found
+    return basis
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -324,7 +331,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     for k in range(blocks):
         mine = items.filter(block == k)
         part = [(r["item_id"], r["text"]) for r in mine.collect()]  # about ITEMS rows
-        shared = docs.sparkSession.sparkContext.broadcast((part, idf, latent_basis(mine, idf).astype(np.float32)))
+        shared = docs.sparkSession.sparkContext.broadcast((part, idf, latent_basis(mine, idf)))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(*shared.value)
