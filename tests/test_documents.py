@@ -155,3 +155,18 @@ def test_merged_sketches_are_near_the_exact_ranks(spark):
         for value, exact in ((r["damage"], sorted(v[2][0][0] for v in own)), (r["percent"], sorted(v[3] for v in own))):
             below, upto = sum(x < value for x in exact) / len(exact), sum(x <= value for x in exact) / len(exact)
             assert below - 0.01 <= r["rank"] <= upto + 0.01
+
+
+def test_the_registered_pages_read_the_stored_board(spark, board, monkeypatch):
+    """K1-K4 as they are registered, over a board of the test's own rows."""
+    from keyroll.plans import relational_queries as Q
+    rows = [doc(random.Random(1), n, Q.PATCH, Q.DUNGEON if n % 2 else 2284, 1) for n in range(60)]
+    board.upsert(spark.createDataFrame(rows, SCHEMA))
+    monkeypatch.setattr(Q.PB, "leaderboard", lambda *_: board)
+    every = sorted((r[1] for r in rows), reverse=True)
+    own = sorted((r[1] for r in rows if r[15] == Q.DUNGEON), reverse=True)
+    wanted = {"k1_top_keys": every[:10], "k2_top_keys_dungeon": own[:10],
+              "k3_next_page": [s for s in every if s < Q.CURSOR][:10], "k4_prev_page": [s for s in every if s > Q.CURSOR][-10:]}
+    for name, sks in wanted.items():
+        page = Q.QUERIES[name](spark, "unused").orderBy("pos").collect()
+        assert [r["gsi1sk" if name.startswith("k2") else "sk"] for r in page] == sks, name
