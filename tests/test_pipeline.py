@@ -330,3 +330,33 @@ def test_refused_and_damaged_files_are_in_the_rejects(spark, tmp_path):
                                     "path string, pos long, value string")
     process_batch(spark, bad_key, 0, str(tmp_path / "direct"), log_year=2021)
     assert files(gold_table(spark, str(tmp_path / "direct"), "rejects").collect()) == [("x.txt", "key", None, None)]
+
+
+def test_small_compressed_files_share_a_chunk():
+    import gzip
+
+    import pandas as pd
+
+    from keyroll.sources import logfiles as LF
+    whole = [gzip.compress(f"a{i}\nb{i}\n".encode()) for i in range(5)]
+    cut = gzip.compress(b"".join(b"line %d\n" % i for i in range(3000)))[:-20]
+    contents = [*whole[:2], cut, *whole[2:]]
+    files = pd.DataFrame({"path": [f"u{i}.txt.gz" for i in range(6)], "content": contents})
+    frames = list(LF._expand_packed([files]))
+    assert len(frames) == 1
+    for i, content in enumerate(contents):
+        own = frames[0][frames[0]["path"] == f"u{i}.txt.gz"]
+        assert list(own["pos"]) == list(range(len(own))) and set(own["size"]) == {len(content)}
+        assert own["error"].notna().sum() == (i == 2) and (i == 2 or len(own) == 2)
+
+
+def test_a_micro_batch_is_bounded_by_bytes(spark, tmp_path):
+    from keyroll.streaming.uploads import gold_table, start_upload_streams
+    folder = tmp_path / "landing" / "upload" / "2021" / "1" / "2" / "3"
+    folder.mkdir(parents=True)
+    for i in range(70):
+        (folder / f"u{i}.txt").write_text("1/2 03:04:05.000  ZONE_CHANGE,1\n")
+    out = str(tmp_path / "out")
+    start_upload_streams(spark, str(tmp_path / "landing"), out, str(tmp_path / "ckpt"), max_files_per_trigger=None, log_year=2021)
+    metrics = gold_table(spark, out, "upload_metrics")
+    assert metrics.count() == 70 and metrics.select("batch_id").distinct().count() == 1
