@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyroll.operators.extras import player_runs as exploded
+from keyroll.session import scratch_path
 from keyroll.sources import documents as DT
 
 BUCKETS = 64
@@ -74,12 +75,20 @@ class PlayerIndex:
     """The three tables under ``root``."""
 
     def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
         self.runs = DT.DocumentTable(spark, f"{root}/player_runs", {"bucket": "int"}, sort="place")
         self.names = DT.DocumentTable(spark, f"{root}/player_names", {"initial": "int"})
         self.players = DT.DocumentTable(spark, f"{root}/players", {"bucket": "int"}, sort="pk")
 
     def upsert(self, docs: DataFrame) -> None:
-        """Add leaderboard documents (with ``created_at`` and ``batch_id``)."""
+        """Add leaderboard documents (with ``created_at`` and ``batch_id``); they are made once
+        and stored, for each of the tables reads them."""
+        given = scratch_path(self.spark, "player-docs")
+        columns = ("patch", "dungeon_id", "combatlog_hash", "sk", "keylevel", "date", "intime", "created_at", "batch_id")
+        names = F.transform("player_damage", lambda p: F.struct(p["player_id"].alias("player_id"), p["player_name"].alias("player_name"),
+                                                                p["damage"].alias("damage")))
+        docs.select(*columns, names.alias("player_damage")).write.parquet(given)
+        docs = self.spark.read.parquet(given)
         self.runs.upsert(run_documents(docs))
         self.names.upsert(name_documents(docs))
         self.players.upsert(player_documents(docs))

@@ -170,3 +170,9 @@ def test_the_registered_pages_read_the_stored_board(spark, board, monkeypatch):
     for name, sks in wanted.items():
         page = Q.QUERIES[name](spark, "unused").orderBy("pos").collect()
         assert [r["gsi1sk" if name.startswith("k2") else "sk"] for r in page] == sks, name
+
+
+def test_documents_travel_once_in_an_upsert(spark, board):
+    rows = spark.createDataFrame(batches(random.Random(1))[0], SCHEMA)
+    plan = board._latest(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
