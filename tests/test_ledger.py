@@ -68,3 +68,16 @@ def test_a_compaction_without_its_row_does_not_count(spark, tmp_path):
     hashes(spark, ["h0", "bad"]).withColumn("bucket", F.lit(1)).write.parquet(f"{path}_base/v1/hashes")
     assert ledger.version() is None and names(ledger.known(hashes(spark, ["h0", "bad"]))) == ["h0"]
     assert ledger.compact()["hashes"] == 2 and names(ledger.hashes()) == ["h0", "h1", "h2"]
+
+
+def test_a_batch_adds_one_file_per_bucket(spark, tmp_path):
+    import datetime as dt
+    import glob
+
+    from keyroll.operators import dedup as D
+    kept = spark.range(0, 5000, 1, 7).selectExpr("concat('h', id) AS run_hash")
+    path = str(tmp_path / "ledger")
+    D.ledger_entries(kept, dt.datetime(2024, 1, 1), 1).write.partitionBy("bucket").parquet(path)
+    folders = glob.glob(f"{path}/bucket=*")
+    assert len(folders) == D.LEDGER_BUCKETS and all(len(glob.glob(f"{f}/*.parquet")) == 1 for f in folders)
+    assert spark.read.parquet(path).count() == 5000
