@@ -306,7 +306,7 @@ def _matrix_links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     """Links between classes of different groups, by the token-group matrix. Of
     two classes the one that is not smaller asks."""
     placed = store(nodes.join(groups, nodes.fp == groups.node, "left")
-                   .select("fp", "n", "shared", "asks", "told", F.coalesce("label", "fp").alias("g")), "placed")
+                   .select("fp", "n", "shared", "asks", "told", "alone", F.coalesce("label", "fp").alias("g")), "placed")
     span = placed.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size"))
     asking = placed.select("fp", "n", "g", F.explode(F.slice("shared", F.lit(1), F.col("asks"))).alias("token"))
     asked = placed.filter("told > 0").select("fp", "n", "g", F.explode(F.slice("shared", F.lit(1), F.col("told"))).alias("token"))
@@ -319,8 +319,14 @@ def _matrix_links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     # smallest member that fits. A group of one is its member, compared below.
     large = met.filter("size > 1")
     opened = sized(store(large.select("h").distinct(), "asked"))
-    matrix = (placed.join(opened, placed.g == opened.h, "left_semi").select(F.col("g").alias("h"), F.explode("shared").alias("token"))
-              .distinct())
+    # A group's members have most tokens in common: one of them gives all of its own, the
+    # others those that it lacks.
+    members = placed.join(opened, placed.g == opened.h, "left_semi")
+    first = members.groupBy("g").agg(F.min(F.struct("alone", "fp"))["fp"].alias("fp"))
+    first = sized(store(placed.select("fp", F.col("shared").alias("told_already")).join(first, "fp").select(
+        "g", F.col("fp").alias("first"), "told_already"), "firsts-of-groups"))
+    own = F.when(F.col("fp") == F.col("first"), F.col("shared")).otherwise(F.array_except("shared", "told_already"))
+    matrix = members.join(first, "g").select(F.col("g").alias("h"), F.explode(own).alias("token")).distinct()
     tokens = placed.select("fp", F.explode("shared").alias("token"))
     hits = (large.join(tokens, "fp").join(matrix, ["h", "token"]).groupBy("fp", "n", "least", "h")
             .agg(F.count(F.lit(1)).alias("hits")))
